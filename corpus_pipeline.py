@@ -14,6 +14,7 @@ from tidemark.llm.common import staged
 STAGES = [
     ("quality_rules", stages.quality_rules),
     ("line_dedup", stages.line_dedup),
+    ("simhash_near_dedup", stages.simhash_near_dedup),
 ]
 
 #: The last stage cuts documents by their token ids, which SQL has no function for.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +85,18 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python workers anywhere can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tidemark-")  # read by this driver alone, which serves it
+    archive = f"{folder}/tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, f"tidemark/{source.relative_to(package)}")
+    context.addPyFile(archive)
+    context._tidemark_shipped = True

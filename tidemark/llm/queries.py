@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, quality_rules
+from tidemark.llm import line_dedup, quality_rules, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {

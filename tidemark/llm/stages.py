@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality_rules import keep_good
+from tidemark.llm.simhash import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,3 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs)
     new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return drop_near_copies(docs)
