@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, quality_rules, simhash
+from tidemark.llm import line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_packing": packing.op9_packing,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
