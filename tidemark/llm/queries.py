@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, packing, quality_rules, sharding, simhash
+from tidemark.llm import line_dedup, packing, pii, quality_rules, sharding, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
