@@ -15,6 +15,8 @@ STAGES = [
     ("quality_rules", stages.quality_rules),
     ("line_dedup", stages.line_dedup),
     ("simhash_near_dedup", stages.simhash_near_dedup),
+    ("mixing", stages.mixing),
+    ("packing", stages.packing),
 ]
 
 #: The last stage cuts documents by their token ids, which SQL has no function for.

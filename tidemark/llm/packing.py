@@ -270,8 +270,13 @@ def pack_documents(
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the installed vocabulary file is, on every machine alike."""
     import public_tokenizers
 
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return pack_documents(docs, tokenizer_path())

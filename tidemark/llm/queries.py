@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, line_dedup, packing, pii, quality_rules, sharding, simhash, spotsigs, warc
+from tidemark.llm import language, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spotsigs, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_spotsigs": spotsigs.op2_spotsigs,
     "op3_language_id": language.op3_language_id,
+    "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_pii": pii.op6_pii,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }

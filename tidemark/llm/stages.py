@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack_documents, tokenizer_path
 from tidemark.llm.quality_rules import keep_good
 from tidemark.llm.simhash import drop_near_copies
 
@@ -25,3 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
     return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated (or left out) so that all sources weigh the same, in shuffled order."""
+    return mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token sequences that the mixed documents are packed into."""
+    return pack_documents(docs, tokenizer_path())
