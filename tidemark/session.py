@@ -13,11 +13,9 @@ CONF = {
 }
 
 
-def session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """Get or create a session; ``conf`` has further settings with ``_`` for ``.``."""
-    builder = SparkSession.builder.appName(name).config(map=CONF)
+def session(name: str = "tidemark", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
+    """Get or create a session with the settings above and those of ``conf``."""
+    builder = SparkSession.builder.appName(name).config(map=CONF | (conf or {}))
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
-        builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
