@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_path, ship
+from tidemark.llm.common import scratch_path, ship, staged
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always stored.
 REVISIT_FROM = 1000
 #: Bytes of payload that one archive is meant to hold.
 ARCHIVE_BYTES = 16 << 20
+#: Repeated digests up to this number are broadcast (about 100 bytes each).
+BROADCAST_ROWS = 100_000
 #: A header block may not be longer.
 MAX_HEADER = 64 << 10
 
@@ -64,14 +66,17 @@ def records(pages: DataFrame, id_col: str, url_col: str | None, payload_col: str
         F.octet_length(payload).cast("long").alias("n"),
         F.sha1(payload.cast("binary")).alias("digest"),
     )
-    # The payload stays out of this join's other side; small payloads are given no key at all.
-    first = (
+    # Digests that occur again.  If they are few the payloads need no shuffle; else both sides
+    # of the join are plain tables, so a hot digest can be split.
+    first = staged(
         rows.where(F.col("n") >= revisit_from)
         .groupBy("digest", "n")
         .agg(F.max("page").alias("holder"), F.count(F.lit(1)).alias("k"))
         .where("k > 1")
-        .select("digest", F.col("n").alias("_n"), "holder")
+        .select("digest", F.col("n").alias("_n"), "holder"),
+        "repeated",
     )
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
     again = (F.col("n") == F.col("_n")) & ~F.col("holder").eqNullSafe(F.col("page"))
     rows = rows.join(first, "digest", "left").withColumn("again", F.coalesce(again, F.lit(False)))
     body = F.when(F.col("again"), "").otherwise(F.col("payload"))
@@ -103,10 +108,10 @@ def write_warc(
 ) -> str:
     """Write a folder of archives and return its path."""
     spark = pages.sparkSession
-    total = pages.agg(F.sum(F.octet_length(F.col(payload_col)) + 512)).first()[0] or 0
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0)) + 512)).first()[0] or 512
     out = records(pages, id_col, url_col, payload_col, date, revisit_from)
-    out = out.repartition(max(1, -(-total // archive_bytes)))
-    out.write.option("lineSep", CRLF + CRLF).text(path)
+    most = max(1, int(archive_bytes / mean))
+    out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).text(path)
     spark.catalog.refreshByPath(path)
     return path
 
