@@ -5,9 +5,9 @@ is full of anchors and boilerplate has few, so the set of a text's signatures st
 prose.  Signatures are 32-bit hashes; a fingerprint is the sorted set of them.
 
 Texts of an Arrow batch are cut into words and hashed as one byte array; no word becomes a Python
-object.  Fingerprints are compared by Jaccard similarity with the bounds that set sizes give:
-``similar_pairs`` partitions the fingerprints by size so that only neighbouring partitions can
-reach the threshold.
+object.  Fingerprints fall into partitions by the size of their sets, such that a wanted
+similarity can only be reached within a partition or between neighbours; Jaccard similarity
+is pruned by that, then by the sizes themselves, and then counted.
 
 Defined results
 ---------------
@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LAST_ID, ship, shuffle_width, staged
@@ -136,12 +137,17 @@ def signatures(texts: list[bytes]) -> list[np.ndarray]:
     return [sets[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def length_partition(size: int, floor: float) -> int:
+    """The partition of a set size: similarities of at least ``floor`` don't skip one."""
+    return math.floor(math.log(size) / -math.log(floor)) if size and 0 < floor < 1 else 0
+
+
 def likeness(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0 as soon as their sizes rule out ``floor``."""
+    """Jaccard similarity of two sorted sets; 0 as soon as it cannot reach ``floor``."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < floor * len(large):
+    if length_partition(len(large), floor) - length_partition(len(small), floor) > 1 or len(small) < floor * len(large):
         return 0.0
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
@@ -169,6 +175,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "id long, fingerprint string, sigs array<long>")
 
 
+def _range_of(rank: Column, edges: list[int], first: int = 0) -> Column:
+    """The number of edges (falling) above a rank, by a balanced tree of comparisons."""
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(rank < edges[mid], _range_of(rank, edges[mid + 1 :], first + mid + 1)).otherwise(_range_of(rank, edges[:mid], first))
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(range, role, id, body)``: the documents in descending order of ids, each range in one partition.
 
@@ -185,15 +199,12 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranges = RANGES * width
     found = rows.select(F.percentile_approx("rank", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("e")).first()
     edges = sorted(set((found and found["e"]) or []), reverse=True)
-    here = F.size(F.filter(F.array(*[F.lit(int(e)) for e in edges]), lambda e: e > F.col("rank"))) if edges else F.lit(0)
+    here = _range_of(F.col("rank"), [int(e) for e in edges])
+    rows = rows.withColumn("range", here)
     # The first document of each range; at most as many as ranges.
-    heads = (
-        rows.select("rank", "tie", here.alias("range")).groupBy("range").agg(F.max(F.struct("rank", "tie")).alias("h")).orderBy("range").collect()
-    )
-    also = F.lit(None).cast("int")
-    for i, r in enumerate(heads):
-        is_head = (F.col("rank") == r["h"]["rank"]) & (F.col("tie") == r["h"]["tie"])
-        also = F.when(is_head, F.lit(heads[i - 1]["range"])).otherwise(also)
+    heads = rows.groupBy("range").agg(F.max(F.struct("rank", "tie")).alias("h")).orderBy("range").collect()
+    also = [(r["h"]["rank"], r["h"]["tie"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    firsts = spark.createDataFrame(also, "rank long, tie long, also int")
     places = F.array_compact(
         F.array(
             F.struct(F.col("range"), F.lit(0).alias("role")),
@@ -201,8 +212,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     )
     return (
-        rows.withColumn("range", here.cast("int"))
-        .withColumn("also", also)
+        rows.join(F.broadcast(firsts), ["rank", "tie"], "left")
         .withColumn("p", F.explode(places))
         .select("p.range", "p.role", "id", "body", "rank", "tie")
         .repartition(width, "range")
