@@ -9,6 +9,7 @@ from tidemark.functions import predicates as P
 from tidemark.functions import scalar as S
 from tidemark.operators import artifacts as A
 from tidemark.operators import breakers as B
+from tidemark.operators import declared as D
 from tidemark.operators import execution as E
 from tidemark.operators import graph as G
 from tidemark.operators import integrity as I
@@ -160,6 +161,23 @@ def test_admission_probes(spark):
     assert C.admissions(jobs, breakers, scopes, 10, 10, 10).count() == 0
 
 
+def test_admission_fold(spark):
+    jobs = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "job_id long, created_at long")
+    breakers = spark.createDataFrame([("TASK", "a", "HALF_OPEN", 1, 0), ("JOB", "b", "HALF_OPEN", 1, 0)], "scope_type string, scope_id string, state string, version long, half_open_probes_used long")
+    scopes = spark.createDataFrame([(1, "TASK", "a"), (2, "TASK", "a"), (2, "JOB", "b"), (3, "JOB", "b"), (4, "TASK", "z")], "job_id long, scope_type string, scope_id string")
+    got = C.admissions_with_probes(jobs, breakers, scopes, 0, 10, 10).orderBy("rank").collect()
+    assert [r["job_id"] for r in got] == [1, 3, 4]
+    assert [r["job_id"] for r in C.admissions_with_probes(jobs, breakers, scopes, 8, 10, 10).collect()] == [1, 3]
+
+
+def test_migrate(spark):
+    old = spark.createDataFrame([("w", "IDLE")], "name string, status string")
+    upgrades = {(0, "workers"): lambda df: df.withColumnRenamed("name", "worker_id")}
+    assert D.migrate(old, "workers", 0, upgrades, 1).first().asDict() == {"worker_id": "w", "status": "IDLE", "last_seen_at": None}
+    with pytest.raises(ValueError):
+        D.migrate(old, "workers", 1, upgrades, 1)
+
+
 def test_blockers_first_detail_wins(spark):
     one = spark.createDataFrame([("1",)], "x string")
     got = A.blockers([A.rule(one, "HUMAN_GATE", F.col("x"), "first"), A.rule(one, "HUMAN_GATE", F.col("x"), "second")]).collect()

@@ -201,3 +201,29 @@ def manifest_hash(entries: DataFrame, key: str, digest: str) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(digest).alias("h"))))
     text = F.array_join(F.transform(listed, lambda s: F.concat_ws("=", s["k"], s["h"])), "\n")
     return entries.agg(F.sha2(text, 256).alias("manifest_hash"), F.count(F.lit(1)).alias("entries"))
+
+
+def progress_evidence(jobs: DataFrame, table: DataFrame, good: DataFrame) -> DataFrame:
+    """Durable progress of each job: its counters, its task's verified artifacts and known-good checkpoint.
+
+    ``table (artifact_id, task_id, status)``; verified means VALIDATED or RELEASED.
+    """
+    n = table.where(F.col("status").isin(*VERIFIED)).groupBy("task_id").agg(F.count(F.lit(1)).alias("verified_artifacts"))
+    known = good.select("task_id", F.col("checkpoint_id").alias("latest_known_good"))
+    return jobs.join(n, "task_id", "left").join(known, "task_id", "left").withColumn(
+        "verified_artifacts", F.coalesce("verified_artifacts", F.lit(0).cast("long"))
+    )
+
+
+def newest_verified(checkpoints: DataFrame) -> DataFrame:
+    """The newest verified checkpoint of each task."""
+    good = checkpoints.where(F.col("verification_status") == "VERIFIED")
+    return latest_per_key(good.select("task_id", "checkpoint_id", "created_at"), ["task_id"], ["created_at", "checkpoint_id"])
+
+
+def manifest_drift(pinned: DataFrame, current: DataFrame) -> DataFrame:
+    """Entries ``(key, digest)`` that were added, removed or changed since a manifest was pinned."""
+    a = pinned.select("key", F.col("digest").alias("_was"), F.lit(True).alias("_in"))
+    b = current.select("key", F.col("digest").alias("_is"), F.lit(True).alias("_out"))
+    kind = F.when(F.col("_in").isNull(), "added").when(F.col("_out").isNull(), "removed").when(~F.col("_was").eqNullSafe(F.col("_is")), "changed")
+    return a.join(b, "key", "full").select("key", kind.alias("drift")).where(F.col("drift").isNotNull())

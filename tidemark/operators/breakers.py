@@ -107,3 +107,8 @@ def with_denials(jobs: DataFrame, breakers: DataFrame, scopes: DataFrame) -> Dat
         F.min_by(F.when((c("class") == "half_open") & ~denies, name), F.when((c("class") == "half_open") & ~denies, order)).alias("probe_scope"),
     )
     return jobs.join(verdicts, "job_id", "left")
+
+
+def relevant(breakers: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Breakers of the given scopes."""
+    return breakers.join(scopes.select("scope_type", "scope_id").distinct(), ["scope_type", "scope_id"], "left_semi")

@@ -248,3 +248,17 @@ def boot_dispositions(open_spawns: DataFrame, workers: DataFrame, jobs: DataFram
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fenced(tracked: DataFrame, jobs: DataFrame, revoked: DataFrame) -> DataFrame:
+    """Processes ``(seq, worker_id, job_id, epoch)`` that lost their authority.
+
+    The owner is another, or the token is another than the learned epoch; without an epoch, a
+    revocation after the spawn decides.  A missing job fences nothing.
+    """
+    c = F.col
+    j = jobs.select("job_id", c("owner_worker_id").alias("_owner"), c("fencing_token").alias("_token"))
+    r = revoked.select(c("spawn_seq").alias("seq"), "revoked_seq")
+    lost = F.when(c("epoch").isNotNull(), ~c("epoch").eqNullSafe(c("_token"))).otherwise(c("revoked_seq").isNotNull())
+    why = F.when(~c("_owner").eqNullSafe(c("worker_id")), "owner_changed").when(lost, "authority_revoked")
+    return tracked.join(j, "job_id").join(r, "seq", "left").select("seq", "worker_id", "job_id", why.alias("fenced_by")).where(c("fenced_by").isNotNull())

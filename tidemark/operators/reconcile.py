@@ -130,3 +130,42 @@ def snapshot_hash(items: DataFrame) -> DataFrame:
     one = items.select(F.col("desired_work_id").cast("string").alias("k"), F.sha2(text, 256).alias("h"))
     listed = F.array_sort(F.collect_list(F.struct("k", "h")))
     return one.agg(F.sha2(F.array_join(F.transform(listed, lambda s: s["h"]), ""), 256).alias("snapshot_hash"), F.count(F.lit(1)).alias("items"))
+
+
+def admissions_with_probes(waiting: DataFrame, breakers: DataFrame, scopes: DataFrame, active: int, most: int, batch: int, probes: int = 1) -> DataFrame:
+    """As ``admissions``, exact also where jobs have several half-open scopes.
+
+    A job takes a probe of every half-open scope it has, or is not admitted if one has none left, so
+    each decision depends on the ones before.  The fold runs in one task over the jobs in their
+    order, and only over those that no open breaker denies; it stops once there is no room.
+    """
+    room = max(0, min(batch, most - active))
+    c = F.col
+    half = (
+        scopes.join(breakers, ["scope_type", "scope_id"])
+        .where(P.breaker_class(c("state"), c("version"), c("half_open_probes_used")) == "half_open")
+        .groupBy("job_id")
+        .agg(F.array_sort(F.collect_set(F.struct(F.concat_ws(":", "scope_type", "scope_id").alias("scope"), c("half_open_probes_used").alias("used")))).alias("half"))
+    )
+    judged = with_denials(waiting, breakers, scopes).where(c("denied_by").isNull()).join(half, "job_id", "left")
+
+    def fold(parts):
+        import pandas as pd
+
+        left, taken = room, {}
+        for part in parts:
+            picked = []
+            for job, held in zip(part["job_id"], part["half"], strict=True):
+                own = [] if held is None else [(h["scope"], int(h["used"])) for h in held]
+                if left and all(used + taken.get(scope, 0) < probes for scope, used in own):
+                    for scope, _ in own:
+                        taken[scope] = taken.get(scope, 0) + 1
+                    picked.append((job, room - left + 1))
+                    left -= 1
+            yield pd.DataFrame(picked, columns=["job_id", "rank"])
+            if not left:
+                return
+
+    kind = dict(waiting.dtypes)["job_id"]
+    ordered = judged.select("job_id", "created_at", "half").repartition(1).sortWithinPartitions("created_at", "job_id")
+    return ordered.select("job_id", "half").mapInPandas(fold, f"job_id {kind}, rank int")

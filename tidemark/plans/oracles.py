@@ -356,6 +356,22 @@ _TEXTS = {
         <= greatest(3, round(0.05 * (SELECT count(*) FROM documents)))""",
     "scalar_functions": """SELECT o_orderkey, 'ds-v' || (k % 7) AS generation, k || '#' || o_custkey AS lease, CASE WHEN k % 4 <> 0 AND k % 6 <> 0 THEN 'j' || k END AS probe_job,
         't' || (k % 5) AS task, 'j' || k AS job, CASE WHEN k % 3 <> 0 THEN k % 3 ELSE k % 5 END AS first_set, k // 300 AS bucket FROM (SELECT *, o_orderkey AS k FROM orders)""",
+    "spec_normalisation": """SELECT o_orderkey, problem, CASE WHEN problem IS NULL THEN t END AS task_id, CASE WHEN problem IS NULL AND n = 9 THEN 's' END AS stage_id,
+        CASE WHEN problem IS NULL THEN 3 END::BIGINT AS max_attempts, CASE WHEN problem IS NULL THEN sha256(t || '|' || CASE WHEN n = 9 THEN 's' ELSE '-' END || '|3|{}') END AS identity
+        FROM (SELECT *, CASE n WHEN 0 THEN 'max_attempts' WHEN 1 THEN 'task_id' WHEN 2 THEN 'unknown_field' WHEN 3 THEN 'not_an_object' WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'task_id'
+          WHEN 6 THEN 'stage_id' WHEN 7 THEN 'policy' WHEN 10 THEN 'max_attempts' END AS problem FROM (SELECT o_orderkey, o_orderkey % 12 AS n, 't' || (o_orderkey % 30) AS t FROM orders))""",
+    "validator_receipts": "SELECT artifact_id FROM artifacts_v WHERE size BETWEEN 100 AND 5000",
+    "progress_evidence": """SELECT job_id, coalesce(n, 0) AS verified_artifacts, k AS latest_known_good FROM docs_v d
+        LEFT JOIN (SELECT x.task_id, count(*) AS n FROM artifacts_v a JOIN docs_v x ON x.job_id = a.job_id WHERE a.status <> 'STAGING' GROUP BY x.task_id) v ON v.task_id = d.task_id
+        LEFT JOIN (SELECT m.task_id, m.checkpoint_id AS k FROM manifests_v m JOIN pointers_v p ON p.checkpoint_id = m.checkpoint_id WHERE entries % 2 = 0) g ON g.task_id = d.task_id""",
+    "newest_verified_checkpoint": """SELECT source AS task_id, doc_id AS checkpoint_id, doc_id % 40 AS created_at FROM documents WHERE doc_id % 3 = 0
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 40 DESC, doc_id DESC) = 1""",
+    "manifest_drift": """SELECT job_id AS key, CASE WHEN job_id % 9 = 0 THEN 'added' WHEN job_id % 10 = 0 THEN 'removed' ELSE 'changed' END AS drift FROM docs_v
+        WHERE (job_id % 9 = 0 AND job_id % 10 <> 0) OR (job_id % 9 <> 0 AND job_id % 10 = 0) OR (job_id % 9 <> 0 AND job_id % 10 <> 0 AND job_id % 11 = 0)""",
+    "fenced_executions": """SELECT seq, o.worker_id % 5 AS worker_id, o.job_id, CASE WHEN o.job_id % 5 <> o.worker_id % 5 THEN 'owner_changed' ELSE 'authority_revoked' END AS fenced_by
+        FROM open_v o JOIN orders ON o_orderkey = o.job_id JOIN revoked_v r ON r.spawn_seq = o.seq
+        WHERE o.job_id % 5 <> o.worker_id % 5 OR (seq % 2 = 0 AND seq % 3 <> o.job_id % 3) OR (seq % 2 = 1 AND revoked_seq IS NOT NULL)""",
+    "relevant_breakers": "SELECT scope_id, state FROM breakers_v WHERE scope_id IN (SELECT task_id::VARCHAR FROM jobs_v WHERE status = 'FAILED')",
     "sql_query": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey >= 5 GROUP BY c_nationkey",
 }
 

@@ -9,12 +9,14 @@ from tidemark.functions import predicates as P
 from tidemark.functions import scalar as S
 from tidemark.operators import artifacts as A
 from tidemark.operators import breakers as B
+from tidemark.operators import declared as D
 from tidemark.operators import execution as E
 from tidemark.operators import graph as G
 from tidemark.operators import integrity as I
 from tidemark.operators import keyed as K
 from tidemark.operators import recovery as R
 from tidemark.operators import reconcile as C
+from tidemark.operators.validators import Registry, all_required
 from tidemark.plans import views as V
 from tidemark.plans.views import DAY, NOW_EVENTS, NOW_ORDERS
 
@@ -551,6 +553,79 @@ def sql_query(spark, d):
     return Store.open(spark, d).query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey >= :low GROUP BY c_nationkey", low=5)
 
 
+def _specs(spark, d):
+    """Spec texts of every shape, good and bad."""
+    k = c("o_orderkey")
+    n = k % 12
+    text = (
+        F.when(n == 0, F.lit('{"task_id": "t", "max_attempts": 0}'))
+        .when(n == 1, F.lit('{"task_id": "", "policy": {}}'))
+        .when(n == 2, F.lit('{"task_id": "t", "extra": 1}'))
+        .when(n == 3, F.lit("no json"))
+        .when(n == 4, F.lit('["task_id"]'))
+        .when(n == 5, F.lit('{"task_id": 5}'))
+        .when(n == 6, F.lit('{"task_id": "t", "stage_id": 7}'))
+        .when(n == 7, F.lit('{"task_id": "t", "policy": []}'))
+        .when(n == 8, F.concat(F.lit('{"max_attempts": 3, "task_id": "t'), (k % 30).cast("string"), F.lit('"}')))
+        .when(n == 9, F.concat(F.lit('{"task_id": "t'), (k % 30).cast("string"), F.lit('", "stage_id": "s"}')))
+        .when(n == 10, F.lit('{"task_id": "t", "max_attempts": true}'))
+        .otherwise(F.concat(F.lit('{"task_id": "t'), (k % 30).cast("string"), F.lit('"}')))
+    )
+    return V.table(spark, d, "orders", "o_orderkey").select("o_orderkey", text.alias("spec"))
+
+
+def spec_normalisation(spark, d):
+    n = D.normal_spec(c("spec"))
+    return _specs(spark, d).select(
+        "o_orderkey", D.spec_problem(c("spec")).alias("problem"), n["task_id"].alias("task_id"), n["stage_id"].alias("stage_id"), n["max_attempts"].alias("max_attempts"),
+        D.spec_identity(c("spec")).alias("identity"),
+    )
+
+
+def validator_receipts(spark, d):
+    registry = Registry()
+    registry.add("structural", "1", lambda row: F.length(row["artifact_id"]) == 64)
+    registry.add("size", "1", lambda row: row["size"].between(100, 5000))
+    rows = V.artifact_rows(spark, d)
+    required = [("structural", "1"), ("size", "1")]
+    return all_required(registry.run(rows, NOW_EVENTS, required), required).select("artifact_id")
+
+
+def progress_evidence(spark, d):
+    jobs = V.staged_documents(spark, d).select("job_id", "task_id", "size")
+    table = V.artifact_rows(spark, d).join(V.staged_documents(spark, d).select("job_id", "task_id"), "job_id").select("artifact_id", "task_id", "status")
+    rows, pointers = _lenient(spark, d)
+    good = A.latest_known_good(rows, pointers).select("task_id", "checkpoint_id")
+    return A.progress_evidence(jobs, table, good).select("job_id", "verified_artifacts", "latest_known_good")
+
+
+def newest_verified_checkpoint(spark, d):
+    k = c("doc_id")
+    rows = V.table(spark, d, "documents", "doc_id", "source").select(
+        k.alias("checkpoint_id"), c("source").alias("task_id"), F.when(k % 3 == 0, "VERIFIED").otherwise("UNVERIFIED").alias("verification_status"), (k % 40).alias("created_at")
+    )
+    return A.newest_verified(rows)
+
+
+def manifest_drift(spark, d):
+    rows = V.staged_documents(spark, d)
+    pinned = rows.where(c("job_id") % 9 != 0).select(c("job_id").alias("key"), c("artifact_id").alias("digest"))
+    current = rows.where(c("job_id") % 10 != 0).select(c("job_id").alias("key"), F.when(c("job_id") % 11 == 0, "new").otherwise(c("artifact_id")).alias("digest"))
+    return A.manifest_drift(pinned, current)
+
+
+def fenced_executions(spark, d):
+    spawns, reaps = _processes(spark, d)
+    tracked = E.unreaped_spawns(spawns, reaps).select("seq", (c("worker_id") % 5).alias("worker_id"), c("job_id"), F.when(c("seq") % 2 == 0, c("seq") % 3 + 1).alias("epoch"))
+    jobs = V.jobs(spark, d).withColumn("owner_worker_id", c("job_id") % 5)
+    return E.fenced(tracked, jobs, _revoked(spark, d))
+
+
+def relevant_breakers(spark, d):
+    scopes = V.jobs(spark, d).where("status = 'FAILED'").select(F.lit("TASK").alias("scope_type"), c("task_id").cast("string").alias("scope_id"))
+    return B.relevant(V.breakers(spark, d), scopes).select("scope_id", "state")
+
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())
