@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,8 +14,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints/tidemark"
+#: Used only where the cluster names no folder, as in tests on one machine; removed at exit.
+FALLBACK_DIR = f"/tmp/checkpoints/tidemark-{os.getpid()}"
+
+#: Scratch paths that this process made.
+_PATHS: list[str] = []
 
 #: The six ASCII white-space characters, x20 and x09 to x0D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -28,6 +34,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = FALLBACK_DIR
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -35,7 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
-    return f"{checkpoint_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{checkpoint_root(spark)}/tidemark-{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -56,6 +64,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every scratch path of this process; results that were not written yet are lost."""
+    while _PATHS:
+        delete_path(spark, _PATHS.pop())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row.
 
