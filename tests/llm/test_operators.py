@@ -107,9 +107,17 @@ def test_bit_sliced_distances():
         block[1] = block[0]
         block[2] = block[0] ^ np.uint64(5)
         far = np.bitwise_count(block[:, None, :] ^ block[None, :, :]).sum(axis=2)
-        for at, hits in simhash.within_radius(block, radius, 64):
-            found = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : len(block)].astype(bool)
-            assert (found == (far[at : at + len(hits)] <= radius)).all()
+        near = (far <= radius) & ~np.eye(len(block), dtype=bool)
+        found = np.unpackbits(simhash.within_radius(block, radius, 64).view(np.uint8), axis=1, bitorder="little")
+        assert (found[:, : len(block)].astype(bool) == near).all() and not found[:, len(block) :].any()
+        sizes = np.array([64, 3, 30, 40, 1, 12])
+        lanes, first = simhash.small_blocks_within(block, sizes, radius)
+        at = 0
+        for n in sizes:
+            for row in range(at, at + n):
+                own = [j for j in range(n) if int(lanes[row]) >> (int(first[row]) + j) & 1]
+                assert own == np.flatnonzero(near[row, at : at + n]).tolist() and int(lanes[row]).bit_count() == len(own)
+            at += n
 
 
 def test_hot_bands_are_divided(spark):

@@ -27,7 +27,9 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, ship, staged
+from tidemark.llm.common import LAST_ID, ship, shuffle_width, staged
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -46,6 +48,7 @@ SEED = 42
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _U64 = np.uint64
+_FULL = ~_U64(0)
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -110,32 +113,9 @@ def bit_planes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def within_radius(block: np.ndarray, radius: int, queries: int = 128) -> Iterator[tuple[int, np.ndarray]]:
-    """For each run of queries: its first row, and packed words of the rows within the radius."""
-    m = len(block)
-    bits, planes = bit_planes(block)
-    words = -(-m // 64)
-    digits = max(1, (radius + 1).bit_length())
-    valid = np.packbits((np.arange(words * 64) < m).astype(np.uint8), bitorder="little").view("<u8")
-    full = ~_U64(0)
-    for at in range(0, m, queries):
-        asked = bits[at : at + queries]
-        flip = np.where(asked.astype(bool), full, _U64(0))
-        count = [np.zeros((len(asked), words), _U64) for _ in range(digits)]
-        over = np.broadcast_to(~valid, (len(asked), words)).copy()
-        for i, plane in enumerate(planes):
-            carry = plane[None, :] ^ flip[:, i : i + 1]
-            for digit in count:  # carry-save addition of one bit to 64 counts a word
-                carry, digit[:] = digit & carry, digit ^ carry
-            over |= carry
-            if i % 8 == 7 and i > radius and bool((over | _exceeds(count, radius)).min() == full):
-                break
-        yield at, ~(over | _exceeds(count, radius))
-
-
 def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose binary count is above the radius, compared digit by digit from the top."""
-    above, equal = np.zeros_like(count[0]), np.full_like(count[0], ~_U64(0))
+    above, equal = np.zeros_like(count[0]), np.full_like(count[0], _FULL)
     for k in reversed(range(len(count))):
         if radius >> k & 1:
             equal &= count[k]
@@ -145,14 +125,83 @@ def _exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def block_forest(block: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (child, parent) of a spanning forest of the links within one block."""
+def _compare(bits: np.ndarray, lanes_of: Callable[[np.ndarray, np.ndarray], np.ndarray], over: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+    """Packed lanes within the radius of each query.
+
+    ``bits`` are the queries' varying bits, ``over`` the lanes that don't count from the start, and
+    ``lanes_of(plane, queries)`` the words of a plane that queries are compared with.  Queries all
+    of whose lanes have passed the radius are abandoned.
+    """
+    out = np.zeros_like(over)
+    live = np.arange(len(bits))
+    digits = (radius + 1).bit_length()
+    count = [np.zeros_like(over) for _ in range(digits)]
+    for i, plane in enumerate(planes):
+        carry = lanes_of(plane, live) ^ np.where(bits[live, i], _FULL, _U64(0))[:, None]
+        for digit in count:  # carry-save addition of one bit to 64 counts a word
+            follow = digit & carry
+            digit ^= carry
+            carry = follow
+        over |= carry
+        if i >= radius and i % 16 == 15:
+            over |= _exceeds(count, radius)
+            alive = (over != _FULL).any(axis=1)
+            if not alive.all():
+                live, over = live[alive], over[alive]
+                count = [digit[alive] for digit in count]
+                if not len(live):
+                    return out
+    out[live] = ~(over | _exceeds(count, radius))
+    return out
+
+
+def within_radius(block: np.ndarray, radius: int, queries: int = 128) -> np.ndarray:
+    """For each row of a block, packed, the other rows within the radius."""
     m = len(block)
-    hits = np.concatenate([h for _, h in within_radius(block, radius)])
+    bits, planes = bit_planes(block)
+    words = -(-m // 64)
+    beyond = np.packbits((np.arange(words * 64) >= m).astype(np.uint8), bitorder="little").view("<u8")
+    found = []
+    for at in range(0, m, queries):
+        mine = np.arange(at, min(at + queries, m))
+        over = np.broadcast_to(beyond, (len(mine), words)).copy()
+        over[np.arange(len(mine)), mine // 64] |= _U64(1) << (mine % 64).astype(_U64)
+        found.append(_compare(bits[mine], lambda plane, live: np.broadcast_to(plane, (len(live), words)), over, planes, radius))
+    return np.concatenate(found)
+
+
+def small_blocks_within(rows: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``within_radius`` for many blocks of at most 64 rows at once, given one after the other.
+
+    Blocks share machine words but none lies across two, so a query needs one word.  Returns
+    for each row its packed lanes and the lane of its block's first row.
+    """
+    place = np.zeros(len(sizes), np.int64)
+    at = 0
+    for i, n in enumerate(sizes.tolist()):
+        if at % 64 + n > 64:
+            at += 64 - at % 64
+        place[i] = at
+        at += n
+    first = np.repeat(place, sizes)
+    lane = first + np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    laid = np.zeros((-(-at // 64) * 64, rows.shape[1]), rows.dtype)
+    laid[lane] = rows
+    bits = np.unpackbits(laid.view(np.uint8).reshape(len(laid), -1), axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+    block = np.repeat(np.where(sizes == 64, _FULL, (_U64(1) << (sizes % 64).astype(_U64)) - _U64(1)), sizes) << (first % 64).astype(_U64)
+    over = (~block | _U64(1) << (lane % 64).astype(_U64))[:, None]
+    word = lane // 64
+    return _compare(bits[lane], lambda plane, live: plane[word[live]][:, None], over, planes, radius)[:, 0], first % 64
+
+
+def _spanning(hits: np.ndarray) -> list[tuple[int, int]]:
+    """(child, parent) rows of a spanning forest, by breadth; ``hits`` are packed neighbours."""
+    m = len(hits)
     unseen = np.ones(-(-m // 64) * 64, bool)
     unseen[m:] = False
     pairs = []
-    for root in range(m):
+    for root in np.flatnonzero(hits.any(axis=1)):
         if not unseen[root]:
             continue
         unseen[root] = False
@@ -160,22 +209,19 @@ def block_forest(block: np.ndarray, radius: int) -> np.ndarray:
         while queue:
             at = queue.pop()
             found = np.flatnonzero(np.unpackbits(hits[at].view(np.uint8), bitorder="little").astype(bool) & unseen)
-            if len(found):
-                unseen[found] = False
-                pairs.append(np.column_stack([found, np.full(len(found), at)]))
-                queue.extend(found.tolist())
-    return np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-
-
-def nearest_forest(block: np.ndarray, radius: int) -> np.ndarray:
-    """As ``block_forest``, but the minimum spanning forest by distance (Prim's method)."""
-    hits = np.concatenate([h for _, h in within_radius(block, radius)])
-    rows = np.flatnonzero(np.bitwise_count(hits).sum(axis=1) > 1)
-    some, pairs = block[rows], []
-    best, parent = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+            unseen[found] = False
+            pairs += [(f, at) for f in found]
+            queue.extend(found.tolist())
+    return pairs
+
+
+def _nearest(block: np.ndarray, rows: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(child, parent) of the minimum spanning forest by distance of the given rows (Prim's method)."""
+    some, pairs, far_off = block[rows], [], np.iinfo(np.int64).max
+    best, parent = np.full(len(rows), far_off), np.full(len(rows), -1)
     left = np.ones(len(rows), bool)
     for _ in range(len(rows)):
-        at = int(np.argmin(np.where(left, best, np.iinfo(np.int64).max)))
+        at = int(np.argmin(np.where(left, best, far_off)))
         if not left[at]:
             at = int(np.flatnonzero(left)[0])
         left[at] = False
@@ -184,6 +230,34 @@ def nearest_forest(block: np.ndarray, radius: int) -> np.ndarray:
         far = np.bitwise_count(some ^ some[at]).sum(axis=1).astype(np.int64)
         nearer = left & (far <= radius) & (far < best)
         best[nearer], parent[nearer] = far[nearer], at
+    return pairs
+
+
+def forests(rows: np.ndarray, sizes: np.ndarray, radius: int, nearest: bool = False) -> np.ndarray:
+    """(child, parent) rows of a spanning forest of the links within each of many blocks.
+
+    The blocks lie one after the other.  ``nearest`` asks for the minimum spanning forest.
+    """
+    start = np.cumsum(sizes) - sizes
+    pairs: list[tuple[int, int]] = []
+    small = np.flatnonzero(sizes <= 64)
+    for at in range(0, len(small), 512):
+        some = small[at : at + 512]
+        index = np.repeat(start[some], sizes[some]) + np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        lanes, first = small_blocks_within(rows[index], sizes[some], radius)
+        owner = np.repeat(np.arange(len(some)), sizes[some])
+        ends = np.cumsum(sizes[some])
+        for b in np.unique(owner[lanes != 0]):
+            lo, hi = ends[b] - sizes[some[b]], ends[b]
+            hits = (lanes[lo:hi] >> first[lo:hi].astype(_U64))[:, None]
+            own = index[lo:hi]
+            found = _nearest(rows[own], np.flatnonzero(hits[:, 0]), radius) if nearest else _spanning(hits)
+            pairs += [(own[c], own[p]) for c, p in found]
+    for b in np.flatnonzero(sizes > 64):
+        block = np.ascontiguousarray(rows[start[b] : start[b] + sizes[b]])
+        hits = within_radius(block, radius)
+        found = _nearest(block, np.flatnonzero(hits.any(axis=1)), radius) if nearest else _spanning(hits)
+        pairs += [(start[b] + c, start[b] + p) for c, p in found]
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
@@ -201,7 +275,7 @@ class _Path:
     def __init__(self, fixed: list[int], left: list[int]):
         self.fixed, self.left = fixed, left
 
-    def key(self, fp: Column, lanes: int) -> Column:
+    def key(self, fp: list[Column], lanes: int) -> Column:
         parts = []
         for lane in range(lanes):
             word = sum(1 << (b - 64 * lane) for b in self.fixed if b // 64 == lane)
@@ -217,77 +291,138 @@ class _Path:
         return [_Path(self.fixed + g, [b for b in self.left if b not in set(g)]) for g in groups]
 
 
-def _blocks(nodes: DataFrame, lanes: int, paths: list[_Path], later: tuple[int, int | None], depth: int, block: int) -> DataFrame:
-    """``(members)``: arrays of ``(fp, node)`` whose fingerprints share a path's bits.
+class _Blocks:
+    """Takes rows in the order of their groups; gives links, and rows of groups to be divided again.
 
-    ``later`` has the number of bands, and the bits of each or None for all, by which a group of
-    more than ``block`` is divided again.
+    A group of at most ``block`` rows is one block.  A larger one goes on whole to be divided.  With
+    ``tight`` it is thinned first: of the rows held, those within ``tight`` bits of an earlier one are
+    linked and let go, so that a large group of near copies does not stay large.
     """
-    rows = nodes.select("fp", "node")
-    found = []
-    for level in range(depth):
-        keyed = rows.select(
-            "fp", "node",
-            F.explode(F.array(*[F.struct(F.lit(i).alias("path"), p.key(F.col("fp"), lanes).alias("key")) for i, p in enumerate(paths)])).alias("k"),
-        ) if level == 0 else rows.select("fp", "node", F.explode("next").alias("k"))
-        keyed = keyed.select("fp", "node", "k.path", "k.key")
-        last = level == depth - 1
-        sizes = staged(keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        whole = sizes if last else sizes.where(F.col("n") <= block)
-        found.append(
-            keyed.join(whole, ["path", "key"])
-            .groupBy(F.lit(level).alias("level"), "path", "key")
-            .agg(F.collect_list(F.struct("fp", "node")).alias("members"))
-            .select("members")
-        )
-        if last:
-            break
-        large = sizes.where(F.col("n") > block)
-        used = sorted(r["path"] for r in large.select("path").distinct().collect())  # one for each path
+
+    def __init__(self, lanes: int, radius: int, block: int, tight: int | None):
+        self.lanes, self.radius, self.block, self.tight = lanes, radius, block, tight
+        self.group: tuple[int, int] | None = None
+        self.fp, self.node = np.empty((0, lanes), _U64), np.empty(0, np.int64)
+        self.spilled = False
+        self.links: list[np.ndarray] = []
+        self.rest: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def _link(self, fp: np.ndarray, node: np.ndarray, sizes: np.ndarray) -> None:
+        pairs = forests(fp, sizes, self.radius, self.tight is not None)
+        if len(pairs):
+            self.links.append(node[pairs])
+
+    def _thin(self) -> None:
+        self._link(self.fp, self.node, np.array([len(self.fp)]))
+        near = within_radius(self.fp, self.tight)
+        covered, kept = np.zeros(near.shape[1], _U64), []
+        for i in range(len(near)):
+            if not covered[i // 64] >> _U64(i % 64) & _U64(1):
+                kept.append(i)
+                covered |= near[i]
+        self.fp, self.node = self.fp[kept], self.node[kept]
+
+    def _spill(self, fp: np.ndarray, node: np.ndarray) -> None:
+        self.rest.append((self.group[0], fp, node))
+
+    def _add(self, fp: np.ndarray, node: np.ndarray) -> None:
+        while len(fp) and not self.spilled:
+            room = self.block - len(self.fp)
+            if room == 0:
+                if self.tight is not None:
+                    self._thin()
+                if len(self.fp) > self.block // 2:
+                    self._spill(self.fp, self.node)
+                    self.spilled = True
+                continue
+            self.fp, self.node = np.concatenate([self.fp, fp[:room]]), np.concatenate([self.node, node[:room]])
+            fp, node = fp[room:], node[room:]
+        if len(fp):
+            self._spill(fp, node)
+
+    def close(self) -> None:
+        if not self.spilled and len(self.fp) > 1:
+            self._link(np.ascontiguousarray(self.fp), self.node, np.array([len(self.fp)]))
+        self.group, self.fp, self.node, self.spilled = None, self.fp[:0], self.node[:0], False
+
+    def _piece(self, group: tuple[int, int], fp: np.ndarray, node: np.ndarray) -> None:
+        if self.group != group:
+            self.close()
+            self.group = group
+        self._add(fp, node)
+
+    def take(self, path: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> None:
+        cut = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(path)]])
+        inner = np.arange(len(starts))[1:-1]
+        small = inner[(ends - starts)[inner] <= self.block]
+        for g in np.setdiff1d(np.arange(len(starts)), small):
+            if g == len(starts) - 1 and len(small):
+                index = np.concatenate([np.arange(starts[i], ends[i]) for i in small])
+                self._link(fp[index], node[index], (ends - starts)[small])
+            self._piece((int(path[starts[g]]), int(key[starts[g]])), fp[starts[g] : ends[g]], node[starts[g] : ends[g]])
+
+    def drain(self) -> pa.RecordBatch:
+        """Links as (a, b), and rows to be divided as (path, node, f0...)."""
+        links = np.concatenate(self.links) if self.links else np.empty((0, 2), np.int64)
+        paths = np.concatenate([np.full(len(n), p) for p, _, n in self.rest]) if self.rest else np.empty(0, np.int64)
+        nodes = np.concatenate([n for _, _, n in self.rest]) if self.rest else np.empty(0, np.int64)
+        prints = np.concatenate([f for _, f, _ in self.rest]).view(np.int64) if self.rest else np.empty((0, self.lanes), np.int64)
+        self.links, self.rest = [], []
+        none = lambda n: pa.nulls(n, pa.int64())
+        column = lambda first, then: pa.concat_arrays([pa.array(first, pa.int64()) if not isinstance(first, pa.Array) else first, pa.array(then, pa.int64()) if not isinstance(then, pa.Array) else then])
+        n, m = len(links), len(nodes)
+        columns = [column(links[:, 0], none(m)), column(links[:, 1], none(m)), column(none(n), paths), column(none(n), nodes)]
+        columns += [column(none(n), np.ascontiguousarray(prints[:, k])) for k in range(self.lanes)]
+        return pa.record_batch(columns, ["a", "b", "path", "node", *[f"f{k}" for k in range(self.lanes)]])
+
+
+def _links(nodes: DataFrame, lanes: int, paths: list[_Path], later: tuple[int, int | None], radius: int, block: int, tight: int | None = None) -> DataFrame:
+    """``(a, b)``: spanning forests of the links within every block, as nodes.
+
+    Rows are shuffled once by (path, key) and met in order by a task, which holds one block at a
+    time.  ``later`` has the number of bands, and the bits of each or None for all, by which a
+    group of more than ``block`` is divided again, until no group is left.
+    """
+    spark = nodes.sparkSession
+    f = [f"f{k}" for k in range(lanes)]
+    word = [F.col(x) for x in f]
+    schema = "a long, b long, path long, node long, " + ", ".join(f"{x} long" for x in f)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(lanes, radius, block, tight)
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                fp = np.ascontiguousarray(np.column_stack(columns[3:])).view(_U64)
+                blocks.take(columns[0], columns[1], fp, columns[2])
+                yield blocks.drain()
+        blocks.close()
+        yield blocks.drain()
+
+    def keys(some: list[_Path], first: int = 0) -> Column:
+        return F.array(*[F.struct(F.lit(first + i).cast("long").alias("path"), p.key(word, lanes).alias("key")) for i, p in enumerate(some)])
+
+    rows = nodes.select("node", *[F.col("fp")[k].alias(x) for k, x in enumerate(f)])
+    choice, found = keys(paths), None
+    while True:
+        keyed = rows.withColumn("k", F.explode(choice)).select(F.col("k.path").alias("path"), F.col("k.key").alias("key"), "node", *f)
+        ordered = keyed.repartition(shuffle_width(spark), "path", "key").sortWithinPartitions("path", "key")
+        made = staged(ordered.mapInArrow(run, schema), "blocks")
+        links = made.where("a IS NOT NULL").select("a", "b")
+        found = links if found is None else found.unionByName(links)
+        rows = made.where("path IS NOT NULL").select("path", "node", *f)
+        used = sorted(r["path"] for r in rows.select("path").distinct().collect())  # at most one for each path
         if not used:
-            break
-        after, options = [], {}
+            return found
+        after: list[_Path] = []
+        choice = None
         for p in used:
             grown = paths[p].children(*later)
-            options[p] = [
-                F.struct(F.lit(len(after) + j).alias("path"), c.key(F.col("fp"), lanes).alias("key"))
-                for j, c in enumerate(grown)
-            ]
+            chosen = keys(grown, len(after))
+            choice = F.when(F.col("path") == p, chosen) if choice is None else choice.when(F.col("path") == p, chosen)
             after += grown
-        choice = None
-        for p, structs in options.items():
-            choice = F.when(F.col("path") == p, F.array(*structs)) if choice is None else choice.when(F.col("path") == p, F.array(*structs))
-        rows = staged(keyed.join(large, ["path", "key"], "left_semi").select("fp", "node", choice.alias("next")), "divided")
         paths = after
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _links(blocks: DataFrame, lanes: int, radius: int, nearest: bool = False) -> DataFrame:
-    """``(a, b)``: the spanning forest of every block, as nodes."""
-    forest = nearest_forest if nearest else block_forest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            ends = column.offsets.to_numpy()
-            members = column.values
-            prints = members.field(0)
-            fp = prints.values.to_numpy(zero_copy_only=False).view(_U64)
-            fp = fp.reshape(-1, lanes)
-            base = prints.offsets.to_numpy()[0] // lanes
-            node = members.field(1).to_numpy(zero_copy_only=False)
-            a, b = [], []
-            for lo, hi in zip(ends[:-1], ends[1:], strict=False):
-                pairs = forest(np.ascontiguousarray(fp[base + lo : base + hi]), radius)
-                a.append(node[lo + pairs[:, 0]])
-                b.append(node[lo + pairs[:, 1]])
-            if a:
-                yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _nodes(prints: DataFrame) -> DataFrame:
@@ -301,8 +436,7 @@ def link_components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     """``(id, fp, component_id)`` of ``prints (id, fp)``: every link within the radius, none lost."""
     nodes = _nodes(prints)
     paths = _Path([], list(range(64))).children(radius + 1, None)
-    blocks = _blocks(nodes, 1, paths, (radius + 1, None), 4, block)
-    edges = staged(_links(blocks, 1, radius), "links")
+    edges = _links(nodes, 1, paths, (radius + 1, None), radius, block)
     reach = staged(components(edges), "reach")
     named = staged(
         nodes.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named"
@@ -320,23 +454,33 @@ NEAR_LANES = 4
 #: Bits of 256 that may differ.  At a similarity of 0.8 two shingle sets have a cosine of 0.89 and
 #: 39 differing bits on average, with a deviation of 5.7; texts without a common shingle have 128 and 8.
 NEAR_RADIUS = 60
-#: Bands of 12 bits, dealt twice in different orders: at a similarity of 0.8 a band agrees with
-#: probability 0.14, so one of 42 does with 0.998.
-NEAR_BAND = 12
-NEAR_DEALS = 2
+#: Probability that a band's bit agrees at a similarity of 0.8, and the recall that the number of
+#: bands is chosen for at that similarity (higher similarities are found more surely).
+NEAR_AGREE, NEAR_RECALL = 0.849, 0.995
+#: Bands have as many bits as make groups of unrelated texts this large on average.
+NEAR_GROUP, NEAR_LEAST_BITS = 16, 8
 #: A group too large for one block is divided by each of 8 further bands of 4 bits.
 NEAR_LATER = (8, 4)
-NEAR_DEPTH = 5
-
-
-def _near_paths() -> list[_Path]:
-    paths, bits = [], list(range(64 * NEAR_LANES))
-    for deal in range(NEAR_DEALS):
-        dealt = sorted(bits, key=lambda b: (b * (2 * deal + 1) * 37) % 257)
-        for i in range(len(bits) // NEAR_BAND):
-            band = sorted(dealt[i * NEAR_BAND : (i + 1) * NEAR_BAND])
+#: Rows of a group too large for one block that differ from a row held by no more bits are linked to
+#: it (a similarity of about 0.82 and above) and let go, before the group is divided.
+NEAR_TIGHT = 36
+
+
+def _near_paths(n: int) -> list[_Path]:
+    """Bands for ``n`` fingerprints: their width grows with the logarithm of ``n``, their number as
+    the recall needs, over bits that are dealt in another order each time."""
+    all_bits = range(64 * NEAR_LANES)
+    width = max(NEAR_LEAST_BITS, math.ceil(math.log2(max(n, 1) / NEAR_GROUP)))
+    wanted = math.ceil(math.log(1 - NEAR_RECALL) / math.log(1 - NEAR_AGREE**width))
+    paths: list[_Path] = []
+    for deal in itertools.count():
+        dealt = sorted(all_bits, key=lambda b: (b + 1) * pow(3, deal + 1, 257) % 257 * (7 * deal + 1) % 263)
+        for i in range(len(dealt) // width):
+            band = sorted(dealt[i * width : (i + 1) * width])
             paths.append(_Path(band, [b for b in dealt if b not in set(band)]))
-    return paths
+            if len(paths) == wanted:
+                return paths
+    raise AssertionError
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -395,9 +539,9 @@ def near_copies(
     )
     texts = staged(prints.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")), "texts")
     nodes = staged(texts.groupBy("fp").agg(F.min("rep").alias("node")), "nodes")
-    blocks = _blocks(nodes, NEAR_LANES, _near_paths(), NEAR_LATER, NEAR_DEPTH, block)
+    candidates = _links(nodes, NEAR_LANES, _near_paths(nodes.count()), NEAR_LATER, radius, block, NEAR_TIGHT)
     equal = texts.join(nodes, "fp").where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    edges = staged(_links(blocks, NEAR_LANES, radius, nearest=True).unionByName(equal).distinct(), "links")
+    edges = staged(candidates.unionByName(equal).distinct(), "links")
     held = _verified(edges, rows.withColumnRenamed("id", "node"), shingle, similarity)
     reach = staged(components(held), "reach").withColumnRenamed("node", "rep")
     named = staged(
