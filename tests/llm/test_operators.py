@@ -340,6 +340,16 @@ def test_ids_in_full(spark):
     assert [i for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 2 for i in r["ids"]] == [1]
 
 
+def test_ids_of_punctuation():
+    words = packing.word_ids(packing.tokenizer_path())
+    texts = ["foo).", "...", '"foo",', "(a),", "foo%,", "foo!.", "a.b.,", "x's. it's, 'S.", "3., 3.5. ½.", "größe. дом. дом, e\u0301. ΑΣ.", "." * 5000, "," * 5000 + " a" + ".," * 2500, ". , a. b,"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices("ab7é.,!)'\"% \n", k=60)) for _ in range(500)]
+    for text in texts:
+        want = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode(text.encode(), words), "<u4").tolist() == [*want, packing.END_ID]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567 é 1.2.3.4!"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}

@@ -84,7 +84,8 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        if len(word) > 1 and word[-1:] in b".,":
+        # A lone mark after a letter or digit is a piece of its own; in a run of marks it is not.
+        if word[-1:] in b".," and word[-2:-1].isalnum():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode("utf-8", "replace")
