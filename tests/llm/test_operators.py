@@ -350,6 +350,14 @@ def test_ids_of_punctuation():
         assert np.frombuffer(packing.encode(text.encode(), words), "<u4").tolist() == [*want, packing.END_ID]
 
 
+def test_cards_in_short_groups(spark):
+    digits = "4111111111111111"
+    cards = ["".join(c + (sep if i % k == k - 1 and i < 15 else "") for i, c in enumerate(digits)) for k in (1, 2, 3) for sep in " -"]
+    docs = spark.createDataFrame([(i, f"é {c} x") for i, c in enumerate(cards)], "doc_id long, text string")
+    got = {r["id"]: [tuple(s) for s in r["base"]] for r in pii.find_personal_data(docs).collect()}
+    assert got == {i: [(2, 2, 2 + len(c))] for i, c in enumerate(cards)}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567 é 1.2.3.4!"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}

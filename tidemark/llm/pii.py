@@ -51,7 +51,7 @@ GENERATORS = (
     ("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{3,4}){2}(?![0-9])", False),
 )
 #: A text without any of these has no candidate.
-ANY = r"@|\.[0-9]|[0-9]{4}|\+[0-9]"
+ANY = r"@|\.[0-9]|[0-9](?:[\x20-]?[0-9]){15}|\+[0-9]"
 #: Words that announce personal data.
 TELLING = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|iban|account|host|addr|\bip)[^0-9@]*$"
 CONTEXT = 24
