@@ -251,6 +251,18 @@ def test_read_logs_gaps(spark, tmp_path):
     assert [r["after_byte"] - r["first_byte"] for r in rows if r["gap"] is not None] == [4]
 
 
+@pytest.mark.parametrize("start", ["overwritten", "junk before", "plain before", "cut"])
+def test_damaged_first_bytes(spark, tmp_path, start):
+    parts = archive()
+    whole = b"".join(gzip.compress(p, mtime=0) for p in parts)
+    data = {"overwritten": b"\0" * 6 + whole[6:], "junk before": b"junk" + whole, "plain before": parts[0] + whole, "cut": whole[9:]}[start]
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    first = {"overwritten": [1], "junk before": [0], "plain before": [0, 0], "cut": [1]}[start]
+    assert [int(r["record_id"].rpartition(":")[2]) for r in rows if r["gap"] is None] == [*first, *range(first[-1] + 1, 8)]
+    assert sum(r["gap"] is not None for r in rows) == (start != "plain before")
+
+
 # ---------------------------------------------------------------- the others
 
 

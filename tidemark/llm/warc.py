@@ -7,9 +7,9 @@ least ``revisit_from`` bytes) are stored once; the others are ``revisit`` record
 
 *Reading.*  Files are read whole (the writer bounds their size) and parsed in Python.  A record has to
 pass every check: version line, header syntax, length, the CR LF CR LF after the block, and the
-payload digest.  After a failed check the reader searches for the next version line - in
-compressed files, for the next gzip member - whose record passes, resumes there, and logs the
-bytes between as a quarantined gap.
+payload digest.  After a failed check the reader searches for the next version line or gzip member,
+whichever comes first, whose record passes, resumes there, and logs the bytes between as a
+quarantined gap.
 
 Defined results
 ---------------
@@ -121,6 +121,7 @@ def write_warc(
 Record = tuple[int, int, dict, bytes]  # first byte, byte after the last, headers, payload
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_MAGIC = b"\x1f\x8b\x08"
 _HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 
 
@@ -161,56 +162,57 @@ def _digest_holds(headers: dict, payload: bytes) -> bool:
     return value.lower() in (digest.hexdigest(), base64.b32encode(digest.digest()).decode().lower())
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of a plain archive in order, and quarantined gaps as (first, after last, reason)."""
-    at = 0
-    while at < len(data):
-        found = parse_record(data, at)
-        if not isinstance(found, str):
-            yield found
-            at = found[1]
-            continue
-        why, next_at, better = found, at, None
-        while better is None:
-            version = _VERSION.search(data, next_at + 1)
-            if not version:
-                next_at = len(data)
-                break
-            next_at = version.start()
-            tried = parse_record(data, next_at)
-            better = None if isinstance(tried, str) else tried
-        yield at, next_at, why
-        at = next_at
-
-
-def salvage_members(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """As ``salvage`` for archives of gzip members; positions are those of the compressed bytes."""
+def salvage(data: bytes, members: bool = True) -> Iterator[Record | tuple[int, int, str]]:
+    """Records of an archive in order, and quarantined gaps as (first, after last, reason).
+
+    Records stand plain or in gzip members, one after the other in any order; the records of a
+    member all have its place.  ``members`` is False within a member.
+    """
     at, bad, why = 0, None, ""
+    line, magic = -1, -1  # the next places where a version line or a member may begin
     while at < len(data):
-        inner, size = _member(data, at)
-        found = list(salvage(inner)) if inner else []
-        good = [r for r in found if len(r) == 4]
-        if good:
+        found = _unit(data, at, members)
+        if not isinstance(found, str):
             if bad is not None:
                 yield bad, at, why
                 bad = None
-            for r in good:
-                yield at, at + size, r[2], r[3]
-            for gap in found:
-                if len(gap) == 3:
-                    yield at, at + size, f"within a member: {gap[2]}"
-            at += size
+            yield from found
+            at = found[0][1]
             continue
         if bad is None:
-            bad, why = at, "bad gzip member" if inner is None else "member holds no record"
-        at = data.find(b"\x1f\x8b\x08", at + 1)
-        at = len(data) if at < 0 else at
+            bad, why = at, found
+        if line <= at:
+            version = _VERSION.search(data, at + 1)
+            line = version.start() if version else len(data)
+        if magic <= at:
+            magic = data.find(_MAGIC, at + 1) if members else -1
+            magic = len(data) if magic < 0 else magic
+        at = min(line, magic)
     if bad is not None:
         yield bad, len(data), why
 
 
+#: The reader finds out by itself what a file holds, whatever its first bytes are.
+salvage_members = salvage
+
+
+def _unit(data: bytes, at: int, members: bool) -> list | str:
+    """What begins at a byte, a record or the contents of a gzip member, or why nothing does."""
+    if not (members and data.startswith(_MAGIC, at)):
+        found = parse_record(data, at)
+        return found if isinstance(found, str) else [found]
+    inner, size = _member(data, at)
+    if inner is None:
+        return "bad gzip member"
+    found = list(salvage(inner, False))
+    if not any(len(r) == 4 for r in found):
+        return "member holds no record"
+    good = [(at, at + size, r[2], r[3]) for r in found if len(r) == 4]
+    return good + [(at, at + size, f"within a member: {r[2]}") for r in found if len(r) == 3]
+
+
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    if data[at : at + 3] != b"\x1f\x8b\x08":
+    if data[at : at + 3] != _MAGIC:
         return None, 0
     unzip = zlib.decompressobj(31)
     try:
@@ -238,10 +240,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 name, data = file.as_py(), content.as_py()
-                parser = salvage_members if data[:2] == b"\x1f\x8b" else salvage
                 rows: list[tuple] = []
                 held = 0
-                for r in parser(data):
+                for r in salvage(data):
                     if len(r) == 3:
                         rows.append((name, r[0], r[1], r[2], *[None] * 7))
                     else:
