@@ -202,6 +202,12 @@ def test_round_trip(spark, tmp_path):
     assert len(got) == 19 and {r["refers_to"] for r in got} == {57}
 
 
+def test_long_urls(spark, tmp_path):
+    rows = [(1, "data:," + "a" * 100_000, "one"), (2, "http://h/WARC/1.1", "two"), (3, "http://h/" + "é" * 50_000, "x" * 1500), (4, "data:," + "b" * 3_000_000, "x" * 1500)]
+    folder = table(spark, tmp_path, rows, "page_id long, url string, html string", "pages")
+    assert_same(QUERIES["op5_warc"](spark, folder), ORACLES["op5_warc"], folder)
+
+
 def archive(n=8, size=300):
     rng, out = random.Random(9), []
     for i in range(n):

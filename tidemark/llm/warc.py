@@ -41,8 +41,6 @@ REVISIT_FROM = 1000
 ARCHIVE_BYTES = 16 << 20
 #: Repeated digests up to this number are broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
-#: A header block may not be longer.
-MAX_HEADER = 64 << 10
 
 ID_URN = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -130,18 +128,21 @@ def parse_record(data: bytes, at: int) -> Record | str:
     version = _VERSION.match(data, at)
     if not version:
         return "no version line"
-    end = data.find(b"\r\n\r\n", version.end() - 2, at + MAX_HEADER)
-    if end < 0:
-        return "headers do not end"
-    headers = {}
-    for line in data[version.end() : end].split(b"\r\n"):
-        found = _HEADER.fullmatch(line)
+    headers, start = {}, version.end()
+    while True:  # header lines may be of any length and number; the first bad one ends the search
+        end = data.find(b"\r\n", start)
+        if end < 0:
+            return "headers do not end"
+        if end == start:
+            break
+        found = _HEADER.fullmatch(data, start, end)
         if not found:
             return "bad header line"
         headers[found[1].decode("ascii").lower()] = found[2].decode("utf-8", "replace")
+        start = end + 2
     if not headers.get("content-length", "").isdecimal() or "warc-type" not in headers or "warc-record-id" not in headers:
         return "a required header is missing"
-    start = end + 4
+    start = end + 2
     stop = start + int(headers["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "block does not end where its length says"
