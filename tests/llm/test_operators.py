@@ -376,6 +376,25 @@ def test_cards_in_short_groups(spark):
     assert got == {i: [(2, 2, 2 + len(c))] for i, c in enumerate(cards)}
 
 
+def test_context_decides(spark):
+    rows = [f"call me: +1 (826) 555-{1000 + i} now" for i in range(200)] + [f"part 12-{100 + i} of it" for i in range(200)]
+    rows += ["call me: (826) 555-4081 now", "part 826-555-4081 of it", "call me: 2020-01-15 now"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = pii.candidates(docs)
+    model = pii.Boosted.fit(pii._labelled(spans))
+    scores = {(r["id"], r["valid"]): r["p"] for r in spans.where("id >= 400").select("id", F.explode("spans").alias("s")).select("id", "s.valid", model.score(F.col("s")).alias("p")).collect()}
+    assert scores[400, 1] > 0.9 > 0.5 > scores[401, 1] and (402, 1) not in scores
+    got = {r["id"]: [tuple(s) for s in r["added"]] for r in pii.find_personal_data(docs).where("id >= 400").collect()}
+    assert got == {400: [(3, 9, 23)], 401: [], 402: []}
+
+
+def test_disguised_data_is_proposed(spark):
+    texts = {"email": "foo (at) bar [dot] de", "ip": "10[.]20[.]30[.]40", "card": "4111.1111.1111.1111", "phone": "030/1234567".replace("1234567", "1234 567")}
+    docs = spark.createDataFrame([(pii.KINDS.index(k), t) for k, t in texts.items()], "doc_id long, text string")
+    for r in pii.candidates(docs).collect():
+        assert any((s["kind"], s["start"], s["end"], s["valid"]) == (r["id"], 0, len(texts[pii.KINDS[r["id"]]]), 1) for s in r["spans"])
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567 é 1.2.3.4!"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}

@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting, in column functions alone.
 
 1. *Generators* propose overlapping spans: the four base patterns, and wider ones that cut into or
-   across them (a phone number followed by other digits, a card number within a longer run).
-2. Every candidate gets a few discrete *features* of its format (digits, validity, separators)
-   and context (characters beside it, telling words before it).
+   across them (a phone number followed by other digits, a card number within a longer run) or lie
+   beyond them (phone numbers without a plus, disguised addresses, cards with other separators).
+2. Every candidate gets a few discrete *features* of its writing (separators) and context
+   (characters beside it, telling words before it).
 3. *Boosted trees* learn from all candidates: those that are base spans against those whose
    format check fails.  As features are discrete the training set is a table of counts, whose
    size the feature domains bound; it is aggregated on the cluster and the trees grow on it on
@@ -48,15 +49,24 @@ GENERATORS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True),
     ("ip", r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9.])", False),
     ("card", r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", False),
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[A-Za-z0-9-]++)++", False),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[(](?:(?i:dot)|\.)[\])]\x20?[0-9]{1,3}){3}(?![0-9])", False),
+    ("card", r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){15,18}(?![0-9])", False),
+    ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,4}(?![0-9])", False),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{3,4}){2}(?![0-9])", False),
 )
 #: A text without any of these has no candidate.
-ANY = r"@|\.[0-9]|[0-9](?:[\x20-]?[0-9]){15}|\+[0-9]"
+ANY = r"@|[\[(](?i:at)[\])]|[0-9](?:\.|\x20?[\[(](?:(?i:dot)|\.)[\])]\x20?)[0-9]|[0-9](?:[\x20./-]{0,2}[0-9]){15}|\+[0-9]|[0-9]{2}(?:\)\x20?|[\x20./-])[0-9]{2}"
 #: Words that announce personal data.
 TELLING = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|iban|account|host|addr|\bip)[^0-9@]*$"
 CONTEXT = 24
 
-FEATURES = ("kind", "valid", "digits", "separators", "left", "right", "telling")
+#: Figures that look like a date; none begins as the base patterns of its kind do.
+DATE = r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})$"
+
+#: None of them tells whether the format check holds: it makes the labels, so trees that knew it, or the
+#: number of digits, would learn nothing else.
+FEATURES = ("kind", "separators", "left", "right", "telling")
 #: Trees, their depth, the learning rate, and the precision that thresholds are calibrated to.
 TREES, DEPTH, RATE, PRECISION = 24, 2, 0.3, 0.95
 #: Of so many folds of documents one is left out of training.
@@ -99,11 +109,11 @@ def _valid(kind: str, hit: Column) -> Column:
     digits = F.regexp_replace(hit, "[^0-9]", "")
     if kind == "ip":
         part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-        return hit.rlike(rf"^{part}(?:\.{part}){{3}}$")
+        return F.regexp_replace(hit, "[^0-9]+", ".").rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         return let(digits, lambda d: F.length(d).between(16, 19) & _luhn(d))
     if kind == "phone":
-        return F.length(digits).between(8, 15)
+        return F.length(digits).between(8, 15) & ~hit.rlike(DATE)
     return F.lit(True)
 
 
@@ -117,14 +127,12 @@ def _beside(char: Column) -> Column:
 def _candidate(kind: str, base: bool, m: Column) -> Column:
     hit = m["hit"]
     valid = _valid(kind, hit)
-    n = F.length(F.regexp_replace(hit, "[^0-9]", ""))
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"),
         m["start"].alias("start"),
         (m["start"] + F.length(hit)).alias("end"),
         (valid if base else F.lit(False)).alias("base"),
         valid.cast("int").alias("valid"),
-        F.when(n < 8, 0).when(n < 12, 1).when(n < 16, 2).when(n == 16, 3).when(n < 20, 4).otherwise(5).alias("digits"),
         F.when(hit.rlike(r"[\x20()]"), 2).when(hit.rlike(r"[.-]"), 1).otherwise(0).alias("separators"),
         _beside(F.right(m["before"], F.lit(1))).alias("left"),
         _beside(m["after"]).alias("right"),
@@ -153,6 +161,7 @@ def _labelled(spans: DataFrame) -> list[Row]:
     base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["kind"], s["start"], s["end"]))
     rows = spans.select("fold", base.alias("bases"), F.explode("spans").alias("s")).select(
         (F.col("fold") == 0).alias("held"),
+        "s.valid",
         *[F.col(f"s.{f}") for f in FEATURES],
         F.array_contains("bases", F.struct("s.kind", "s.start", "s.end")).alias("positive"),
     )
