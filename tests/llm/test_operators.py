@@ -168,6 +168,18 @@ def test_near_copies_against_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("n", [4_000, 100_000, 1_000_000, 10_000_000])
+def test_bands_meet_their_recall(n):
+    rng = np.random.default_rng(6)
+    differ = (rng.random((256, 20_000)) > simhash.NEAR_AGREE).astype(np.float32)
+    bands = np.zeros((len(simhash._near_paths(n)), 256), np.float32)
+    for i, p in enumerate(simhash._near_paths(n)):
+        bands[i, p.fixed] = 1
+    found = ((bands @ differ).min(axis=0) == 0) & (differ.sum(axis=0) <= simhash.NEAR_RADIUS)
+    print(n, len(bands), found.mean())
+    assert found.mean() >= simhash.NEAR_RECALL - 0.002
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (None, 5)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]

@@ -455,7 +455,8 @@ NEAR_LANES = 4
 #: 39 differing bits on average, with a deviation of 5.7; texts without a common shingle have 128 and 8.
 NEAR_RADIUS = 60
 #: Probability that a band's bit agrees at a similarity of 0.8, and the recall that the number of
-#: bands is chosen for at that similarity (higher similarities are found more surely).
+#: bands is chosen for at that similarity (higher similarities are found more surely), averaged
+#: over the distances that pairs of that similarity have.
 NEAR_AGREE, NEAR_RECALL = 0.849, 0.995
 #: Bands have as many bits as make groups of unrelated texts this large on average.
 NEAR_GROUP, NEAR_LEAST_BITS = 16, 8
@@ -466,12 +467,25 @@ NEAR_LATER = (8, 4)
 NEAR_TIGHT = 36
 
 
+def _bands_for(width: int, bits: int = 64 * NEAR_LANES) -> int:
+    """The number of bands that meets the recall over binomial distances up to the radius."""
+    share, agree = [], []
+    for d in range(NEAR_RADIUS + 1):
+        share.append(math.comb(bits, d) * (1 - NEAR_AGREE) ** d * NEAR_AGREE ** (bits - d))
+        agree.append(math.comb(bits - width, d) / math.comb(bits, d))
+    weight, miss = np.array(share), 1 - np.array(agree)
+    n = 1
+    while weight @ (1 - miss**n) < NEAR_RECALL:
+        n += 1
+    return n
+
+
 def _near_paths(n: int) -> list[_Path]:
     """Bands for ``n`` fingerprints: their width grows with the logarithm of ``n``, their number as
     the recall needs, over bits that are dealt in another order each time."""
     all_bits = range(64 * NEAR_LANES)
     width = max(NEAR_LEAST_BITS, math.ceil(math.log2(max(n, 1) / NEAR_GROUP)))
-    wanted = math.ceil(math.log(1 - NEAR_RECALL) / math.log(1 - NEAR_AGREE**width))
+    wanted = _bands_for(width)
     paths: list[_Path] = []
     for deal in itertools.count():
         dealt = sorted(all_bits, key=lambda b: (b + 1) * pow(3, deal + 1, 257) % 257 * (7 * deal + 1) % 263)
