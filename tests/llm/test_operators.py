@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -370,14 +371,63 @@ def test_ids_in_full(spark):
     assert [i for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] == 2 for i in r["ids"]] == [1]
 
 
-def test_ids_of_punctuation():
+def reference_ids(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    return [[*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+
+
+def same_ids(texts):
     words = packing.word_ids(packing.tokenizer_path())
-    texts = ["foo).", "...", '"foo",', "(a),", "foo%,", "foo!.", "a.b.,", "x's. it's, 'S.", "3., 3.5. ½.", "größe. дом. дом, e\u0301. ΑΣ.", "." * 5000, "," * 5000 + " a" + ".," * 2500, ". , a. b,"]
+    for text, want in zip(texts, reference_ids(texts), strict=True):
+        assert np.frombuffer(packing.encode(text.encode(), words), "<u4").tolist() == want, text[:100]
+
+
+def test_ids_of_punctuation():
+    texts = ["foo).", "...", '"foo",', "(a),", "foo%,", "foo!.", "a.b.,", "x's. it's, 'S.", "3., 3.5. ½.", "größe. дом. дом, e\u0301. ΑΣ.", ". , a. b,", "hello... world", "x.,."]
+    texts += ["smile \U0001f600. \U0001f600...", "soft\u00adhyphen\u00ad. a\u00ad,", "nul\0. \0a. a\0b, \0.", "\u0301. a \u0301b", "I\u0307. İ, K\u0327. ǅ.", "a\u00a0b\u2028c.\x1cd\x85e.", "the<|endoftext|>end <|startoftext|>. <|ENDOFTEXT|>", "'S. 'RE, don'T."]
+    texts += ["." * 100_000, "," * 5000 + " a" + ".," * 2500, "ab" * 50_000 + ".", "é" * 50_000]
     rng = random.Random(3)
     texts += ["".join(rng.choices("ab7é.,!)'\"% \n", k=60)) for _ in range(500)]
-    for text in texts:
-        want = words.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(packing.encode(text.encode(), words), "<u4").tolist() == [*want, packing.END_ID]
+    same_ids(texts)
+
+
+def test_ids_of_any_characters():
+    rng = random.Random(8)
+    ranges = [(0, 0x80), (0x80, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0x980), (0x1100, 0x1200), (0x1E00, 0x2100), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFB00, 0xFE70), (0x1D400, 0x1D500), (0x1F300, 0x1F650)]
+    texts = []
+    for _ in range(3000):
+        some = rng.sample(ranges, 3) + [(0x20, 0x7F)]
+        texts.append("".join(chr(rng.randrange(*rng.choice(some))) if rng.random() < 0.7 else rng.choice(" ., aZ9'") for _ in range(40)))
+    same_ids(texts)
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    words = packing.WordIds(packing.tokenizer_path())
+    for i in range(500):
+        packing.encode(f"w{i} {'x' * i}".encode(), words)
+    assert len(words) <= 50 and max(map(len, words)) <= packing.CACHE_BYTES
+
+
+def test_step_groups_are_equal():
+    rng = random.Random(2)
+    for budget in (2048, 65536):
+        sizes = [1 << rng.choice([0, 3, 8, 8, 9, 10, 11, 11, 11]) for _ in range(2000)]
+        for last in (False, True):
+            group = packing.deal(sizes, budget, last)
+            sums = Counter()
+            for g, n in zip(group, sizes, strict=True):
+                sums[g] += n
+            whole, over = divmod(sum(sizes), budget)
+            rest = whole if last else -1
+            assert {g: n for g, n in sums.items() if g != rest} == dict.fromkeys(range(whole), budget) and sums[rest] == over
+            if budget > 2048:
+                each = [sum(1 for g, n in zip(group, sizes, strict=True) if g == k and n == 256) for k in range(whole)]
+                assert max(each) - min(each) <= 8
+    assert packing.deal([], 2048, True) == []
 
 
 def test_cards_in_short_groups(spark):

@@ -4,8 +4,9 @@ Documents are routed by length to context-size tiers, each a power of two.  A ti
 are packed into windows of its size by best fit; what room is left in a long window is filled
 with documents of the shorter tiers, the last of them cut to fit.  At the end of a task the
 documents that fill no window of their own are chained and cut into windows of falling powers
-of two, so no window needs padding.  Windows are dealt to *step groups* of equal token
-budgets, in which the tiers take turns.
+of two, so no window needs padding.  Windows are dealt to *step groups* of exactly the same number
+of tokens (but for the last of a task, which is smaller); each group gets its share of every
+window size.
 
 Tokens are made and packed in one pass over a bounded number of documents at a time: nothing is
 shuffled, ids never leave the task that made them, and the windows of a task depend on its input
@@ -15,6 +16,7 @@ Defined results
 ---------------
 * null or empty text: the end id alone
 * a document longer than the largest tier: whole largest windows first, the rest by its length
+* a special token spelled out in a text: that token's id, as the tokenizer gives it
 * null or repeated ids: every row is packed as a document of its own
 * equal lengths: in the order of the rows
 * empty table: empty result
@@ -27,6 +29,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ STEP_TOKENS = 65536
 #: Documents whose tokens a task holds at once, and their bytes of text.
 WINDOW_DOCS = 4000
 WINDOW_BYTES = 16 << 20
-#: Words whose ids a Python worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+#: Words whose ids a Python worker remembers before it starts anew, and the longest of them in bytes.
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
 
 
 class WordIds(dict):
@@ -61,8 +64,9 @@ class WordIds(dict):
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Spelled-out special tokens may span words, so a text with one is encoded whole.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         #: Characters that stand for bytes in byte-level vocabularies.
@@ -82,20 +86,25 @@ class WordIds(dict):
         return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        # A lone mark after a letter or digit is a piece of its own; in a run of marks it is not.
+        # A lone mark after an ASCII letter or digit is a piece of its own; in a run of marks it is not.
         if word[-1:] in b".," and word[-2:-1].isalnum():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            text = word.decode("utf-8", "replace")
-            found = self._direct(text)
-            if found is None:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
-        self[word] = ids
+            ids = self.whole(word)
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
+    def whole(self, text: bytes) -> bytes:
+        """Ids of a text that is not cut any further."""
+        plain = text.decode("utf-8", "replace")
+        found = self._direct(plain)
+        if found is None:
+            found = self.tokenizer.encode(plain, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
+
 
 _WORDS: dict[str, WordIds] = {}
 
@@ -109,8 +118,12 @@ def word_ids(path: str) -> WordIds:
 
 def encode(text: bytes | None, words: WordIds) -> bytes:
     """Ids of a text, then the end id; A-Z is lowered first as the tokenizer would."""
-    split = text.lower().split() if text else []
-    return b"".join(map(words.__getitem__, split)) + END_ID.to_bytes(4, "little")
+    end = END_ID.to_bytes(4, "little")
+    if not text:
+        return end
+    if any(token in text for token in words.special):
+        return words.whole(text) + end
+    return b"".join(map(words.__getitem__, text.lower().split())) + end
 
 
 Piece = tuple[int, int, int]  # document, start, length
@@ -199,6 +212,31 @@ class Packer:
         return out, list(reversed(queue))
 
 
+def deal(sizes: list[int], budget: int, last: bool) -> list[int]:
+    """The step group of each window: 0 and on for groups of exactly ``budget`` tokens, -1 for what is left.
+
+    Sizes are powers of two that divide the budget.  Windows are taken by falling size, each into the
+    group whose share of room is largest, so every group (and what is left) gets its part of
+    every size; room stays a multiple of the size at hand, so the groups fill up exactly.  With
+    ``last`` what is left is a group of its own.
+    """
+    groups, over = divmod(sum(sizes), budget)
+    rest = groups if last else -1
+    out = [rest] * len(sizes)
+    room = [(-1.0, k, budget) for k in range(groups)]
+    spare, whole = over, max(over, 1)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        # The heap's first group has the largest share of room among the full-size ones.
+        if room and (-room[0][0] >= spare / whole or spare < sizes[i]):
+            _, k, left = heappop(room)
+            out[i], left = k, left - sizes[i]
+            if left:
+                heappush(room, (-left / budget, k, left))
+        else:
+            spare -= sizes[i]
+    return out
+
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier long, step_group long"
@@ -219,6 +257,8 @@ def pack_documents(
     ``with_ids`` adds the ids themselves.  ``sequence_id`` and ``step_group`` count within a
     task, whose number is their upper half.
     """
+    if step_tokens % tiers[-1]:
+        raise ValueError("a step group holds a whole number of the largest windows")
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,33 +266,38 @@ def pack_documents(
         task = TaskContext.get().partitionId() << 40
         names: list = []
         parts: list[tuple[bytes, int, int]] = []  # ids, tokens before them in the document, its tokens
-        held, sequence = 0, 0
-        spent = dict.fromkeys(range(2 * tiers[-1] + 1), 0)
+        waiting: list[tuple[int, list[list]]] = []  # windows of no step group yet: size, rows
+        held, sequence, step = 0, 0, 0
+        kinds = [pa.int64()] * 9 + [pa.list_(pa.int32())] * with_ids
+        labels = [c.split()[0] for c in schema.split(", ")]
 
         def flush(last: bool) -> pa.RecordBatch | None:
-            nonlocal names, parts, held, sequence
+            nonlocal names, parts, held, sequence, step, waiting
             windows, rest = packer.window([len(ids) // 4 for ids, _, _ in parts], last)
-            out: list[list] = [[] for _ in schema.split(",")]
             for size, pieces in windows:
-                offset = 0
+                offset, rows = 0, []
                 for doc, start, n in pieces:
                     ids, before, total = parts[doc]
                     cut = ids[4 * start : 4 * (start + n)]
-                    row = [names[doc], before + start, n, zlib.crc32(cut), total, task + sequence, offset, size, task + spent[size] // step_tokens]
+                    row = [names[doc], before + start, n, zlib.crc32(cut), total, task + sequence, offset, size, 0]
                     if with_ids:
                         row.append(np.frombuffer(cut, "<u4").astype(np.int32))
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+                    rows.append(row)
                     offset += n
+                waiting.append((size, rows))
                 sequence += 1
-                spent[size] += size * len(tiers)
             left = [(names[d], (parts[d][0][4 * s : 4 * (s + n)], parts[d][1] + s, parts[d][2])) for d, s, n in rest]
             names, parts, held = [x for x, _ in left], [y for _, y in left], 0
-            if not out[0]:
-                return None
-            kinds = [pa.int64()] * 9 + [pa.list_(pa.int32())] * with_ids
-            labels = [c.split()[0] for c in schema.split(", ")]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], labels)
+            group = deal([size for size, _ in waiting], step_tokens, last)
+            out: list[list] = [[] for _ in labels]
+            for g, (_, rows) in zip(group, waiting, strict=True):
+                for row in rows if g >= 0 else ():
+                    row[8] = task + step + g
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            waiting = [w for g, w in zip(group, waiting, strict=True) if g < 0]
+            step += max(group, default=-1) + 1
+            return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], labels) if out[0] else None
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -264,7 +309,7 @@ def pack_documents(
                     found = flush(False)
                     if found:
                         yield found
-        if parts and (found := flush(True)):
+        if (parts or waiting) and (found := flush(True)):
             yield found
 
     ship(docs.sparkSession)
