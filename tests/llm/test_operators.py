@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -270,6 +271,30 @@ def test_read_logs_gaps(spark, tmp_path):
     assert [r["after_byte"] - r["first_byte"] for r in rows if r["gap"] is not None] == [4]
 
 
+def test_members_are_read_in_linear_time():
+    one = gzip.compress(archive(1, 20_000)[0], mtime=0)
+    times = []
+    for n in (400, 3800):  # 8 and 76 MB
+        data = one * n
+        began = time.perf_counter()
+        assert sum(len(r) == 4 for r in warc.salvage(data)) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 and times[1] < 30 * times[0]
+
+
+def test_wrong_lengths_are_quarantined(spark, tmp_path):
+    payload = b"some payload"
+    digest = warc.hashlib.sha1(payload).hexdigest()
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{}>\r\nWARC-Payload-Digest: sha1:{}\r\nX-Payload-Length: {}\r\nContent-Length: 12\r\n\r\n"
+    data = b"".join(head.format(i, digest, n).encode() + payload + b"\r\n\r\n" for i, n in ((1, 12), (2, 13), (3, 12)))
+    assert numbers(warc.salvage(data)) == [1, 3]
+    (tmp_path / "a.warc").write_bytes(data)
+    read = warc.read_warc(spark, str(tmp_path))
+    assert [r["payload_bytes"] for r in read.where("gap IS NULL").collect()] == [12, 12]
+    with pytest.raises(Exception, match="gap in an archive"):
+        warc.pages_of(read).collect()
+
+
 @pytest.mark.parametrize("start", ["overwritten", "junk before", "plain before", "cut"])
 def test_damaged_first_bytes(spark, tmp_path, start):
     parts = archive()

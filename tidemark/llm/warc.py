@@ -5,9 +5,9 @@ CR LF CR LF after each, so a folder of text files is a folder of valid archives,
 cluster's file committer to whatever store it uses.  Payloads that occur again (equal digest, at
 least ``revisit_from`` bytes) are stored once; the others are ``revisit`` records.
 
-*Reading.*  Files are read whole (the writer bounds their size) and parsed in Python.  A record has to
-pass every check: version line, header syntax, length, the CR LF CR LF after the block, and the
-payload digest.  After a failed check the reader searches for the next version line or gzip member,
+*Reading.*  Files are read whole (the writer bounds their size; Spark's reader refuses one of over
+2 GB) and parsed in Python in time that grows with their size.  A record has to pass every check: version
+line, header syntax, length, the CR LF CR LF after the block, payload length and digest.  After a failed check the reader searches for the next version line or gzip member,
 whichever comes first, whose record passes, resumes there, and logs the bytes between as a
 quarantined gap.
 
@@ -120,6 +120,8 @@ Record = tuple[int, int, dict, bytes]  # first byte, byte after the last, header
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
+#: Bytes of a gzip member that are inflated at a time.
+MEMBER_CHUNK = 1 << 14
 _HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*)")
 
 
@@ -147,8 +149,11 @@ def parse_record(data: bytes, at: int) -> Record | str:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "block does not end where its length says"
     payload = data[start:stop]
-    if headers["warc-type"] != "revisit" and not _digest_holds(headers, payload):
-        return "payload digest differs"
+    if headers["warc-type"] != "revisit":
+        if headers.get("x-payload-length", str(len(payload))) != str(len(payload)):
+            return "payload length differs"
+        if not _digest_holds(headers, payload):
+            return "payload digest differs"
     return at, stop + 4, headers, payload
 
 
@@ -213,14 +218,15 @@ def _unit(data: bytes, at: int, members: bool) -> list | str:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    if data[at : at + 3] != _MAGIC:
-        return None, 0
-    unzip = zlib.decompressobj(31)
+    """The contents and size of a gzip member, read in chunks: what follows it is not copied."""
+    unzip, view, out, read = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        inner = unzip.decompress(memoryview(data)[at:])
+        while not unzip.eof and read < len(data):
+            out.append(unzip.decompress(view[read : read + MEMBER_CHUNK]))
+            read = min(read + MEMBER_CHUNK, len(data))
     except zlib.error:
         return None, 0
-    return (inner, len(data) - at - len(unzip.unused_data)) if unzip.eof else (None, 0)
+    return (b"".join(out), read - at - len(unzip.unused_data)) if unzip.eof else (None, 0)
 
 
 READ_SCHEMA = (
@@ -248,7 +254,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         rows.append((name, r[0], r[1], r[2], *[None] * 7))
                     else:
                         h = r[2]
-                        size = h.get("x-payload-length", "")
+                        size = h.get("x-payload-length", "") if h["warc-type"] == "revisit" else ""
                         digest = h.get("warc-payload-digest", "").partition(":")[2].lower() or None
                         rows.append((
                             name, r[0], r[1], None, h["warc-type"], h["warc-record-id"].strip("<>"),
@@ -275,11 +281,17 @@ def page_of(urn: str) -> Column:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = write_warc(pages, scratch_path(spark, "warc"))
-    return read_warc(spark, path, with_payload=False).where("gap IS NULL").select(
+    return pages_of(read_warc(spark, path, with_payload=False))
+
+
+def pages_of(read: DataFrame) -> DataFrame:
+    """The pages of archives that this process wrote: a gap in one of them is an error, not a lost page."""
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in an archive:"), "file", "first_byte", "after_byte", "gap"))
+    return read.select(
         page_of("record_id").alias("page_id"),
         "payload_bytes",
         F.col("digest").alias("payload_digest"),
-        "record_type",
+        F.when(F.col("gap").isNull(), F.col("record_type")).otherwise(lost).alias("record_type"),
         page_of("refers_to").alias("refers_to"),
     )
 
