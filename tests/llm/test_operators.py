@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, documents, table, words
@@ -482,6 +483,110 @@ def test_disguised_data_is_proposed(spark):
         assert any((s["kind"], s["start"], s["end"], s["valid"]) == (r["id"], 0, len(texts[pii.KINDS[r["id"]]]), 1) for s in r["spans"])
 
 
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else int(d) * 2 - 9 * (int(d) > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def checked(kind, hit):
+    digits = re.sub("[^0-9]", "", hit)
+    if kind == "ip":
+        return all(int(p) < 256 for p in re.findall("[0-9]+", hit))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 8 <= len(digits) <= 15 and not re.search(pii.DATE, hit)
+    if kind == "secret":
+        return len(digits) >= 3 and len(re.findall("[A-Za-z]", hit)) >= 3 and len(set(hit)) >= 8
+    return True
+
+
+def proposed(text):
+    """(kind, start, end, base, features) of every candidate, with another engine than Spark's."""
+    beside = lambda c: 0 if not c else 1 if c in " \t\n\x0b\x0c\r" else 3 if regex.match(r"[\p{L}\p{N}]", c) else 2
+    for kind, pattern, base in pii.GENERATORS:
+        at = 0
+        for m in regex.finditer(pattern, text):
+            hit, before = m[0], text[at : m.start()][-pii.CONTEXT :]
+            at = m.end()
+            writing = 0 if re.fullmatch("[0-9]+", hit) else 1 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", hit) else 2 if re.search("[a-z].*[A-Z]|[A-Z].*[a-z]", hit) else 3
+            separators = 2 if re.search("[ ()]", hit) else 1 if re.search("[.-]", hit) else 0
+            x = (pii.KINDS.index(kind), separators, beside(before[-1:]), beside(text[m.end() : m.end() + 1]), int(bool(re.search(pii.TELLING.replace("$", r"\Z"), before))), writing)
+            yield kind, m.start(), m.end(), base and checked(kind, hit), checked(kind, hit), x
+
+
+def by_trees(model, x):
+    total = model.bias
+    for tree in model.trees:
+        while not isinstance(tree, float):
+            f, cut, low, high = tree
+            tree = low if x[f] <= cut else high
+        total += tree
+    return 1 / (1 + np.exp(-total))
+
+
+def test_added_spans_by_brute_force(spark):
+    rng = random.Random(12)
+    words = ["call me:", "part", "é", "mail", "of", "x", "\n", "token =", "key:"]
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    forms = [
+        lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"({digits(3)}) 555-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(2)}-{digits(3)}",
+        lambda: f"a{digits(2)}@b.co", lambda: f"a{digits(1)} (at) b [dot] de", lambda: ".".join(str(rng.randrange(320)) for _ in range(4)), lambda: f"10[.]{digits(2)}[.]1[.]9",
+        lambda: "4111111111111111", lambda: "4111.1111.1111.1111", lambda: digits(16), lambda: f"2020-0{rng.randint(1, 9)}-15", lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        lambda: "".join(rng.choices("ABCDEFGHabcdefgh-", k=20)),
+    ]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", ": "]) + rng.choice(forms)() + rng.choice([" ", "", ", ", "."]) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    texts += ["", "x" * 40, "+1 (555) 123-4567" * 30, " ".join(forms[1]() for _ in range(700))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.candidates(docs)
+    model = pii.Boosted.fit(pii._labelled(spans))
+    assert len({t[0] for t in model.trees if not isinstance(t, float)}) >= 2  # no feature alone decides
+    got = {r["id"]: ([tuple(s) for s in r["base"]], [tuple(s) for s in r["added"]]) for r in pii.find_personal_data(docs).collect()}
+    n_added = 0
+    for i, text in enumerate(texts):
+        found = list(proposed(text))
+        base = sorted({(pii.KINDS.index(k), a, b) for k, a, b, is_base, _, _ in found if is_base})
+        assert got[i][0] == base
+        good = {}
+        for kind, a, b, is_base, valid, x in found:
+            k, p = x[0], by_trees(model, x)
+            if valid and not is_base and p >= model.thresholds.get(k, 2) - 1e-9 and not any(a < f and e < b for _, e, f in base):
+                good[k, a, b] = p
+        want = []
+        for k in range(len(pii.KINDS)):
+            best = None
+            for s in sorted(s for s in good if s[0] == k):
+                if best is None or s[1] >= best[2]:
+                    want += [best] if best else []
+                    best = s
+                elif (good[s], s[2] - s[1], -s[1]) > (good[best], best[2] - best[1], -best[1]):
+                    best = s
+            want += [best] if best else []
+        assert got[i][1] == sorted(want), text
+        n_added += len(want)
+    assert n_added > 100
+
+
+def test_many_hits_in_one_text(spark):
+    times = []
+    for n in (4000, 32_000):
+        text = " ".join(f"+1 (826) 555-{i % 9000 + 1000} or 826-555-{i % 9000 + 1000}" for i in range(n // 2))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.find_personal_data(docs).first()
+        times.append(time.perf_counter() - began)
+        assert len(row["base"]) == n // 2
+    assert times[1] < 25 and times[1] < 12 * times[0]
+
+
+def test_folds_in_blocks(spark):
+    from tidemark.llm.common import fold_map
+
+    for n in (0, 1, 255, 256, 257, 1000):
+        rows = spark.createDataFrame([(list(range(n)),)], "xs array<int>")
+        step = lambda total, x: F.struct((total + x).alias("state"), (total + x).alias("out"))
+        assert rows.select(fold_map(F.col("xs"), F.lit(0), step, "int")).first()[0] == np.cumsum(np.arange(n)).tolist()
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567 é 1.2.3.4!"), (2, "nothing"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}

@@ -79,6 +79,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Elements that one inner fold appends to; an append copies its list, so lists are kept this short.
+FOLD_BLOCK = 256
+
+
+def fold_map(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """One output for each element of an array, by a running fold, in time that grows with its length.
+
+    ``step(state, item)`` gives a struct ``(state, out)``; ``kind`` is the SQL type of ``out``.  The array is
+    folded in blocks, so that outputs are appended to short lists only.
+    """
+
+    def over(values: Column, state: Column, advance: Callable[[Column, Column], Column], none: Column) -> Column:
+        def put(acc: Column, x: Column) -> Column:
+            return let(advance(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+        return F.aggregate(values, F.struct(state.alias("state"), none.alias("out")), put)
+
+    one, many = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    last = F.ceil(F.size(items) / FOLD_BLOCK).cast("int") - 1
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * FOLD_BLOCK + 1, FOLD_BLOCK))
+    whole = over(blocks, zero, lambda state, block: over(block, state, step, one), many)["out"]
+    return F.when(F.size(items) > 0, F.flatten(whole)).otherwise(one)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, other letters as they are; plain ASCII takes the quick path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

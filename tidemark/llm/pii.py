@@ -6,7 +6,8 @@
 2. Every candidate gets a few discrete *features* of its writing (separators) and context
    (characters beside it, telling words before it).
 3. *Boosted trees* learn from all candidates: those that are base spans against those whose
-   format check fails.  As features are discrete the training set is a table of counts, whose
+   format check fails, and announced secrets against other long runs.  Neither the check nor the
+   announcement is a feature.  As features are discrete the training set is a table of counts, whose
    size the feature domains bound; it is aggregated on the cluster and the trees grow on it on
    the driver.  They come back as one arithmetic expression of ``CASE`` terms.
 4. A *threshold* for each kind is calibrated on documents left out of training, to a stated precision;
@@ -18,8 +19,10 @@ one left-to-right scan, so a text is never searched again for a match.
 Defined results
 ---------------
 * null text: no spans
-* very long texts: patterns don't backtrack over runs, a scan is linear in the text
-* ties: of two added spans that overlap, the higher score stays, then the longer, then the first
+* very long texts: patterns don't backtrack over runs, scans and choices are folds in blocks, so time
+  grows with the text and the number of its candidates
+* ties: of two added spans of a kind that overlap, met from the left, the higher score stays, then the
+  longer, then the first
 * equal ids: every row is judged by itself
 * empty table: empty result, no model
 * other columns are not read
@@ -34,9 +37,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, staged
+from tidemark.llm.common import fold_map, let, staged
 
-KINDS = ("email", "ip", "card", "phone")
+#: Secrets (keys, tokens) are looked for as well; they have no base pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind, pattern, whether it is the kind's base pattern.
@@ -54,11 +58,14 @@ GENERATORS = (
     ("card", r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){15,18}(?![0-9])", False),
     ("phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){0,4}(?![0-9])", False),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{3,4}){2}(?![0-9])", False),
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+", False),
 )
 #: A text without any of these has no candidate.
-ANY = r"@|[\[(](?i:at)[\])]|[0-9](?:\.|\x20?[\[(](?:(?i:dot)|\.)[\])]\x20?)[0-9]|[0-9](?:[\x20./-]{0,2}[0-9]){15}|\+[0-9]|[0-9]{2}(?:\)\x20?|[\x20./-])[0-9]{2}"
+ANY = r"@|[\[(](?i:at)[\])]|[0-9](?:\.|\x20?[\[(](?:(?i:dot)|\.)[\])]\x20?)[0-9]|[0-9](?:[\x20./-]{0,2}[0-9]){15}|\+[0-9]|[0-9]{2}(?:\)\x20?|[\x20./-])[0-9]{2}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16}"
 #: Words that announce personal data.
 TELLING = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|iban|account|host|addr|\bip)[^0-9@]*$"
+#: What announces a secret; it labels the candidates and is no feature of theirs.
+ANNOUNCED = r"(?i)(?:token|secret|key|passw(?:or)?d|bearer|auth)[a-z_]{0,8}[\"']?\x20?[=:]?\x20?[\"']?$"
 CONTEXT = 24
 
 #: Figures that look like a date; none begins as the base patterns of its kind do.
@@ -66,7 +73,7 @@ DATE = r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9
 
 #: None of them tells whether the format check holds: it makes the labels, so trees that knew it, or the
 #: number of digits, would learn nothing else.
-FEATURES = ("kind", "separators", "left", "right", "telling")
+FEATURES = ("kind", "separators", "left", "right", "telling", "writing")
 #: Trees, their depth, the learning rate, and the precision that thresholds are calibrated to.
 TREES, DEPTH, RATE, PRECISION = 24, 2, 0.3, 0.95
 #: Of so many folds of documents one is left out of training.
@@ -74,25 +81,24 @@ FOLDS = 4
 
 
 def _scan(text: Column, pattern: str) -> Column:
-    """Array of (start, hit, left, right) of the matches of ``pattern``."""
-    kind = "array<struct<start:int,hit:string,before:string,after:string>>"
+    """Array of (start, hit, before, after) of the matches of ``pattern``."""
+    kind = "struct<start:int,hit:string,before:string,after:string>"
 
     def walk(hits: Column) -> Column:
         def steps(gaps: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(gaps, i))
+            def step(at: Column, i: Column) -> Column:
+                start = at + F.length(F.get(gaps, i))
                 found = F.struct(
                     start.alias("start"),
                     F.get(hits, i).alias("hit"),
                     F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"),
                     F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
                 )
-                return F.struct((start + F.length(F.get(hits, i))).alias("at"), F.array_append(acc["out"], found).alias("out"))
+                return F.struct((start + F.length(F.get(hits, i))).alias("state"), found.alias("out"))
 
-            none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), none, step, lambda acc: acc["out"])
+            return fold_map(F.sequence(F.lit(0), F.size(hits) - 1), F.lit(0), step, kind)
 
-        return F.when(F.size(hits) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), steps))
+        return F.when(F.size(hits) == 0, F.array().cast(f"array<{kind}>")).otherwise(let(F.split(text, pattern, -1), steps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), 0), walk)
 
@@ -114,6 +120,9 @@ def _valid(kind: str, hit: Column) -> Column:
         return let(digits, lambda d: F.length(d).between(16, 19) & _luhn(d))
     if kind == "phone":
         return F.length(digits).between(8, 15) & ~hit.rlike(DATE)
+    if kind == "secret":  # letters and digits mixed, of some variety
+        letters = F.array_distinct(F.filter(F.split(hit, ""), lambda c: c != ""))
+        return hit.rlike("[0-9].*[0-9].*[0-9]") & hit.rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]") & (F.size(letters) >= 8)
     return F.lit(True)
 
 
@@ -137,6 +146,8 @@ def _candidate(kind: str, base: bool, m: Column) -> Column:
         _beside(F.right(m["before"], F.lit(1))).alias("left"),
         _beside(m["after"]).alias("right"),
         m["before"].rlike(TELLING).cast("int").alias("telling"),
+        F.when(hit.rlike("^[0-9]+$"), 0).when(hit.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 1).when(hit.rlike("[a-z].*[A-Z]|[A-Z].*[a-z]"), 2).otherwise(3).alias("writing"),
+        (m["before"].rlike(ANNOUNCED) & F.lit(kind == "secret")).alias("announced"),
     )
 
 
@@ -156,17 +167,37 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # ---------------------------------------------------------------- boosted trees over counts
 
 
+def _with_twins(spans: DataFrame) -> DataFrame:
+    """``spans`` with the array sorted and each span told whether it equals a base span (``twin``).
+
+    Equal spans stand side by side, the base span first, so one fold sees them all.
+    """
+    none = F.struct(*[F.lit(-1).alias(c) for c in ("kind", "start", "end")])
+    fields = ("kind", "start", "end", "base", "valid", "announced", *FEATURES[1:])
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (~s["base"]).alias("added"), s.alias("s"))))
+
+    def step(last: Column, x: Column) -> Column:
+        here = F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+        twin = x["s"]["base"] | (here == last)
+        out = F.struct(*[x["s"][c].alias(c) for c in fields], twin.alias("twin"))
+        return F.struct(F.when(twin, here).otherwise(none).alias("state"), out.alias("out"))
+
+    kind = "struct<kind:int,start:int,end:int,base:boolean,valid:int,announced:boolean," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ",twin:boolean>"
+    return spans.withColumn("spans", let(order, lambda xs: fold_map(xs, none, step, kind)))
+
+
 def _labelled(spans: DataFrame) -> list[Row]:
     """Counts by features, label and fold: at most the product of the feature domains."""
-    base = F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    rows = spans.select("fold", base.alias("bases"), F.explode("spans").alias("s")).select(
+    rows = _with_twins(spans).select("fold", F.explode("spans").alias("s")).select(
         (F.col("fold") == 0).alias("held"),
         "s.valid",
         *[F.col(f"s.{f}") for f in FEATURES],
-        F.array_contains("bases", F.struct("s.kind", "s.start", "s.end")).alias("positive"),
+        (F.col("s.twin") | ((F.col("s.valid") == 1) & F.col("s.announced"))).alias("positive"),
     )
-    # A valid span that is no base span is what the model shall judge: it has no label.
-    return rows.where("positive OR valid = 0").groupBy("held", "positive", *FEATURES).count().collect()
+    # A valid span that is no base span is what the model shall judge: it has no label.  Secrets have no
+    # base pattern: those announced are set against those that are not.
+    secret = KINDS.index("secret")
+    return rows.where((F.col("positive")) | (F.col("valid") == 0) | (F.col("kind") == secret)).groupBy("held", "positive", *FEATURES).count().collect()
 
 
 class Boosted:
@@ -253,22 +284,59 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if model is None:
         return spans.select("id", base.alias("base"), F.filter(base, lambda _: F.lit(False)).alias("added"))
 
-    meets = lambda s, t: (s["start"] < t["end"]) & (t["start"] < s["end"])
-    rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"])
     scored = F.transform(
         F.filter("spans", lambda s: ~s["base"] & (s["valid"] == 1)),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), model.score(s).alias("score")),
     )
-    clear = F.filter(scored, lambda s: model.accepts(s, s["score"]) & ~F.exists("base", lambda b: meets(s, b)))
-    added = F.filter(
-        F.col("clear"),
-        lambda s: ~F.exists(F.col("clear"), lambda t: (t["kind"] == s["kind"]) & meets(s, t) & (rank(t) > rank(s))),
-    )
-    return (
-        spans.select("id", "spans", base.alias("base"))
-        .select("id", "base", F.when(F.size("spans") == F.size("base"), F.filter(scored, lambda _: F.lit(False))).otherwise(clear).alias("clear"))
-        .select("id", "base", F.array_sort(F.array_distinct(F.transform(added, bare))).alias("added"))
+    accepted = F.filter(scored, lambda s: model.accepts(s, s["score"]))
+    found = spans.select("id", base.alias("base"), accepted.alias("accepted"))
+    none = F.filter("base", lambda _: F.lit(False))
+    return found.select("id", "base", F.when(F.size("accepted") == 0, none).otherwise(let(_clear_of(F.col("accepted"), F.col("base")), _best)).alias("added"))
+
+
+_FAR = 2**31 - 1
+_SCORED = "struct<kind:int,start:int,end:int,score:double>"
+
+
+def _clear_of(spans: Column, base: Column) -> Column:
+    """The spans that touch no base span: a fold from the left and one from the right over both, sorted."""
+    one = lambda s, is_base, score: F.struct(s["start"].alias("start"), (~is_base).alias("added"), s["end"].alias("end"), s["kind"].alias("kind"), score.alias("score"))
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda s: one(s, F.lit(True), F.lit(0.0))), F.transform(spans, lambda s: one(s, F.lit(False), s["score"]))
+    ))
+    kind = "struct<start:int,added:boolean,end:int,kind:int,score:double>"
+    skip = F.lit(None).cast(kind)
+
+    def from_left(reach: Column, x: Column) -> Column:  # base spans come first among those of one start
+        touched = x["added"] & (x["start"] < reach)
+        return F.struct(F.when(x["added"], reach).otherwise(F.greatest(reach, x["end"])).alias("state"), F.when(touched, skip).otherwise(x).alias("out"))
+
+    def from_right(first: Column, x: Column) -> Column:
+        touched = x["added"] & (x["end"] > first)
+        return F.struct(F.when(x["added"], first).otherwise(x["start"]).alias("state"), F.when(touched, skip).otherwise(x).alias("out"))
+
+    present = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    left = let(both, lambda xs: present(fold_map(xs, F.lit(0), from_left, kind)))
+    clear = let(F.reverse(left), lambda xs: present(fold_map(xs, F.lit(_FAR), from_right, kind)))
+    return F.transform(F.filter(clear, lambda x: x["added"]), lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "score")]))
+
+
+def _best(spans: Column) -> Column:
+    """Of spans of a kind that overlap, met from the left, the better stays: by score, length, place."""
+    end = F.transform(
+        F.array(*[F.lit(k) for k in range(len(KINDS) + 1)]),
+        lambda k: F.struct(k.alias("kind"), F.lit(_FAR).alias("start"), F.lit(_FAR).alias("end"), F.lit(0.0).alias("score")),
     )
+    nothing = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score"))
+    rank = lambda s: F.struct(s["score"], s["end"] - s["start"], -s["start"])
+
+    def step(best: Column, x: Column) -> Column:
+        apart = (x["kind"] != best["kind"]) | (x["start"] >= best["end"])
+        done = F.when(apart & (best["kind"] >= 0) & (best["start"] < _FAR), best)
+        return F.struct(F.when(apart | (rank(x) > rank(best)), x).otherwise(best).alias("state"), done.alias("out"))
+
+    kept = let(F.array_sort(F.concat(spans, end)), lambda xs: fold_map(xs, nothing, step, _SCORED))
+    return F.transform(F.filter(kept, lambda s: s.isNotNull()), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def span_text(spans: Column) -> Column:
@@ -314,7 +382,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"),
-        *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k != "secret"],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
         span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
