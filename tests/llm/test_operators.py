@@ -1,6 +1,7 @@
 """The operators themselves: awkward rows, clashing columns, hot groups, damaged archives."""
 
 import gzip
+import math
 import random
 import re
 import time
@@ -369,10 +370,51 @@ def test_placing_balances():
         assert sums.max() / sums.min() < 1.1
 
 
+def shards_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in some) == list(range(len(some))) for some in out.values())
+    return out
+
+
 def test_hot_group_is_split(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
-    n = [r["count"] for r in sharding.shard_documents(docs).groupBy("shard").count().collect()]
+    rows = sharding.shard_documents(docs).collect()
+    n = [len(some) for some in shards_of(rows).values()]
     assert len(n) == 16 and max(n) / min(n) < 1.1
+    same = [r for r in rows if r["size"] == 14]  # a third of the rows, 0.42 of the bytes: 6.8 shards
+    assert len({r["shard"] for r in same}) <= math.ceil(16 * 14 * len(same) / sum(r["size"] for r in rows))
+
+
+def test_groups_stay_whole(spark):
+    rng = random.Random(13)
+    texts = []
+    for i, n in enumerate([1, 2, 3, 50, 180, 240] * 5 + [1] * 3000):  # 240 of 5,380 rows are 0.71 of a shard
+        texts += [" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(5, 60) if n == 1 else 30)) + f" {i}"] * n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = sharding.shard_documents(docs, items=256).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(texts[r["id"]], set()).add(r["shard"])
+    assert len(rows) == len(texts) and all(len(s) == 1 for s in held.values())
+    shards = shards_of(rows)
+    for column in ("size", "tokens"):
+        sums = [sum(r[column] for r in some) for some in shards.values()]
+        assert len(sums) == 16 and max(sums) / min(sums) < 1.1
+    assert max(map(len, shards.values())) / min(map(len, shards.values())) < 1.1
+    words = packing.word_ids(packing.tokenizer_path())
+    assert all(r["tokens"] == len(packing.encode(texts[r["id"]].encode(), words)) // 4 for r in rows[:500])
+
+
+def test_no_task_numbers_a_large_group(spark, monkeypatch):
+    docs = spark.range(64_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 64 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    seen = {}
+    real = sharding.staged
+    monkeypatch.setattr(sharding, "staged", lambda df, label: seen.setdefault(label, real(df, label)))
+    shards_of(sharding.shard_documents(docs, items=1024).collect())
+    units = seen["dealt"].where("text_crc32 = crc32('same')").groupBy("unit").count().collect()
+    assert len(units) > 8 and max(r["count"] for r in units) < 250
 
 
 def test_packer_alone():

@@ -134,6 +134,21 @@ def test_op8(spark, odd, data):
     assert set(slots) <= set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_op8_balances(spark):
+    folder = "/root/testdata/sf0.1"
+    texts = texts_of(folder)
+    rows = QUERIES["op8_sharding"](spark, folder).collect()
+    assert len(rows) == len(texts)
+    held, sums = {}, {}
+    for r in rows:
+        held.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        for k, v in (("size", r["size"]), ("tokens", r["tokens"]), ("rows", 1)):
+            sums.setdefault(k, Counter())[r["shard"]] += v
+    assert all(len(s) == 1 for s in held.values())
+    for per_shard in sums.values():
+        assert len(per_shard) == 16 and max(per_shard.values()) / min(per_shard.values()) < 1.01
+
+
 @pytest.mark.parametrize("data", ["small", "odd"])
 def test_op9(spark, odd, data):
     import public_tokenizers

@@ -126,6 +126,13 @@ def encode(text: bytes | None, words: WordIds) -> bytes:
     return b"".join(map(words.__getitem__, text.lower().split())) + end
 
 
+def count_ids(text: bytes | None, words: WordIds) -> int:
+    """The number of ids that ``encode`` gives."""
+    if text and any(token in text for token in words.special):
+        return len(words.whole(text)) // 4 + 1
+    return sum(map(len, map(words.__getitem__, text.lower().split()))) // 4 + 1 if text else 1
+
+
 Piece = tuple[int, int, int]  # document, start, length
 
 
