@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, documents, table, words
 from tests.oracle import assert_same
 from tidemark.llm import components as C
-from tidemark.llm import language, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spotsigs, warc
+from tidemark.llm import language, line_dedup, mixing, near_copies, packing, pii, quality_rules, sharding, simhash, spotsigs, warc
 from tidemark.llm.queries import ORACLES, QUERIES
 
 CLASH = "doc_id long, text string, fail_bits string, pos string, batch string, h1 string, id string, node string, copy string"
@@ -34,7 +34,7 @@ def test_clashing_columns(spark):
     assert {r["doc_id"]: (r["_kept"], r["pos"], r["h1"]) for r in out.collect()} == {0: ("a long line of words here\nb", "x", "x"), 1: ("c", "x", "x"), 2: ("", "x", "x")}
     assert quality_rules.keep_good(docs).columns == docs.columns
     assert "fail_bits" in quality_rules.rule_ledger(docs).columns
-    assert simhash.drop_near_copies(docs).count() == 3 and simhash.drop_near_copies(docs).columns == docs.columns
+    assert near_copies.drop_near_copies(docs).count() == 3 and near_copies.drop_near_copies(docs).columns == docs.columns
     assert mixing.mix(docs, source_col="pos").where("pos = 'x'").columns.count("copy") == 1
     assert packing.pack_documents(docs, packing.tokenizer_path()).count() > 0
     assert language.identify(docs, None).count() == 3
@@ -48,7 +48,7 @@ def test_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == [(2, "other words of a longer line"), (4, "some words of a longer line"), (4, "some words of a longer line"), (None, "")]
     links = {r["id"]: r["component_id"] for r in simhash.link_components(simhash.fingerprints(docs)).collect()}
     assert links == {None: 4, 4: 4, 2: 2}
-    assert sorted(str(r["doc_id"]) for r in simhash.drop_near_copies(docs).collect()) == ["2", "4", "4"]
+    assert sorted(str(r["doc_id"]) for r in near_copies.drop_near_copies(docs).collect()) == ["2", "4", "4"]
     assert sharding.shard_documents(docs).count() == 4
     only_null = spark.createDataFrame([(None, None, None)], "doc_id long, text string, source string")
     assert mixing.mix(only_null, total=50).count() > 10
@@ -144,44 +144,104 @@ def test_hot_bands_are_divided(spark):
     assert got == {i: root(i) for i, _ in rows}
 
 
-def test_near_copies_against_all_pairs(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(500)]
-    rows = []
-    for _ in range(25):
-        own = rng.choices(vocabulary, k=rng.randint(30, 200))
-        for _ in range(rng.randint(1, 6)):
-            copy = list(own)
-            for _ in range(rng.choice([0, 1, 2, len(own) // 20])):
-                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
-            rows.append((len(rows), " ".join(copy)))
-    sets = [{tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} for _, t in rows]
-    got = {r["id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
-    above = list(range(len(rows)))
+def linked(texts, similarity=0.8):
+    """Smallest row that each row reaches over links between shingle sets, by all pairs; and the links."""
+    sets = [frozenset(tuple(words(t.lower())[i : i + 5]) for i in range(max(1, len(words(t)) - 4))) if words(t) else frozenset() for t in texts]
+    holders, above, links = {}, list(range(len(texts))), []
+    for i, s in enumerate(sets):
+        for gram in s:
+            holders.setdefault(gram, []).append(i)
 
     def root(i):
         while above[i] != i:
+            above[i] = above[above[i]]
             i = above[i]
         return i
 
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if len(a & b) >= 0.8 * len(a | b):
-                x, y = root(i), root(j)
-                above[max(x, y)] = min(x, y)
-    assert got == {i: root(i) for i in range(len(rows))}
+    first = {}
+    for i, s in enumerate(sets):
+        both = Counter(j for gram in s for j in holders[gram] if j < i)
+        near = [j for j, n in both.items() if n >= similarity * (len(s) + len(sets[j]) - n)]
+        links += [(i, j) for j in near]
+        if not s:
+            near = [first.setdefault("", i)]
+        for j in near:
+            x, y = root(i), root(j)
+            above[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))], links
+
 
+def edited(rng, own, vocabulary, n):
+    copy = list(own)
+    for at in rng.sample(range(len(copy)), n):
+        copy[at] = rng.choice(vocabulary)
+    return copy
 
-@pytest.mark.parametrize("n", [4_000, 100_000, 1_000_000, 10_000_000])
-def test_bands_meet_their_recall(n):
+
+def groups_of(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in near_copies.near_copies(docs, **options).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(5)
+    vocabulary, texts = [f"w{i}" for i in range(500)], ["", " \n", "One two", "one  TWO", "one two three four five", "one two three four five six"]
+    for _ in range(25):
+        own = rng.choices(vocabulary, k=rng.randint(30, 200))
+        for _ in range(rng.randint(1, 6)):
+            texts.append(" ".join(edited(rng, own, vocabulary, rng.choice([0, 1, 2, len(own) // 20]))))
+    assert groups_of(spark, texts, block=8, chunk_rows=4) == linked(texts)[0]
+
+
+@pytest.mark.parametrize("block, chunk_rows", [(16, 8), (2048, 1024), (64, 1024), (2048, 16)])
+def test_no_link_is_lost_at_the_border(spark, block, chunk_rows):
+    # Clusters whose texts are at a similarity of about 0.8 to each other: 5 shingles a changed word.
+    rng = random.Random(17)
+    vocabulary, texts = [f"w{i}" for i in range(3000)], []
+    for c in range(60):
+        own = rng.choices(vocabulary, k=rng.randint(150, 300))
+        n = len(own) // rng.choice([85, 95, 105])
+        texts += [" ".join(edited(rng, own, vocabulary, n)) for _ in range(25)]
+    want, links = linked(texts)
+    assert len(links) > 3000
+    assert groups_of(spark, texts, block=block, chunk_rows=chunk_rows) == want
+
+
+@pytest.mark.parametrize("block, chunk_rows", [(256, 128), (2048, 1024)])
+def test_a_large_group_and_a_shared_passage(spark, block, chunk_rows):
+    rng = random.Random(18)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    own, passage = rng.choices(vocabulary, k=200), rng.choices(vocabulary, k=60)
+    texts = [" ".join(edited(rng, own, vocabulary, rng.choice([0, 1, 2, 3, 5, 8, 12]))) for _ in range(700)]
+    texts += [" ".join(passage + rng.choices(vocabulary, k=rng.choice([6, 20, 60, 90]))) for _ in range(700)]
+    rng.shuffle(texts)
+    assert groups_of(spark, texts, block=block, chunk_rows=chunk_rows) == linked(texts)[0]
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(19)
+    a, b = (" ".join(rng.choices("abcdefghijklmnop", k=80)) for _ in range(2))
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, "something else entirely here now"), (4, "something else entirely here now"), (None, a), (None, "alone"), (None, "alone")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[4], *rows[7:]], key=str)
+
+
+def test_keys_and_radius_meet_their_recall():
+    # Pairs of sets at a similarity of 0.8, of few and of many shingles.
     rng = np.random.default_rng(6)
-    differ = (rng.random((256, 20_000)) > simhash.NEAR_AGREE).astype(np.float32)
-    bands = np.zeros((len(simhash._near_paths(n)), 256), np.float32)
-    for i, p in enumerate(simhash._near_paths(n)):
-        bands[i, p.fixed] = 1
-    found = ((bands @ differ).min(axis=0) == 0) & (differ.sum(axis=0) <= simhash.NEAR_RADIUS)
-    print(n, len(bands), found.mean())
-    assert found.mean() >= simhash.NEAR_RECALL - 0.002
+    for n in (9, 90, 900):
+        missed = far = 0
+        for _ in range(2000):
+            pool = rng.integers(0, 2**64, n * 10 // 9, dtype=np.uint64)
+            extra = len(pool) - n
+            prints = []
+            for some in (pool[: n], np.concatenate([pool[extra:]])):
+                lanes = [some if k == 0 else near_copies.remix(some, k) for k in range(near_copies.LANES)]
+                prints.append(([simhash.majority(x) for x in lanes], [y for x in lanes for y in (x.min(), x.max())]))
+            missed += not any(x == y for x, y in zip(prints[0][1], prints[1][1], strict=True))
+            far += sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[0][0], prints[1][0], strict=True)) > near_copies.RADIUS
+        assert missed <= 1 and far <= 1
 
 
 def test_components(spark):

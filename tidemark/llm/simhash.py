@@ -12,9 +12,8 @@ link can be lost.  A group that is too large for one block is divided again in t
 the bits that are left, which are ever fewer: 64, 43, 29, 19, 13, so a block never holds more
 than 2 to the 13 distinct fingerprints, however large the group.  Equal fingerprints are one node.
 
-Near copies at a shingle similarity (the pipeline's stage) are beyond any radius that 64 bits can
-tell from chance, so ``near_copies`` takes 256 bits, bands of them as candidates, the bit-sliced
-radius test, and then an exact check of the links by their shingle sets.
+Near copies at a shingle similarity (the pipeline's stage) are found by ``near_copies``, which compares
+256-bit fingerprints by the same means.
 
 Defined results
 ---------------
@@ -27,8 +26,6 @@ Defined results
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,35 +60,21 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     return np.fromiter((digest(g, SEED) for g in map(b" ".join, grams)), _U64, len(words) - size + 1)
 
 
-def _remix(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Further 64-bit hashes of the same shingles (the finaliser of splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = hashes + _U64((0x9E3779B97F4A7C15 * lane) % 2**64)
-        x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-        return x ^ (x >> _U64(31))
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set, as a signed integer."""
+    if not len(hashes):
+        return 0
+    octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE for k in range(8)])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
-    """Majority bits of the hashes: ``lanes`` words of 64 bits, as signed integers."""
-    out = np.zeros(lanes, _U64)
-    if len(hashes):
-        for lane in range(lanes):
-            octets = (hashes if lane == 0 else _remix(hashes, lane)).astype("<u8").view(np.uint8).reshape(-1, 8)
-            counts = np.concatenate(
-                [np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE for k in range(8)]
-            )
-            set_bits = 2 * counts > len(hashes)
-            out[lane] = np.packbits(set_bits, bitorder="little").view("<u8")[0]
-    return out.view(np.int64)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
-    """``(id, fp)`` of every row; ``fp`` is an array of ``lanes`` longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(id, fp)`` of every row; ``fp`` is an array of one long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(shingle_hashes(t, shingle), lanes).tolist() for t in batch.column(1).to_pylist()]
+            prints = [[majority(shingle_hashes(t, shingle))] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], ["id", "fp"])
 
     ship(docs.sparkSession)
@@ -215,29 +198,8 @@ def _spanning(hits: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-def _nearest(block: np.ndarray, rows: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(child, parent) of the minimum spanning forest by distance of the given rows (Prim's method)."""
-    some, pairs, far_off = block[rows], [], np.iinfo(np.int64).max
-    best, parent = np.full(len(rows), far_off), np.full(len(rows), -1)
-    left = np.ones(len(rows), bool)
-    for _ in range(len(rows)):
-        at = int(np.argmin(np.where(left, best, far_off)))
-        if not left[at]:
-            at = int(np.flatnonzero(left)[0])
-        left[at] = False
-        if parent[at] >= 0:
-            pairs.append((rows[at], rows[parent[at]]))
-        far = np.bitwise_count(some ^ some[at]).sum(axis=1).astype(np.int64)
-        nearer = left & (far <= radius) & (far < best)
-        best[nearer], parent[nearer] = far[nearer], at
-    return pairs
-
-
-def forests(rows: np.ndarray, sizes: np.ndarray, radius: int, nearest: bool = False) -> np.ndarray:
-    """(child, parent) rows of a spanning forest of the links within each of many blocks.
-
-    The blocks lie one after the other.  ``nearest`` asks for the minimum spanning forest.
-    """
+def forests(rows: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """(child, parent) rows of a spanning forest of the links within each of many blocks, laid one after the other."""
     start = np.cumsum(sizes) - sizes
     pairs: list[tuple[int, int]] = []
     small = np.flatnonzero(sizes <= 64)
@@ -251,13 +213,10 @@ def forests(rows: np.ndarray, sizes: np.ndarray, radius: int, nearest: bool = Fa
             lo, hi = ends[b] - sizes[some[b]], ends[b]
             hits = (lanes[lo:hi] >> first[lo:hi].astype(_U64))[:, None]
             own = index[lo:hi]
-            found = _nearest(rows[own], np.flatnonzero(hits[:, 0]), radius) if nearest else _spanning(hits)
-            pairs += [(own[c], own[p]) for c, p in found]
+            pairs += [(own[c], own[p]) for c, p in _spanning(hits)]
     for b in np.flatnonzero(sizes > 64):
         block = np.ascontiguousarray(rows[start[b] : start[b] + sizes[b]])
-        hits = within_radius(block, radius)
-        found = _nearest(block, np.flatnonzero(hits.any(axis=1)), radius) if nearest else _spanning(hits)
-        pairs += [(start[b] + c, start[b] + p) for c, p in found]
+        pairs += [(start[b] + c, start[b] + p) for c, p in _spanning(within_radius(block, radius))]
     return np.array(pairs, np.int64).reshape(-1, 2)
 
 
@@ -284,23 +243,18 @@ class _Path:
                 parts.append(fp[lane].bitwiseAND(F.lit(signed).cast("long")))
         return F.xxhash64(*parts) if len(parts) > 1 else parts[0]
 
-    def children(self, n: int, width: int | None) -> list[_Path]:
-        groups = _split(self.left, n)
-        if width:
-            groups = [g[:width] for g in groups]
-        return [_Path(self.fixed + g, [b for b in self.left if b not in set(g)]) for g in groups]
+    def children(self, n: int) -> list[_Path]:
+        return [_Path(self.fixed + g, [b for b in self.left if b not in set(g)]) for g in _split(self.left, n)]
 
 
 class _Blocks:
     """Takes rows in the order of their groups; gives links, and rows of groups to be divided again.
 
-    A group of at most ``block`` rows is one block.  A larger one goes on whole to be divided.  With
-    ``tight`` it is thinned first: of the rows held, those within ``tight`` bits of an earlier one are
-    linked and let go, so that a large group of near copies does not stay large.
+    A group of at most ``block`` rows is one block.  A larger one goes on whole to be divided.
     """
 
-    def __init__(self, lanes: int, radius: int, block: int, tight: int | None):
-        self.lanes, self.radius, self.block, self.tight = lanes, radius, block, tight
+    def __init__(self, lanes: int, radius: int, block: int):
+        self.lanes, self.radius, self.block = lanes, radius, block
         self.group: tuple[int, int] | None = None
         self.fp, self.node = np.empty((0, lanes), _U64), np.empty(0, np.int64)
         self.spilled = False
@@ -308,20 +262,10 @@ class _Blocks:
         self.rest: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def _link(self, fp: np.ndarray, node: np.ndarray, sizes: np.ndarray) -> None:
-        pairs = forests(fp, sizes, self.radius, self.tight is not None)
+        pairs = forests(fp, sizes, self.radius)
         if len(pairs):
             self.links.append(node[pairs])
 
-    def _thin(self) -> None:
-        self._link(self.fp, self.node, np.array([len(self.fp)]))
-        near = within_radius(self.fp, self.tight)
-        covered, kept = np.zeros(near.shape[1], _U64), []
-        for i in range(len(near)):
-            if not covered[i // 64] >> _U64(i % 64) & _U64(1):
-                kept.append(i)
-                covered |= near[i]
-        self.fp, self.node = self.fp[kept], self.node[kept]
-
     def _spill(self, fp: np.ndarray, node: np.ndarray) -> None:
         self.rest.append((self.group[0], fp, node))
 
@@ -329,11 +273,8 @@ class _Blocks:
         while len(fp) and not self.spilled:
             room = self.block - len(self.fp)
             if room == 0:
-                if self.tight is not None:
-                    self._thin()
-                if len(self.fp) > self.block // 2:
-                    self._spill(self.fp, self.node)
-                    self.spilled = True
+                self._spill(self.fp, self.node)
+                self.spilled = True
                 continue
             self.fp, self.node = np.concatenate([self.fp, fp[:room]]), np.concatenate([self.node, node[:room]])
             fp, node = fp[room:], node[room:]
@@ -377,12 +318,12 @@ class _Blocks:
         return pa.record_batch(columns, ["a", "b", "path", "node", *[f"f{k}" for k in range(self.lanes)]])
 
 
-def _links(nodes: DataFrame, lanes: int, paths: list[_Path], later: tuple[int, int | None], radius: int, block: int, tight: int | None = None) -> DataFrame:
+def _links(nodes: DataFrame, lanes: int, paths: list[_Path], radius: int, block: int) -> DataFrame:
     """``(a, b)``: spanning forests of the links within every block, as nodes.
 
     Rows are shuffled once by (path, key) and met in order by a task, which holds one block at a
-    time.  ``later`` has the number of bands, and the bits of each or None for all, by which a
-    group of more than ``block`` is divided again, until no group is left.
+    time.  A group of more than ``block`` is divided again by bands of the bits left, until no group is
+    left.
     """
     spark = nodes.sparkSession
     f = [f"f{k}" for k in range(lanes)]
@@ -390,7 +331,7 @@ def _links(nodes: DataFrame, lanes: int, paths: list[_Path], later: tuple[int, i
     schema = "a long, b long, path long, node long, " + ", ".join(f"{x} long" for x in f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks(lanes, radius, block, tight)
+        blocks = _Blocks(lanes, radius, block)
         for batch in batches:
             if batch.num_rows:
                 columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -418,7 +359,7 @@ def _links(nodes: DataFrame, lanes: int, paths: list[_Path], later: tuple[int, i
         after: list[_Path] = []
         choice = None
         for p in used:
-            grown = paths[p].children(*later)
+            grown = paths[p].children(radius + 1)
             chosen = keys(grown, len(after))
             choice = F.when(F.col("path") == p, chosen) if choice is None else choice.when(F.col("path") == p, chosen)
             after += grown
@@ -435,8 +376,8 @@ def _nodes(prints: DataFrame) -> DataFrame:
 def link_components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``(id, fp, component_id)`` of ``prints (id, fp)``: every link within the radius, none lost."""
     nodes = _nodes(prints)
-    paths = _Path([], list(range(64))).children(radius + 1, None)
-    edges = _links(nodes, 1, paths, (radius + 1, None), radius, block)
+    paths = _Path([], list(range(64))).children(radius + 1)
+    edges = _links(nodes, 1, paths, radius, block)
     reach = staged(components(edges), "reach")
     named = staged(
         nodes.join(reach, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named"
@@ -446,140 +387,6 @@ def link_components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK)
     )
 
 
-# ---------------------------------------------------------------- near copies by similarity
-
-NEAR_SHINGLE = 5
-NEAR_SIMILARITY = 0.8
-NEAR_LANES = 4
-#: Bits of 256 that may differ.  At a similarity of 0.8 two shingle sets have a cosine of 0.89 and
-#: 39 differing bits on average, with a deviation of 5.7; texts without a common shingle have 128 and 8.
-NEAR_RADIUS = 60
-#: Probability that a band's bit agrees at a similarity of 0.8, and the recall that the number of
-#: bands is chosen for at that similarity (higher similarities are found more surely), averaged
-#: over the distances that pairs of that similarity have.
-NEAR_AGREE, NEAR_RECALL = 0.849, 0.995
-#: Bands have as many bits as make groups of unrelated texts this large on average.
-NEAR_GROUP, NEAR_LEAST_BITS = 16, 8
-#: A group too large for one block is divided by each of 8 further bands of 4 bits.
-NEAR_LATER = (8, 4)
-#: Rows of a group too large for one block that differ from a row held by no more bits are linked to
-#: it (a similarity of about 0.82 and above) and let go, before the group is divided.
-NEAR_TIGHT = 36
-
-
-def _bands_for(width: int, bits: int = 64 * NEAR_LANES) -> int:
-    """The number of bands that meets the recall over binomial distances up to the radius."""
-    share, agree = [], []
-    for d in range(NEAR_RADIUS + 1):
-        share.append(math.comb(bits, d) * (1 - NEAR_AGREE) ** d * NEAR_AGREE ** (bits - d))
-        agree.append(math.comb(bits - width, d) / math.comb(bits, d))
-    weight, miss = np.array(share), 1 - np.array(agree)
-    n = 1
-    while weight @ (1 - miss**n) < NEAR_RECALL:
-        n += 1
-    return n
-
-
-def _near_paths(n: int) -> list[_Path]:
-    """Bands for ``n`` fingerprints: their width grows with the logarithm of ``n``, their number as
-    the recall needs, over bits that are dealt in another order each time."""
-    all_bits = range(64 * NEAR_LANES)
-    width = max(NEAR_LEAST_BITS, math.ceil(math.log2(max(n, 1) / NEAR_GROUP)))
-    wanted = _bands_for(width)
-    paths: list[_Path] = []
-    for deal in itertools.count():
-        dealt = sorted(all_bits, key=lambda b: (b + 1) * pow(3, deal + 1, 257) % 257 * (7 * deal + 1) % 263)
-        for i in range(len(dealt) // width):
-            band = sorted(dealt[i * width : (i + 1) * width])
-            paths.append(_Path(band, [b for b in dealt if b not in set(band)]))
-            if len(paths) == wanted:
-                return paths
-    raise AssertionError
-
-
-def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(node, grams)``: the distinct shingle hashes of documents ``(node, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
-            yield pa.record_batch([batch.column(0), grams], ["node", "grams"])
-
-    return docs.mapInArrow(run, "node long, grams array<long>")
-
-
-def _verified(edges: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose documents' shingle sets have a Jaccard similarity high enough."""
-    wanted = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    sets = staged(_shingle_sets(docs.join(wanted, "node", "left_semi").select("node", F.col("body").cast("binary").alias("body")), size), "grams")
-    one = sets.groupBy("node").agg(F.min("grams").alias("grams"))  # an id may come in several rows
-    left, right = one.select(F.col("node").alias("a"), F.col("grams").alias("ga")), one.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - both
-    return edges.join(left, "a").join(right, "b").where((union == 0) | (both >= similarity * union)).select("a", "b")
-
-
-def near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = NEAR_SHINGLE,
-    similarity: float = NEAR_SIMILARITY,
-    radius: int = NEAR_RADIUS,
-    block: int = BLOCK,
-) -> DataFrame:
-    """``(id, component_id)`` of every row: groups of texts linked at the similarity or above.
-
-    Equal texts are one node from the start.  Candidate links are the minimum spanning forest of
-    each block by distance, so their number grows with the documents and not with the
-    square of a group; each of them is checked by its shingle sets.  Null ids are one document.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [simhash(np.unique(shingle_hashes(t, shingle)), NEAR_LANES).tolist() for t in batch.column(3).to_pylist()]
-            yield pa.record_batch([*batch.columns[:3], pa.array(prints, pa.list_(pa.int64()))], ["id", "t1", "t2", "fp"])
-
-    ship(docs.sparkSession)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), body.alias("body"))
-    prints = staged(
-        rows.select("id", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(7), "body").alias("t2"), F.col("body").cast("binary").alias("body"))
-        .mapInArrow(run, "id long, t1 long, t2 long, fp array<long>"),
-        "prints",
-    )
-    texts = staged(prints.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.min("fp").alias("fp")), "texts")
-    nodes = staged(texts.groupBy("fp").agg(F.min("rep").alias("node")), "nodes")
-    candidates = _links(nodes, NEAR_LANES, _near_paths(nodes.count()), NEAR_LATER, radius, block, NEAR_TIGHT)
-    equal = texts.join(nodes, "fp").where("rep <> node").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    edges = staged(candidates.unionByName(equal).distinct(), "links")
-    held = _verified(edges, rows.withColumnRenamed("id", "node"), shingle, similarity)
-    reach = staged(components(held), "reach").withColumnRenamed("node", "rep")
-    named = staged(
-        texts.join(reach, "rep", "left").select("t1", "t2", F.coalesce("component", "rep").alias("component_id")), "named"
-    )
-    return prints.join(named, ["t1", "t2"]).select(
-        F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"),
-        F.when(F.col("component_id") != LAST_ID, F.col("component_id")).alias("component_id"),
-    )
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that a document of a smaller id is linked to.
-
-    Rows of one id stay or go together.
-    """
-    groups = near_copies(docs, id_col, text_col)
-    kept = staged(
-        groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.coalesce("id", F.lit(LAST_ID)).alias("_kept_id")).distinct(), "kept"
-    )
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_kept_id"))
-    return rows.join(kept, "_kept_id", "left_semi").select("_row.*")
-
-
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     prints = staged(fingerprints(docs).select("id", F.col("fp")), "prints")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
+from tidemark.llm.near_copies import drop_near_copies
 from tidemark.llm.packing import pack_documents, tokenizer_path
 from tidemark.llm.quality_rules import keep_good
-from tidemark.llm.simhash import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
