@@ -165,9 +165,9 @@ def test_admission_fold(spark):
     jobs = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13)], "job_id long, created_at long")
     breakers = spark.createDataFrame([("TASK", "a", "HALF_OPEN", 1, 0), ("JOB", "b", "HALF_OPEN", 1, 0)], "scope_type string, scope_id string, state string, version long, half_open_probes_used long")
     scopes = spark.createDataFrame([(1, "TASK", "a"), (2, "TASK", "a"), (2, "JOB", "b"), (3, "JOB", "b"), (4, "TASK", "z")], "job_id long, scope_type string, scope_id string")
-    got = C.admissions_with_probes(jobs, breakers, scopes, 0, 10, 10).orderBy("rank").collect()
+    got = C.admissions(jobs, breakers, scopes, 0, 10, 10).orderBy("rank").collect()
     assert [r["job_id"] for r in got] == [1, 3, 4]
-    assert [r["job_id"] for r in C.admissions_with_probes(jobs, breakers, scopes, 8, 10, 10).collect()] == [1, 3]
+    assert [r["job_id"] for r in C.admissions(jobs, breakers, scopes, 8, 10, 10).collect()] == [1, 3]
 
 
 def test_migrate(spark):

@@ -13,6 +13,8 @@ TERMINAL_JOB = ("COMPLETE", "FAILED")
 TERMINAL_WORKER = ("DEAD", "RETIRED")
 OPEN_ATTEMPT = ("CREATED", "RUNNING", "VERIFYING", "UNCERTAIN")
 CLOSED_ATTEMPT = ("SUCCEEDED", "FAILED", "BLOCKED")
+#: How a recovery policy may have ended.
+TERMINAL_POLICY = ("RECOVERY_COMPLETE", "BUDGET_EXHAUSTED", "R5_TERMINAL", "BLOCKED_CONTRADICTORY", "BLOCKED_STATE_UNAVAILABLE", "SUPERSEDED")
 BREAKER_STATES = ("CLOSED", "OPEN", "HALF_OPEN")
 SECOND = 1_000_000
 
@@ -129,10 +131,32 @@ def policy_problems(row: dict[str, Column]) -> Column:
             bad(row["consumed_attempt_number"] >= 0, "consumed_attempt_number"),
             bad(row["result_consumed_attempt_number"] >= 0, "result_consumed_attempt_number"),
             bad(row["zero_progress_count"] >= 0, "zero_progress_count"),
+            bad(is_json_object(_text(row["per_rung_attempts"])), "per_rung_attempts"),
+            bad(rung_map(_text(row["per_rung_budgets"])), "per_rung_budgets"),
+            bad(row["policy_version"] != "", "policy_version"),
+            bad(row["terminal_state"].isNull() | row["terminal_state"].isin(*TERMINAL_POLICY), "terminal_state"),
         )
     )
 
 
+def _text(json: Column) -> Column:
+    """A JSON column; missing and empty stand for an empty object."""
+    return F.coalesce(F.nullif(json, F.lit("")), F.lit("{}"))
+
+
+def is_json_object(json: Column) -> Column:
+    return _sure(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT<"))
+
+
+def rung_map(json: Column) -> Column:
+    """A JSON object from rungs 1 to 5 to whole numbers that are not negative."""
+    entries = F.map_entries(F.try_parse_json(json).cast("map<string,variant>"))
+    fine = lambda e: (
+        e["key"].try_cast("int").between(1, 5) & (F.schema_of_variant(e["value"]) == "BIGINT") & (F.try_variant_get(e["value"], "$", "bigint") >= 0)
+    )
+    return is_json_object(json) & _sure(F.when(is_json_object(json), F.forall(entries, lambda e: _sure(fine(e)))))
+
+
 def is_worker_actor(actor: Column) -> Column:
     return _sure(actor.startswith("worker:"))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
-from tidemark.operators.keyed import latest_per_key
+from tidemark.operators.breakers import relevant
+from tidemark.operators.keyed import digest, latest_per_key
 
 VERIFIED = ("VALIDATED", "RELEASED")
 
@@ -24,16 +27,38 @@ def artifacts(staged: DataFrame) -> DataFrame:
     return picked.select("artifact_id", F.col("r.job_id").alias("job_id"), F.col("r.size").alias("size"), "stagers")
 
 
-def structural_problems(present: Column, content: Column, expected_hash: Column, size: Column, expected_size: Column, job: Column) -> Column:
-    bad = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
-    return F.array_compact(
-        F.array(
-            bad(present, "missing_bytes"),
-            F.when(present & ~F.coalesce(F.sha2(content, 256) == expected_hash, F.lit(False)), "hash_mismatch"),
-            F.when(present & ~F.coalesce(size == expected_size, F.lit(False)), "size_mismatch"),
-            bad(job.isNotNull(), "no_provenance"),
-        )
+def observed_bytes(contents: DataFrame) -> DataFrame:
+    """``(artifact_id, bytes_hash, byte_len)`` of staged contents ``(artifact_id, content)``, recomputed from the bytes."""
+    seen = contents.where(F.col("content").isNotNull()).select("artifact_id", F.sha2(F.col("content").cast("binary"), 256).alias("bytes_hash"), F.octet_length("content").cast("long").alias("byte_len"))
+    return seen.groupBy("artifact_id").agg(F.min("bytes_hash").alias("bytes_hash"), F.min("byte_len").alias("byte_len"))
+
+
+def _names(*problems: Column) -> Column:
+    return F.array_compact(F.array(*problems))
+
+
+def _not(ok: Column, name: str) -> Column:
+    """``name`` unless ``ok`` is known to hold."""
+    return F.when(~F.coalesce(ok, F.lit(False)), name)
+
+
+def structural_check(table: DataFrame, held: DataFrame) -> DataFrame:
+    """``(artifact_id, problems)``: bytes, recomputed hash against record and identity, size, provenance.
+
+    ``table (artifact_id, content_hash, size, producer)``; ``held`` as ``observed_bytes`` gives it.  A size or hash that
+    is not recorded is no problem; the producer must be a JSON object with entries.
+    """
+    c = F.col
+    expected = F.coalesce("content_hash", "artifact_id")
+    producer = F.schema_of_variant(F.try_parse_json("producer"))
+    found = _names(
+        _not(c("bytes_hash") == expected, "hash_mismatch"),
+        _not(c("bytes_hash") == c("artifact_id"), "identity_mismatch"),
+        _not(c("size").isNull() | (c("size") == c("byte_len")), "size_mismatch"),
+        _not(producer.startswith("OBJECT<") & (producer != "OBJECT<>"), "no_provenance"),
     )
+    problems = F.when(c("bytes_hash").isNull(), F.array(F.lit("bytes_missing"))).otherwise(found)
+    return table.join(held, "artifact_id", "left").select("artifact_id", problems.alias("problems"))
 
 
 def receipts(validations: DataFrame, quarantined: DataFrame | None = None) -> DataFrame:
@@ -68,32 +93,65 @@ def candidate_artifacts(staged: DataFrame, legacy: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_o")
 
 
-def completion(jobs: DataFrame, table: DataFrame, passes: DataFrame) -> DataFrame:
-    """COMMITTED, UNCERTAIN or NOT_COMMITTED for each job, with its problems.
+#: The validators, as (id, version), whose PASS an artifact needs.
+REQUIRED = (("structural", 1),)
+
+
+def with_evidence(table: DataFrame, held: DataFrame, passes: DataFrame, required=REQUIRED) -> DataFrame:
+    """Artifact rows with what is known of them: ``bytes_hash``, ``byte_len``, ``passed`` (hashes by validator).
+
+    ``passes`` has the latest PASS receipt of each artifact, validator and version.  Only required validators
+    are kept, so ``passed`` is as long as ``required`` at most.
+    """
+    wanted = F.lit(False)
+    for validator, version in required:
+        wanted = wanted | ((F.col("validator_id") == validator) & (F.col("validator_version") == version))
+    key = F.concat_ws("/", "validator_id", F.col("validator_version").cast("string"))
+    passed = passes.where(wanted).groupBy("artifact_id").agg(F.map_from_entries(F.collect_set(F.struct(key, F.col("content_hash")))).alias("passed"))
+    return table.join(held, "artifact_id", "left").join(passed, "artifact_id", "left")
+
+
+def lacking_receipts(passed: Column, expected: Column, required=REQUIRED) -> list[Column]:
+    """For each required validator ``receipt:id/version`` unless it passed exactly the expected content."""
+    return [_not(passed[f"{v}/{n}"] == expected, f"receipt:{v}/{n}") for v, n in required]
+
+
+def verified_rows(known: DataFrame, required=REQUIRED) -> DataFrame:
+    """Rows of ``with_evidence`` in a verified state whose bytes and receipts are those of their content."""
+    expected = F.coalesce("content_hash", "artifact_id")
+    lacking = F.size(_names(*lacking_receipts(F.col("passed"), expected, required)))
+    return known.where(F.col("status").isin(*VERIFIED) & (F.col("bytes_hash") == expected) & (lacking == 0))
 
-    ``jobs (job_id, status, artifact_id)``; ``artifact_id`` is the committed one of a complete job, and
-    the candidate of another.
+
+def completion(jobs: DataFrame, known: DataFrame, candidates: DataFrame, required=REQUIRED) -> DataFrame:
+    """``(job_id, status, completion, problems, adoptable)`` of each job.
+
+    ``jobs (job_id, status, result_artifact_id, content_hash)``; ``known`` as ``with_evidence`` gives it;
+    ``candidates (job_id, artifact_id)``.  A complete job is COMMITTED without problems, else UNCERTAIN.  Any other
+    is UNCERTAIN if it has a verified candidate, which could be adopted, else NOT_COMMITTED.
     """
     c = F.col
-    a = table.select("artifact_id", c("status").alias("_state"), c("content_hash").alias("_hash"))
-    r = passes.select("artifact_id", c("content_hash").alias("_receipt"))
-    joined = jobs.join(a, "artifact_id", "left").join(r, "artifact_id", "left")
-    bad = lambda ok, name: F.when(~F.coalesce(ok, F.lit(False)), name)
-    problems = F.array_compact(
-        F.array(
-            F.when(c("artifact_id").isNull(), "no_artifact"),
-            F.when(c("artifact_id").isNotNull() & c("_state").isNull(), "artifact_missing"),
-            F.when(c("_state").isNotNull(), bad(c("_state").isin(*VERIFIED), "not_verified")),
-            F.when(c("_state").isNotNull(), bad(c("_receipt") == c("_hash"), "no_receipt")),
-        )
+    row = known.select(
+        c("artifact_id").alias("result_artifact_id"), F.coalesce("content_hash", "artifact_id").alias("_expected"), c("bytes_hash").alias("_bytes"), "passed"
+    )
+    found = candidates.join(verified_rows(known, required).select("artifact_id"), "artifact_id", "left_semi")
+    n = found.groupBy("job_id").agg(F.count_distinct("artifact_id").alias("adoptable"))
+    done = c("status") == "COMPLETE"
+    has_row = c("_expected").isNotNull()
+    integrity = _names(
+        _not(c("content_hash").isNotNull(), "no_content_hash"),
+        _not(has_row, "artifact_missing"),
+        F.when(has_row & c("content_hash").isNotNull(), _not(c("content_hash") == c("_expected"), "content_hash_differs")),
+        F.when(has_row, F.when(c("_bytes").isNull(), "bytes_missing").when(c("_bytes") != c("_expected"), "bytes_differ")),
+        *[F.when(has_row, problem) for problem in lacking_receipts(c("passed"), c("_expected"), required)],
     )
+    problems = F.when(~done, F.array().cast("array<string>")).when(c("result_artifact_id").isNull(), F.array(F.lit("no_artifact"))).otherwise(integrity)
+    joined = jobs.join(row, "result_artifact_id", "left").join(n, "job_id", "left").withColumn("problems", problems)
+    adoptable = F.when(done, 0).otherwise(F.coalesce("adoptable", F.lit(0))).cast("long")
     outcome = (
-        F.when((c("status") == "COMPLETE") & (F.size(problems) == 0), "COMMITTED")
-        .when(c("status") == "COMPLETE", "UNCERTAIN")
-        .when(F.size(problems) == 0, "UNCERTAIN")
-        .otherwise("NOT_COMMITTED")
+        F.when(done, F.when(F.size("problems") == 0, "COMMITTED").otherwise("UNCERTAIN")).when(adoptable > 0, "UNCERTAIN").otherwise("NOT_COMMITTED")
     )
-    return joined.select("job_id", "status", outcome.alias("completion"), F.array_join(problems, ",").alias("problems"))
+    return joined.select("job_id", "status", outcome.alias("completion"), F.array_join("problems", ",").alias("problems"), adoptable.alias("adoptable"))
 
 
 def adoptable(staged: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -106,31 +164,48 @@ def adoptable(staged: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def manifests(entries: DataFrame) -> DataFrame:
-    """``(task_id, entries, checkpoint_id)``: the digest of each task's sorted artifact list."""
-    listed = F.array_sort(F.collect_set("content_hash"))
-    return entries.groupBy("task_id").agg(listed.alias("entries")).withColumn("checkpoint_id", F.sha2(F.array_join("entries", "\n"), 256))
+    """``(task_id, checkpoint_id, entries)``: the digest of each task's distinct ``(artifact_id, content_hash)``."""
+    every = entries.select("task_id", "artifact_id", "content_hash").distinct()
+    return digest(every, ["task_id"], F.col("artifact_id"), F.concat_ws(":", "artifact_id", "content_hash")).withColumnRenamed("digest", "checkpoint_id")
 
 
-def verify_checkpoints(manifest: DataFrame, table: DataFrame, passes: DataFrame) -> DataFrame:
-    """VERIFIED or CORRUPT for each checkpoint, with its entries' problems counted by kind.
+#: What may be wrong with an entry of a checkpoint.
+ENTRY_PROBLEMS = ("missing", "not_verified", "hash_mismatch", "bytes_missing", "bytes_mismatch", "size_mismatch", "no_receipt")
 
-    Every entry needs its artifact, a verified state, and a receipt for its content.
+
+def verify_checkpoints(checkpoints: DataFrame, entries: DataFrame, known: DataFrame, tip: DataFrame, required=REQUIRED) -> DataFrame:
+    """VERIFIED or CORRUPT for each ``(checkpoint_id, task_id)``, with the entries that have each problem.
+
+    ``entries (checkpoint_id, artifact_id, content_hash)`` are the manifests, ``known`` is as ``with_evidence`` gives it, and
+    ``tip`` is the one row of ``integrity.tip``.  Every entry needs its artifact in a verified state, with the content
+    of the manifest, bytes that hash to it, the recorded size, and the receipts; the id must be the manifest's
+    digest, and the log without a gap.
     """
     c = F.col
-    entries = manifest.select("checkpoint_id", "task_id", F.explode("entries").alias("artifact_id"))
-    a = table.select("artifact_id", c("status").alias("_state"), c("content_hash").alias("_hash"))
-    r = passes.select("artifact_id", c("content_hash").alias("_receipt"))
-    problem = (
-        F.when(c("_state").isNull(), "missing")
-        .when(c("_hash") != c("artifact_id"), "hash_mismatch")
-        .when(~c("_state").isin(*VERIFIED), "not_verified")
-        .when(~F.coalesce(c("_receipt") == c("_hash"), F.lit(False)), "no_receipt")
-    )
-    judged = entries.join(a, "artifact_id", "left").join(r, "artifact_id", "left").withColumn("problem", problem)
-    n = lambda what: F.count_if(c("problem") == what)
-    return judged.groupBy("checkpoint_id", "task_id").agg(
-        F.count(F.lit(1)).alias("entries"), n("missing").alias("missing"), n("not_verified").alias("not_verified"), n("no_receipt").alias("no_receipt"),
-        F.when(F.count("problem") == 0, "VERIFIED").otherwise("CORRUPT").alias("verification_status"),
+    rows = known.select("artifact_id", c("status").alias("_status"), F.coalesce("content_hash", "artifact_id").alias("_hash"), c("size").alias("_size"), "bytes_hash", "byte_len", "passed")
+    judged = entries.join(rows, "artifact_id", "left")
+    exists, held = c("_status").isNotNull(), c("bytes_hash").isNotNull()
+    wrong = {
+        "missing": ~exists,
+        "not_verified": exists & ~c("_status").isin(*VERIFIED),
+        "hash_mismatch": exists & (c("_hash") != c("content_hash")),
+        "bytes_missing": exists & ~held,
+        "bytes_mismatch": exists & held & (c("bytes_hash") != c("content_hash")),
+        "size_mismatch": exists & held & F.coalesce(c("_size") != c("byte_len"), F.lit(False)),
+        "no_receipt": exists & (F.size(_names(*lacking_receipts(c("passed"), c("content_hash"), required))) > 0),
+    }
+    counts = judged.groupBy("checkpoint_id").agg(F.count(F.lit(1)).alias("entries"), *[F.count_if(wrong[name]).alias(name) for name in ENTRY_PROBLEMS])
+    made = digest(entries, ["checkpoint_id"], c("artifact_id"), F.concat_ws(":", "artifact_id", "content_hash")).select("checkpoint_id", c("digest").alias("_made"))
+    empty = F.sha2(F.lit(""), 256)
+    joined = checkpoints.join(counts, "checkpoint_id", "left").join(made, "checkpoint_id", "left").crossJoin(F.broadcast(tip.select("contiguous")))  # one row
+    total = lambda name: F.coalesce(name, F.lit(0)).cast("long")
+    id_holds = c("checkpoint_id") == F.coalesce("_made", empty)
+    fine = id_holds & c("contiguous")
+    for name in ENTRY_PROBLEMS:
+        fine = fine & (total(name) == 0)
+    return joined.select(
+        "checkpoint_id", "task_id", total("entries").alias("entries"), *[total(name).alias(name) for name in ENTRY_PROBLEMS],
+        id_holds.alias("id_holds"), c("contiguous").alias("ledger_contiguous"), F.when(fine, "VERIFIED").otherwise("CORRUPT").alias("verification_status"),
     )
 
 
@@ -147,7 +222,8 @@ def all_pointers(checkpoints: DataFrame, pointers: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- release
 
-#: Categories of what may block a release.
+#: States of a task that waits for a human, and categories of what may block a release.
+WAITING_TASKS = ("PAUSED_FOR_HUMAN", "MANUAL_REVIEW")
 CATEGORIES = (
     "DESIRED_WORK_UNSATISFIED", "ACTIVE_EXECUTION", "UNCERTAIN_EXECUTION", "ACTIVE_RECOVERY", "OPEN_BREAKER", "HUMAN_GATE",
     "MISSING_ARTIFACT", "INVALID_ARTIFACT", "INVALID_CHECKPOINT", "STALE_GENERATION", "CONTRADICTORY_STATE", "CORRUPT_AUTHORITY",
@@ -170,37 +246,97 @@ def blockers(rules: list[DataFrame]) -> DataFrame:
     return out.groupBy("category", "identity").agg(F.min_by("detail", F.struct("ord", "detail")).alias("detail"))
 
 
-def release_blockers(items: DataFrame, jobs: DataFrame, tasks: DataFrame, table: DataFrame, incidents: DataFrame, breakers: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """What blocks a release of the declared ``items (desired_work_id, job_id)``; ready if empty."""
+@dataclass
+class Evidence:
+    """What a release is judged by.  Ids are strings or of one type throughout; the one-row tables have one row."""
+
+    generation: str  #: the release's name
+    version: int  #: of the declared state that the release is pinned to
+    task_id: str  #: the release's own task
+    head: DataFrame  #: (version), one row
+    items: DataFrame  #: (desired_work_id), none of them retired
+    mapping: DataFrame  #: (desired_work_id, job_id)
+    jobs: DataFrame  #: (job_id, task_id, status, result_artifact_id, content_hash), all jobs
+    tasks: DataFrame  #: (task_id, status)
+    artifacts: DataFrame  #: as ``with_evidence`` gives them, with job_id
+    spawns: DataFrame  #: (worker_id, proc_id), not reaped
+    incidents: DataFrame  #: (incident_id, failure_class), open
+    attempts: DataFrame  #: (attempt_id, attempt_state), open
+    escalated: DataFrame  #: (incident_id, terminal_state), with the policy's end
+    unconsumed: DataFrame  #: (incident_id), with an outcome and a policy that has not ended
+    breakers: DataFrame  #: (scope_type, scope_id, state, version, half_open_probes_used)
+    checkpoints: DataFrame  #: (checkpoint_id, task_id, canonical_manifest, verification_status, receipt), of the release
+    required: tuple = REQUIRED
+
+
+def relevant_scopes(e: Evidence, work: DataFrame) -> DataFrame:
+    """Scopes whose breakers matter: the global one, the release's task, and the items, their jobs and tasks."""
+    scope = lambda df, kind, ident: df.where(F.col(ident).isNotNull()).select(F.lit(kind).alias("scope_type"), F.col(ident).cast("string").alias("scope_id"))
+    fixed = e.head.sparkSession.createDataFrame([("GLOBAL", "global"), ("TASK", str(e.task_id))], "scope_type string, scope_id string")
+    return fixed.unionByName(scope(work, "DESIRED", "desired_work_id")).unionByName(scope(work, "JOB", "job_id")).unionByName(scope(work, "TASK", "task_id")).distinct()
+
+
+def release_blockers(e: Evidence) -> DataFrame:
+    """``(category, identity, detail)`` of all that blocks a release; it is ready if there is nothing."""
     c = F.col
-    work = items.join(jobs.select("job_id", "task_id", c("status").alias("job_status"), "artifact_id"), "job_id", "left")
-    work = work.join(tasks.select("task_id", c("status").alias("task_status")), "task_id", "left")
-    work = work.join(table.select("artifact_id", c("status").alias("artifact_status")), "artifact_id", "left")
-    cls = P.breaker_class(c("state"), c("version"), c("half_open_probes_used"))
-    named = breakers.withColumn("class", cls).withColumn("scope", F.concat_ws(":", "scope_type", "scope_id"))
+    job = e.jobs.select("job_id", "task_id", c("status").alias("job_status"), "result_artifact_id", c("content_hash").alias("job_hash"), F.lit(True).alias("has_job"))
+    task = e.tasks.select("task_id", c("status").alias("task_status"), F.lit(True).alias("has_task"))
+    art = e.artifacts.select(
+        c("artifact_id").alias("result_artifact_id"), c("job_id").alias("staged_for"), c("content_hash").alias("art_hash"), c("status").alias("art_status"),
+        "bytes_hash", "passed", F.lit(True).alias("has_art"),
+    )
+    mapped = e.items.select("desired_work_id").join(e.mapping.select("desired_work_id", "job_id"), "desired_work_id", "left")
+    work = mapped.join(job, "job_id", "left").join(task, "task_id", "left").join(art, "result_artifact_id", "left")
+    has = lambda name: F.coalesce(c(name), F.lit(False))
+    found = work.where(has("has_job"))
     done = c("job_status") == "COMPLETE"
+    says = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    expected = F.coalesce("job_hash", "result_artifact_id")
+    flaws = _names(
+        _not(c("staged_for") == c("job_id"), "staged for another job"),
+        _not(c("art_hash") == expected, "content hash differs from the job's"),
+        _not(c("art_status").isin(*VERIFIED), "not verified"),
+        F.when(c("bytes_hash").isNull(), "bytes missing").when(c("bytes_hash") != expected, "bytes differ"),
+        *lacking_receipts(c("passed"), expected, e.required),
+    )
+    judged = found.where(done & has("has_art")).withColumn("flaws", flaws)
+    cls = P.breaker_class(c("state"), c("version"), c("half_open_probes_used"))
+    near = relevant(e.breakers, relevant_scopes(e, work)).withColumn("class", cls).withColumn("scope", F.concat_ws(":", "scope_type", "scope_id"))
+    receipt = F.from_json("receipt", "release boolean, checkpoint_id string")
+    attested = has("r.release") & F.coalesce(c("r.checkpoint_id") == c("checkpoint_id"), F.lit(False))
+    checks = e.checkpoints.withColumn("r", receipt)
+    count = e.items.agg(F.count(F.lit(1)).alias("n"))
     return blockers([
+        rule(e.head.where(~c("version").eqNullSafe(F.lit(e.version))), "STALE_GENERATION", F.lit(e.generation), says("declared state is at version ", c("version"))),
+        rule(count.where("n = 0"), "DESIRED_WORK_UNSATISFIED", F.lit(e.generation), "nothing to release"),
         rule(work.where(c("job_id").isNull()), "DESIRED_WORK_UNSATISFIED", c("desired_work_id"), "unmapped"),
-        rule(work.where(c("job_id").isNotNull() & c("job_status").isNull()), "CONTRADICTORY_STATE", c("job_id"), "mapped job is missing"),
-        rule(work.where(c("job_status").isNotNull() & c("task_status").isNull()), "CONTRADICTORY_STATE", c("job_id"), "task is missing"),
-        rule(work.where(c("job_status").isNotNull() & ~done), "DESIRED_WORK_UNSATISFIED", c("desired_work_id"), F.concat(F.lit("job is "), c("job_status"))),
-        rule(work.where((c("job_status") == "BLOCKED") | c("task_status").isin("PAUSED_FOR_HUMAN", "MANUAL_REVIEW")), "HUMAN_GATE", c("job_id"), "waits for a human"),
-        rule(work.where(done & c("artifact_id").isNull()), "MISSING_ARTIFACT", c("job_id"), "complete without an artifact"),
-        rule(work.where(done & c("artifact_id").isNotNull() & ~F.coalesce(c("artifact_status").isin(*VERIFIED), F.lit(False))), "INVALID_ARTIFACT", c("artifact_id"), "not verified"),
-        rule(jobs.where(c("status").isin(*P.ACTIVE, "VERIFYING")), "ACTIVE_EXECUTION", c("job_id"), F.concat(F.lit("job is "), c("status"))),
-        rule(jobs.where(c("status") == "UNCERTAIN"), "UNCERTAIN_EXECUTION", c("job_id"), "job is UNCERTAIN"),
-        rule(incidents.where(c("outcome").isNull()), "ACTIVE_RECOVERY", c("incident_id"), "incident is open"),
-        rule(named.where(c("class").isin("open", "half_open")), "OPEN_BREAKER", c("scope"), c("class")),
-        rule(named.where(c("class") == "corrupt"), "CORRUPT_AUTHORITY", c("scope"), "breaker cannot be read"),
-        rule(checkpoints.where(c("verification_status") == "CORRUPT"), "INVALID_CHECKPOINT", c("task_id"), "checkpoint is corrupt"),
+        rule(work.where(c("job_id").isNotNull() & ~has("has_job")), "CONTRADICTORY_STATE", c("desired_work_id"), "mapped job is missing"),
+        rule(found.where(~done), "DESIRED_WORK_UNSATISFIED", c("job_id"), says("job is ", c("job_status"))),
+        rule(found.where(c("job_status") == "BLOCKED"), "HUMAN_GATE", c("job_id"), "job waits for a human"),
+        rule(found.where(~has("has_task")), "CONTRADICTORY_STATE", c("job_id"), "task is missing"),
+        rule(found.where(c("task_status").isin(*WAITING_TASKS)), "HUMAN_GATE", c("task_id"), says("task is ", c("task_status"))),
+        rule(found.where(done & ~has("has_art")), "MISSING_ARTIFACT", c("job_id"), "complete without an artifact"),
+        rule(judged.where(F.size("flaws") > 0), "INVALID_ARTIFACT", c("result_artifact_id"), F.array_join("flaws", "; ")),
+        rule(e.jobs.where(c("status").isin(*P.ACTIVE, "VERIFYING")), "ACTIVE_EXECUTION", c("job_id"), says("job is ", c("status"))),
+        rule(e.spawns, "ACTIVE_EXECUTION", says("spawn:", F.coalesce(c("worker_id").cast("string"), F.lit("-")), ":", F.coalesce(c("proc_id").cast("string"), F.lit("-"))), "process was never reaped"),
+        rule(e.jobs.where(c("status") == "UNCERTAIN"), "UNCERTAIN_EXECUTION", c("job_id"), "job is UNCERTAIN"),
+        rule(e.incidents, "ACTIVE_RECOVERY", c("incident_id"), says("open incident: ", F.coalesce("failure_class", F.lit("-")))),
+        rule(e.attempts.where(c("attempt_state").isin("RUNNING", "VERIFYING", "UNCERTAIN")), "ACTIVE_RECOVERY", c("attempt_id"), says("attempt is ", c("attempt_state"))),
+        rule(e.attempts.where(c("attempt_state") == "UNCERTAIN"), "UNCERTAIN_EXECUTION", c("attempt_id"), "attempt is UNCERTAIN"),
+        rule(e.escalated.where(c("terminal_state").isNull()), "ACTIVE_RECOVERY", c("incident_id"), "escalated, and its policy has not ended"),
+        rule(e.unconsumed, "ACTIVE_RECOVERY", c("incident_id"), "has an outcome, and its policy has not ended"),
+        rule(near.where(c("class").isin("open", "half_open")), "OPEN_BREAKER", c("scope"), c("class")),
+        rule(near.where(c("class") == "corrupt"), "CORRUPT_AUTHORITY", says("breaker:", c("scope")), "breaker cannot be read"),
+        rule(checks.where(~c("task_id").eqNullSafe(F.lit(e.task_id))), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint belongs to another task"),
+        rule(checks.where(F.sha2(F.coalesce("canonical_manifest", F.lit("")), 256) != c("checkpoint_id")), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint is not named by its manifest"),
+        rule(checks.where(c("verification_status") == "CORRUPT"), "INVALID_CHECKPOINT", c("checkpoint_id"), "checkpoint is corrupt"),
+        rule(checks.where((c("verification_status") == "VERIFIED") & ~attested), "INVALID_CHECKPOINT", c("checkpoint_id"), "verified without attestation"),
     ])
 
 
-def manifest_hash(entries: DataFrame, key: str, digest: str) -> DataFrame:
-    """One row: the digest of a release manifest's sorted entries."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(digest).alias("h"))))
-    text = F.array_join(F.transform(listed, lambda s: F.concat_ws("=", s["k"], s["h"])), "\n")
-    return entries.agg(F.sha2(text, 256).alias("manifest_hash"), F.count(F.lit(1)).alias("entries"))
+def manifest_hash(entries: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: the digest of a release manifest's entries, and their number."""
+    return digest(entries, [], F.col(key), F.concat_ws("=", F.col(key).cast("string"), F.col(value))).withColumnRenamed("digest", "manifest_hash")
 
 
 def progress_evidence(jobs: DataFrame, table: DataFrame, good: DataFrame) -> DataFrame:

@@ -87,7 +87,12 @@ def probe_outcome(job_status: Column, progress: Column, baseline: Column, failed
     )
 
 
-def with_denials(jobs: DataFrame, breakers: DataFrame, scopes: DataFrame) -> DataFrame:
+def listed(breakers: DataFrame) -> DataFrame:
+    """Breakers in the order of their scopes."""
+    return breakers.orderBy("scope_type", "scope_id")
+
+
+def with_denials(jobs: DataFrame, breakers: DataFrame, scopes: DataFrame, probes: int = PROBES) -> DataFrame:
     """Adds ``denied_by``: the first scope, in the order of a claim, whose breaker is open or corrupt.
 
     ``scopes (job_id, scope_type, scope_id)`` are the scopes of the jobs; a scope without a breaker allows.
@@ -100,7 +105,7 @@ def with_denials(jobs: DataFrame, breakers: DataFrame, scopes: DataFrame) -> Dat
         "class", P.breaker_class(c("state"), c("version"), c("half_open_probes_used"))
     )
     name = F.concat_ws(":", "scope_type", "scope_id")
-    spent = (c("class") == "half_open") & (c("half_open_probes_used") >= PROBES)
+    spent = (c("class") == "half_open") & (c("half_open_probes_used") >= probes)
     denies = c("class").isin("open", "corrupt") | spent
     verdicts = asked.groupBy("job_id").agg(
         F.min_by(F.when(denies, name), F.when(denies, order)).alias("denied_by"),

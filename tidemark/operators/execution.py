@@ -173,31 +173,52 @@ def revocations(spawns: DataFrame, authority: DataFrame) -> DataFrame:
     """For each spawn ``(worker_id, proc_id, job_id, ts)``: the first event after it that revokes its job.
 
     ``authority (seq, event_type, job_id, worker_id, prev_owner, ts)`` has claims and reclaims.  A
-    revocation is a reclaim from this worker, a claim by another, or this worker's second claim.
-    The join is on the job; the running count needs one order per spawn.
+    revocation is a reclaim from this worker, a claim by another, or this worker's second claim, whichever has
+    the smallest number among the events with a later time.
+
+    Spawns and events of a job stand in one order, newest first, and running minima go along it: over
+    the reclaims from a worker, over the claims of a worker, over all claims.  So each row is met once
+    however many spawns and events a job has.
     """
-    s = spawns.select("worker_id", "proc_id", "job_id", F.col("seq").alias("spawn_seq"), F.col("ts").alias("spawn_ts"))
-    a = authority.where(F.col("event_type").isin("job.claimed", "job.lease_reclaimed")).select(
-        F.col("job_id").alias("_job"), "seq", "event_type", F.col("worker_id").alias("_by"), "prev_owner", "ts"
-    )
-    joined = s.join(a, (F.col("job_id") == F.col("_job")) & (F.col("ts") > F.col("spawn_ts")))
-    own = (F.col("event_type") == "job.claimed") & F.col("_by").eqNullSafe(F.col("worker_id"))
-    w = Window.partitionBy("spawn_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = joined.withColumn("_own", F.sum(F.when(own, 1).otherwise(0)).over(w))
-    kind = (
-        F.when((F.col("event_type") == "job.lease_reclaimed") & F.col("prev_owner").eqNullSafe(F.col("worker_id")), "reclaimed")
-        .when((F.col("event_type") == "job.claimed") & ~F.col("_by").eqNullSafe(F.col("worker_id")), "claimed_by_other")
-        .when(own & (F.col("_own") == 2), "claimed_again")
+    c = F.col
+    kind = c("event_type")
+    none = F.lit(None)
+    spawn_rows = spawns.select(
+        "job_id", "ts", c("worker_id").alias("who"), c("seq").alias("spawn_seq"), "proc_id",
+        *[none.cast("struct<seq:bigint,ts:bigint>").alias(x) for x in ("claim", "reclaim")], none.cast("struct<seq:bigint,who:bigint>").alias("claimer"),
     )
-    first = (
-        counted.withColumn("revoked_by", kind)
-        .where(F.col("revoked_by").isNotNull())
-        .groupBy("spawn_seq")
-        .agg(F.min_by(F.struct("seq", "ts", "revoked_by"), "seq").alias("r"))
+    at = F.struct(c("seq").cast("bigint").alias("seq"), c("ts").cast("bigint").alias("ts"))
+    events = authority.where(kind.isin("job.claimed", "job.lease_reclaimed"))
+    event_rows = events.select(
+        "job_id", "ts", F.when(kind == "job.claimed", c("worker_id")).otherwise(c("prev_owner")).alias("who"), none.cast("bigint").alias("spawn_seq"), none.alias("proc_id"),
+        F.when(kind == "job.claimed", at).alias("claim"), F.when(kind == "job.lease_reclaimed", at).alias("reclaim"),
+        F.when(kind == "job.claimed", F.struct(c("seq").cast("bigint").alias("seq"), c("worker_id").alias("who"))).alias("claimer"),
     )
-    return s.join(first, "spawn_seq", "left").select(
-        "worker_id", "proc_id", "job_id", "spawn_seq", "spawn_ts",
-        F.col("r.seq").alias("revoked_seq"), F.col("r.ts").alias("revoked_ts"), F.col("r.revoked_by").alias("revoked_by"),
+    who = dict(spawns.dtypes)["worker_id"]
+    rows = spawn_rows.withColumn("claimer", none.cast(f"struct<seq:bigint,who:{who}>")).unionByName(event_rows.withColumn("proc_id", none.cast(dict(spawns.dtypes)["proc_id"])))
+    own = Window.partitionBy("job_id", "who").orderBy(F.desc("ts"))
+    every = Window.partitionBy("job_id").orderBy(F.desc("ts"))
+    later = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
+    before = lambda w: w.orderBy(F.desc("ts"), "claimer").rowsBetween(Window.unboundedPreceding, -1)
+
+    # The second smallest of a set is the least of max(x, smallest before x), in any order.
+    first_own, first_any = F.min("claim").over(before(Window.partitionBy("job_id", "who"))), F.min("claimer").over(before(Window.partitionBy("job_id")))
+    second = F.when(c("claim").isNotNull() & c("_own").isNotNull(), F.greatest("claim", "_own"))
+    other = F.when(c("claim").isNotNull() & c("_any").isNotNull() & ~c("_any.who").eqNullSafe(c("who")), F.greatest(c("claim.seq"), c("_any.seq")))
+    marked = rows.withColumn("_own", first_own).withColumn("_any", first_any).withColumn("_second", second).withColumn("_other", other)
+    found = marked.select(
+        "job_id", "ts", "who", "proc_id", "spawn_seq",
+        F.min("reclaim").over(later(own)).alias("reclaimed"), F.min("_second").over(later(own)).alias("again"),
+        F.min("claimer").over(later(every)).alias("first_claim"), F.min("_other").over(later(every)).alias("other_claim"),
+    ).where(c("spawn_seq").isNotNull())
+    by_other = F.when(~c("first_claim.who").eqNullSafe(c("who")), c("first_claim.seq")).otherwise(c("other_claim"))
+    best = F.least(c("reclaimed.seq"), F.when(c("first_claim").isNotNull(), by_other), c("again.seq"))
+    why = F.when(best == c("reclaimed.seq"), "reclaimed").when(best == c("again.seq"), "claimed_again").when(best.isNotNull(), "claimed_by_other")
+    times = events.select(c("seq").alias("revoked_seq"), c("ts").alias("revoked_ts"))
+    return (
+        found.select(c("who").alias("worker_id"), "proc_id", "job_id", "spawn_seq", c("ts").alias("spawn_ts"), best.alias("revoked_seq"), why.alias("revoked_by"))
+        .join(times, "revoked_seq", "left")
+        .select("worker_id", "proc_id", "job_id", "spawn_seq", "spawn_ts", "revoked_seq", "revoked_ts", "revoked_by")
     )
 
 

@@ -16,52 +16,55 @@ def link(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws(":", prev, body), 256)
 
 
-def build_chain(log: DataFrame, seq: str = "seq", body: str = "body") -> DataFrame:
-    """Adds ``prev_hash`` and ``hash``, each over the one before: one sequential task.
-
-    For large logs use ``build_segments``, whose chains are independent.
-    """
+def _chained(log: DataFrame, seq: str, body: str, starts: dict | None = None, segment: str | None = None) -> DataFrame:
+    """Chains over rows that come in order, in one task each; a new ``segment`` begins a new chain."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = GENESIS
+        prev, now = (starts or {}).get("hash", GENESIS), None
         for part in parts:
             before, own = [], []
-            for text in part[body]:
+            labels = part[segment] if segment else [None] * len(part)
+            for text, label in zip(part[body], labels, strict=True):
+                if label != now:
+                    prev, now = GENESIS, label
                 before.append(prev)
                 prev = hashlib.sha256(f"{prev}:{text}".encode()).hexdigest()
                 own.append(prev)
             yield part.assign(prev_hash=before, hash=own)
 
     schema = ", ".join(f"{n} {t}" for n, t in log.dtypes) + ", prev_hash string, hash string"
-    return log.repartition(1).sortWithinPartitions(seq).mapInPandas(run, schema)
+    return log.mapInPandas(run, schema)
 
 
-def build_segments(log: DataFrame, length: int, seq: str = "seq", body: str = "body") -> DataFrame:
-    """Chains of ``length`` rows each, built in parallel by one fold over a segment's bodies."""
-    listed = log.groupBy(F.floor(F.col(seq) / length).cast("long").alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(body).alias("body")))).alias("rows")
-    )
-    kind = "array<struct<seq:bigint,body:string,prev_hash:string,hash:string>>"
-    zero = F.struct(F.lit(GENESIS).alias("tip"), F.array().cast(kind).alias("out"))
+def build_chain(log: DataFrame, seq: str = "seq", body: str = "body", after: str = GENESIS) -> DataFrame:
+    """Adds ``prev_hash`` and ``hash``, each over the one before: sequential by nature, so one task.
+
+    It is meant for what one writer appends at a time, after the stored hash ``after``.  Large logs are chained
+    by ``build_segments``, whose chains are independent.
+    """
+    return _chained(log.repartition(1).sortWithinPartitions(seq), seq, body, {"hash": after})
 
-    def step(acc: Column, row: Column) -> Column:
-        own = link(acc["tip"], row["body"])
-        entry = F.struct(row["seq"].cast("bigint").alias("seq"), row["body"].alias("body"), acc["tip"].alias("prev_hash"), own.alias("hash"))
-        return F.struct(own.alias("tip"), F.array_append(acc["out"], entry).alias("out"))
 
-    chained = F.aggregate("rows", zero, step, lambda acc: acc["out"])
-    return listed.select("segment", F.inline(chained))
+def build_segments(log: DataFrame, length: int, seq: str = "seq", body: str = "body") -> DataFrame:
+    """``(segment, seq, body, prev_hash, hash)``: chains over ``length`` numbers each, built in parallel."""
+    rows = log.select(F.floor(F.col(seq) / length).cast("long").alias("segment"), F.col(seq).alias("seq"), F.col(body).alias("body"))
+    return _chained(rows.repartition("segment").sortWithinPartitions("segment", "seq"), "seq", "body", segment="segment")
 
 
-def chain_failures(log: DataFrame) -> DataFrame:
+def chain_failures(log: DataFrame, length: int | None = None) -> DataFrame:
     """Rows ``(seq, problem)`` whose link to the row before, or whose own hash, does not hold.
 
+    ``length`` is that of the segments, if the log has any: each begins at the genesis.
+
     Each row is joined with its predecessor by number, in parallel.  The first row must follow
     the genesis; a gap shows as a wrong link.  A cut tail cannot be seen: see ``tip``.
     """
     before = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
     first = log.agg(F.min("seq").alias("_first"))
     joined = log.join(before, "seq", "left").crossJoin(F.broadcast(first))  # one row
-    expected = F.when(F.col("seq") == F.col("_first"), F.lit(GENESIS)).otherwise(F.col("_before"))
+    begins = F.col("seq") == F.col("_first")
+    if length:
+        begins = begins | (F.col("seq") % length == 0)
+    expected = F.when(begins, F.lit(GENESIS)).otherwise(F.col("_before"))
     problem = F.when(~F.col("prev_hash").eqNullSafe(expected), "prev_hash_mismatch").when(
         ~F.col("hash").eqNullSafe(link(F.col("prev_hash"), F.col("body"))), "hash_mismatch"
     )

@@ -6,6 +6,10 @@ used only where an order within the key is needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +66,29 @@ def increasing_only(df: DataFrame, keys: list[str], seq: str, order: list[str])
     return df.withColumn("accepted", before.isNull() | (F.col(seq) > before))
 
 
+def with_fencing(beats: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Adds ``fenced``: a heartbeat names a job but not its current token, or comes from another than its owner."""
+    c = F.col
+    current = jobs.select("job_id", c("fencing_token").alias("_token"), c("owner_worker_id").alias("_owner"))
+    holds = (c("fencing_token") == c("_token")) & (c("worker_id") == c("_owner"))
+    fenced = c("job_id").isNotNull() & ~F.coalesce(holds, F.lit(False))
+    return beats.join(current, "job_id", "left").withColumn("fenced", fenced).drop("_token", "_owner")
+
+
+def ingested(beats: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``(worker_id, proc_id, seq, hb_seq, outcome)``: fenced, late or accepted, in the order of ``seq``.
+
+    Fencing comes first and leaves no trace; of the rest a number that is not above every earlier one of its worker
+    and process is late.  ``beats (seq, worker_id, proc_id, job_id, fencing_token, hb_seq)``.
+    """
+    c = F.col
+    told = with_fencing(beats, jobs)
+    w = Window.partitionBy("worker_id", "proc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(~c("fenced"), c("hb_seq"))).over(w)
+    outcome = F.when(c("fenced"), "fenced").when(c("hb_seq") <= before, "late").otherwise("accepted")
+    return told.withColumn("outcome", outcome).select("worker_id", "proc_id", "seq", "hb_seq", "outcome")
+
+
 def trailing_run(df: DataFrame, key: str, number: str, failed: Column) -> DataFrame:
     """``(key, run)``: failed rows at the end of each key's numbered history.
 
@@ -85,14 +112,9 @@ def trailing_run(df: DataFrame, key: str, number: str, failed: Column) -> DataFr
 
 def since_progress(df: DataFrame, key: str, number: str, delta: str) -> DataFrame:
     """``(key, zero_progress)``: rows after the last one with a positive delta."""
-    last = F.max(F.when(F.col(delta) > 0, F.col(number)))
-    marked = df.groupBy(key).agg(
-        last.alias("_last"), F.array_sort(F.collect_list(number)).alias("_numbers")
-    )
-    return marked.select(
-        key,
-        F.size(F.filter("_numbers", lambda n: F.col("_last").isNull() | (n > F.col("_last")))).cast("long").alias("zero_progress"),
-    )
+    last = df.groupBy(key).agg(F.max(F.when(F.col(delta) > 0, F.col(number))).alias("_last"))
+    after = F.col(number).isNotNull() & (F.col("_last").isNull() | (F.col(number) > F.col("_last")))
+    return df.select(key, number).join(last, key).groupBy(key).agg(F.count_if(after).alias("zero_progress"))
 
 
 def changes(df: DataFrame, keys: list[str], order: list[str], value: str, final: str) -> DataFrame:
@@ -111,19 +133,68 @@ def anchored_window(df: DataFrame, keys: list[str], ts: str, window: int) -> Dat
     """``(keys, window_started_at, failure_count, peak)``: counts in windows that a first event opens.
 
     Events up to ``window`` after the opening one count in its window; the first beyond opens
-    the next.  The last window's start and count are returned, and the largest count seen.
+    the next.  The last window's start and count are returned, and the largest count seen.  Times that
+    are null don't count.  A key's times pass through one task in their order, which holds three
+    numbers of the key and one Arrow batch, however many times there are.
+    """
+    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", window_started_at long, failure_count long, peak long"
+    names = [*keys, "window_started_at", "failure_count", "peak"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n, peak = None, 0, 0, 0
+        kinds = None
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*[(*key, *state) for key, *state in done], strict=True)) or [()] * len(names)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            kinds = [*[batch.schema.field(i).type for i in range(len(keys))], pa.int64(), pa.int64(), pa.int64()]
+            if not batch.num_rows:
+                continue
+            times = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            changed = np.zeros(len(times), bool)
+            changed[0] = True
+            for i in range(len(keys)):
+                codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            edges = [*np.flatnonzero(changed).tolist(), len(times)]
+            done = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                key = tuple(batch.column(i)[a].as_py() for i in range(len(keys)))
+                if key != now:
+                    if now is not None:
+                        done.append((now, start, n, peak))
+                    now, start, n, peak = key, int(times[a]), 0, 0
+                own = times[a:b]
+                at = 0
+                while at < len(own):
+                    if own[at] - start > window:
+                        start, n = int(own[at]), 0
+                    end = int(np.searchsorted(own, start + window, "right"))
+                    n += end - at
+                    peak, at = max(peak, n), end
+            yield rows(done)
+        if now is not None:
+            yield rows([(now, start, n, peak)])
+
+    ordered = df.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("long").alias("_ts")).repartition(*keys).sortWithinPartitions(*keys, "_ts")
+    return ordered.mapInArrow(run, schema)
+
+
+#: Leading hex digits of a key's hash that name the range of a digest: 65,536 ranges.
+DIGEST_DIGITS = 4
+
+
+def digest(entries: DataFrame, by: list[str], key: Column, text: Column, digits: int = DIGEST_DIGITS) -> DataFrame:
+    """``(by, digest, entries)``: SHA-256 over a whole set in a fixed order, whatever its size.
+
+    Entries fall into ranges by the hash of their key; a range's digest is over the sorted entries' hashes, and the
+    set's is over its ranges' digests in order.  No row holds more than one range, or one digest a range.
     """
-    kind = "struct<start:long,n:long,peak:long>"
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("peak"))
-
-    def step(acc: Column, t: Column) -> Column:
-        fresh = acc["start"].isNull() | (t - acc["start"] > window)
-        n = F.when(fresh, F.lit(1).cast("long")).otherwise(acc["n"] + 1)
-        return F.struct(
-            F.when(fresh, t).otherwise(acc["start"]).alias("start"), n.alias("n"), F.greatest(acc["peak"], n).alias("peak")
-        ).cast(kind)
-
-    folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(ts)).alias("_times"))
-    return folded.select(*keys, F.aggregate("_times", zero.cast(kind), step).alias("_w")).select(
-        *keys, F.col("_w.start").alias("window_started_at"), F.col("_w.n").alias("failure_count"), F.col("_w.peak").alias("peak")
+    hashed = entries.select(*by, F.sha2(key.cast("string"), 256).alias("_k"), F.sha2(text, 256).alias("_h"))
+    together = lambda what: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(what)), lambda s: s["h"]), ""), 256)
+    ranges = hashed.groupBy(*by, F.left("_k", F.lit(digits)).alias("_r")).agg(
+        together(F.struct(F.col("_k").alias("k"), F.col("_h").alias("h"))).alias("_d"), F.count(F.lit(1)).alias("_n")
     )
+    return ranges.groupBy(*by).agg(together(F.struct(F.col("_r").alias("k"), F.col("_d").alias("h"))).alias("digest"), F.coalesce(F.sum("_n"), F.lit(0)).alias("entries"))

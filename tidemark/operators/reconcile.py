@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 from tidemark.operators.breakers import with_denials
+from tidemark.operators.keyed import digest
 
 VERDICTS = (
     "OBSOLETE", "CONTRADICTORY", "DESIRED_MISSING", "DESIRED_ALREADY_PRESENT", "DESIRED_ACTIVE", "DESIRED_COMPLETE",
@@ -97,47 +99,14 @@ def eligible(jobs: DataFrame, tasks: DataFrame, in_recovery: DataFrame) -> DataF
     )
 
 
-def admissions(waiting: DataFrame, breakers: DataFrame, scopes: DataFrame, active: int, most: int, batch: int) -> DataFrame:
+def admissions(waiting: DataFrame, breakers: DataFrame, scopes: DataFrame, active: int, most: int, batch: int, probes: int = 1) -> DataFrame:
     """The jobs that are admitted: not denied by a breaker, oldest first, while there is room.
 
-    Only the first ``most - active`` (and at most ``batch``) jobs can be admitted, so the order is a top-k and
-    never a window over all jobs.  Half-open scopes let one probe through: of several jobs of a
-    half-open scope the first is admitted, which is exact while a job has one half-open scope.
-    """
-    room = max(0, min(batch, most - active))
-    judged = with_denials(waiting, breakers, scopes)
-    w = Window.partitionBy("probe_scope").orderBy("created_at", "job_id")
-    free = judged.where(F.col("denied_by").isNull() & F.col("probe_scope").isNull())
-    probes = judged.where(F.col("denied_by").isNull() & F.col("probe_scope").isNotNull())
-    first = probes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    picked = free.unionByName(first).orderBy("created_at", "job_id").limit(room)
-    return picked.withColumn("rank", F.row_number().over(Window.orderBy("created_at", "job_id")))  # at most ``room`` rows
-
-
-def orphans(claimed: DataFrame, spawned: DataFrame, beats: DataFrame, stale_after: int, now: int) -> DataFrame:
-    """Claimed jobs without a process of their owner and without a live beat of it."""
-    live = beats.where(P.beat_live(F.col("last_beat"), stale_after, now)).select(F.col("worker_id").alias("owner_worker_id"))
-    mine = spawned.select(F.col("worker_id").alias("owner_worker_id"), "job_id").distinct()
-    return claimed.join(mine, ["owner_worker_id", "job_id"], "left_anti").join(live.distinct(), "owner_worker_id", "left_anti")
-
-
-def snapshot_hash(items: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the whole declared set in the order of its ids.
-
-    Items are hashed first; the ordered list holds one digest an item.
-    """
-    text = F.concat_ws(":", F.col("desired_work_id").cast("string"), F.coalesce("spec_hash", F.lit("-")), F.col("retired").cast("int").cast("string"), F.col("version").cast("string"))
-    one = items.select(F.col("desired_work_id").cast("string").alias("k"), F.sha2(text, 256).alias("h"))
-    listed = F.array_sort(F.collect_list(F.struct("k", "h")))
-    return one.agg(F.sha2(F.array_join(F.transform(listed, lambda s: s["h"]), ""), 256).alias("snapshot_hash"), F.count(F.lit(1)).alias("items"))
-
-
-def admissions_with_probes(waiting: DataFrame, breakers: DataFrame, scopes: DataFrame, active: int, most: int, batch: int, probes: int = 1) -> DataFrame:
-    """As ``admissions``, exact also where jobs have several half-open scopes.
-
-    A job takes a probe of every half-open scope it has, or is not admitted if one has none left, so
-    each decision depends on the ones before.  The fold runs in one task over the jobs in their
-    order, and only over those that no open breaker denies; it stops once there is no room.
+    A job takes one probe of every half-open scope it has, or is not admitted if one of them has none left, so
+    the decisions on such jobs depend on those before.  Jobs without a half-open scope don't touch
+    probes: of them the oldest ``room`` are found by a top-k.  Only jobs that are older than the last of these can
+    still matter; those of them with half-open scopes are folded in their order by one task, which holds
+    the probes taken and nothing else.
     """
     room = max(0, min(batch, most - active))
     c = F.col
@@ -147,25 +116,57 @@ def admissions_with_probes(waiting: DataFrame, breakers: DataFrame, scopes: Data
         .groupBy("job_id")
         .agg(F.array_sort(F.collect_set(F.struct(F.concat_ws(":", "scope_type", "scope_id").alias("scope"), c("half_open_probes_used").alias("used")))).alias("half"))
     )
-    judged = with_denials(waiting, breakers, scopes).where(c("denied_by").isNull()).join(half, "job_id", "left")
+    judged = with_denials(waiting, breakers, scopes, probes).where(c("denied_by").isNull())
+    free = judged.where(c("probe_scope").isNull()).orderBy("created_at", "job_id").limit(room)
+    # With fewer free jobs than room there is no last one, and every job matters.
+    last = free.agg(F.when(F.count(F.lit(1)) >= room, F.max(F.struct("created_at", "job_id"))).alias("_last"))
+    asked = judged.where(c("probe_scope").isNotNull()).crossJoin(F.broadcast(last))  # one row
+    asked = asked.where(c("_last").isNull() | (F.struct("created_at", "job_id") < c("_last"))).drop("_last").join(half, "job_id")
 
     def fold(parts):
-        import pandas as pd
-
         left, taken = room, {}
         for part in parts:
             picked = []
             for job, held in zip(part["job_id"], part["half"], strict=True):
-                own = [] if held is None else [(h["scope"], int(h["used"])) for h in held]
-                if left and all(used + taken.get(scope, 0) < probes for scope, used in own):
-                    for scope, _ in own:
-                        taken[scope] = taken.get(scope, 0) + 1
-                    picked.append((job, room - left + 1))
+                if left and all(int(h["used"]) + taken.get(h["scope"], 0) < probes for h in held):
+                    for h in held:
+                        taken[h["scope"]] = taken.get(h["scope"], 0) + 1
+                    picked.append(job)
                     left -= 1
-            yield pd.DataFrame(picked, columns=["job_id", "rank"])
+            yield pd.DataFrame({"job_id": picked})
             if not left:
                 return
 
     kind = dict(waiting.dtypes)["job_id"]
-    ordered = judged.select("job_id", "created_at", "half").repartition(1).sortWithinPartitions("created_at", "job_id")
-    return ordered.select("job_id", "half").mapInPandas(fold, f"job_id {kind}, rank int")
+    ordered = asked.select("job_id", "created_at", "half").repartition(1).sortWithinPartitions("created_at", "job_id")
+    probing = judged.join(ordered.select("job_id", "half").mapInPandas(fold, f"job_id {kind}"), "job_id", "left_semi")
+    picked = free.unionByName(probing).orderBy("created_at", "job_id").limit(room)
+    return picked.withColumn("rank", F.row_number().over(Window.orderBy("created_at", "job_id")))  # at most ``room`` rows
+
+
+def orphans(claimed: DataFrame, spawned: DataFrame, beats: DataFrame, stale_after: int, now: int) -> DataFrame:
+    """Claimed jobs without a process of their owner and without a live beat of it."""
+    live = beats.where(P.beat_live(F.col("last_beat"), stale_after, now)).select(F.col("worker_id").alias("owner_worker_id"))
+    mine = spawned.select(F.col("worker_id").alias("owner_worker_id"), "job_id").distinct()
+    return claimed.join(mine, ["owner_worker_id", "job_id"], "left_anti").join(live.distinct(), "owner_worker_id", "left_anti")
+
+
+def snapshot_hash(items: DataFrame) -> DataFrame:
+    """One row: SHA-256 over the whole declared set, and its size."""
+    text = F.concat_ws(":", F.col("desired_work_id").cast("string"), F.coalesce("spec_hash", F.lit("-")), F.col("retired").cast("int").cast("string"), F.col("version").cast("string"))
+    return digest(items, [], F.col("desired_work_id"), text).select(F.col("digest").alias("snapshot_hash"), F.col("entries").alias("items"))
+
+
+def listed(items: DataFrame, include_retired: bool) -> DataFrame:
+    """Declared items, retired ones only if asked for."""
+    return items if include_retired else items.where(~F.col("retired"))
+
+
+def open_runs(runs: DataFrame) -> DataFrame:
+    """Reconciliation runs that were never completed."""
+    return runs.where(F.col("completed_at").isNull())
+
+
+def desired_of(jobs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The declared item of each job, null if none is mapped to it."""
+    return jobs.select("job_id").join(mapping.select("job_id", "desired_work_id"), "job_id", "left")

@@ -195,6 +195,16 @@ def escalated_incidents(incidents: DataFrame, to: str) -> DataFrame:
     return incidents.where(F.col("escalated_to") == to)
 
 
+def open_attempts(attempts: DataFrame) -> DataFrame:
+    """Attempts that still own their incident."""
+    return attempts.where(F.col("attempt_state").isin(*P.OPEN_ATTEMPT))
+
+
+def escalated_with_policy(incidents: DataFrame, policies: DataFrame, to: str) -> DataFrame:
+    """Escalated incidents with their policy's end, null if it has not ended or there is no policy."""
+    return escalated_incidents(incidents, to).join(policies.select("incident_id", "terminal_state"), "incident_id", "left")
+
+
 def settled_without_policy_end(incidents: DataFrame, policies: DataFrame) -> DataFrame:
     """Incidents with an outcome whose policy has not ended."""
     ended = policies.where(F.col("terminal_state").isNull()).select("incident_id")

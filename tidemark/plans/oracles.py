@@ -112,11 +112,20 @@ VIEWS = {
     "policies_v": """
         SELECT k AS incident_id, k % 6 AS current_rung, k % 10 AS version, 7 AS incident_budget, 7 - k % 8 AS remaining_budget,
                k % 8 + CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END AS attempt_count, k % 3 AS consumed, k % 3 - CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS result_consumed,
-               CASE WHEN k % 9 = 0 THEN 'RECOVERY_COMPLETE' END AS terminal_state FROM (SELECT o_orderkey AS k FROM orders)""",
+               CASE WHEN k % 9 = 0 THEN 'RECOVERY_COMPLETE' WHEN k % 43 = 1 THEN 'FINISHED' END AS terminal_state,
+               (['{"1":2,"2":2}', '{"6":1}', '{"1":-1}', '{"1":true}', '[1]', 'nope', NULL, '{"1":2.5}', '{"1":"2"}', '{}', '{"3":0}', '', '{"5":1,"0":1}'])[k % 13 + 1] AS budgets,
+               (['[]', 'x', NULL, '', '{"1": 1}', '{"1": 1}', '{"1": 1}', '{"1": 1}', '{"1": 1}', '{"1": 1}', '{"1": 1}'])[k % 11 + 1] AS per_rung,
+               CASE WHEN k % 37 = 0 THEN '' WHEN k % 37 <> 1 THEN 'v1' END AS policy_version FROM (SELECT o_orderkey AS k FROM orders)""",
     "broken_v": """
         SELECT incident_id, terminal_state, array_to_string(list_filter([CASE WHEN current_rung = 0 THEN 'current_rung' END, CASE WHEN version < 1 THEN 'version' END,
                  CASE WHEN attempt_count + remaining_budget <> 7 THEN 'budget_identity' END,
-                 CASE WHEN result_consumed < 0 THEN 'result_consumed_attempt_number' END], lambda x: x IS NOT NULL), ',') AS problems FROM policies_v""",
+                 CASE WHEN result_consumed < 0 THEN 'result_consumed_attempt_number' END,
+                 CASE WHEN per_rung <> '' AND coalesce(TRY(json_type(per_rung)), '') <> 'OBJECT' THEN 'per_rung_attempts' END,
+                 CASE WHEN budgets <> '' AND (coalesce(TRY(json_type(budgets)), '') <> 'OBJECT' OR (SELECT count(*) FROM (SELECT unnest(TRY(json_keys(budgets))) AS r)
+                   WHERE r NOT IN ('1', '2', '3', '4', '5') OR json_type(budgets, '$."' || r || '"') <> 'UBIGINT') > 0) THEN 'per_rung_budgets' END,
+                 CASE WHEN coalesce(policy_version, '') = '' THEN 'policy_version' END,
+                 CASE WHEN terminal_state NOT IN ('RECOVERY_COMPLETE', 'BUDGET_EXHAUSTED', 'R5_TERMINAL', 'BLOCKED_CONTRADICTORY', 'BLOCKED_STATE_UNAVAILABLE', 'SUPERSEDED')
+                   THEN 'terminal_state' END], lambda x: x IS NOT NULL), ',') AS problems FROM policies_v""",
     "actual_v": """
         SELECT job_id, CASE WHEN n % 9 = 0 THEN 'QUARANTINED' WHEN flag = 'A' THEN 'PENDING' ELSE CASE n % 5 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETE'
                  WHEN 2 THEN 'FAILED' WHEN 3 THEN 'BLOCKED' ELSE 'UNCERTAIN' END END AS status
@@ -162,35 +171,87 @@ VIEWS = {
                  row_number() OVER (PARTITION BY artifact_id, doc_id % 2 ORDER BY doc_id % 50 DESC, doc_id DESC) AS rn
           FROM labels JOIN docs_v ON doc_id = job_id WHERE quality = 1 AND toxic <> 1) WHERE rn = 1""",
     "passed_v": "SELECT DISTINCT artifact_id FROM receipts_v",
+    "passed1_v": "SELECT DISTINCT artifact_id FROM receipts_v WHERE validator_version = 1",
+    "bytes_v": """
+        SELECT artifact_id, sha256(t) AS bytes_hash, octet_length(encode(t)) AS byte_len FROM (
+          SELECT a.artifact_id, coalesce(d.text, '') || CASE WHEN a.job_id % 16 = 4 THEN '!' ELSE '' END AS t
+          FROM artifacts_v a JOIN documents d ON d.doc_id = a.job_id WHERE a.job_id % 16 <> 3)""",
+    "intact_v": """
+        SELECT a.artifact_id FROM artifacts_v a JOIN bytes_v b ON b.artifact_id = a.artifact_id AND b.bytes_hash = a.artifact_id JOIN passed1_v p ON p.artifact_id = a.artifact_id
+        WHERE a.status <> 'STAGING'""",
     "commits_v": """
         SELECT job_id, task_id, CASE WHEN job_id % 3 = 0 THEN 'COMPLETE' ELSE 'RUNNING' END AS status,
                CASE WHEN job_id % 8 = 1 THEN 'gone' || artifact_id WHEN job_id % 12 <> 0 THEN artifact_id END AS artifact_id FROM docs_v""",
     "manifests_v": """
-        SELECT task_id, sha256(string_agg(artifact_id, chr(10) ORDER BY artifact_id)) AS checkpoint_id, count(*) AS entries
-        FROM (SELECT DISTINCT task_id, artifact_id FROM docs_v) GROUP BY task_id""",
+        SELECT task_id, sha256(string_agg(d, '' ORDER BY r)) AS checkpoint_id, sum(n)::BIGINT AS entries FROM (
+          SELECT task_id, substr(k, 1, 4) AS r, sha256(string_agg(h, '' ORDER BY k, h)) AS d, count(*) AS n FROM (
+            SELECT DISTINCT task_id, sha256(artifact_id) AS k, sha256(artifact_id || ':' || artifact_id) AS h FROM docs_v) GROUP BY ALL) GROUP BY task_id""",
+    "entries_v": """
+        SELECT DISTINCT (job_id // 16)::VARCHAR AS task_id, artifact_id, CASE WHEN job_id % 64 = 6 THEN 'stale' ELSE artifact_id END AS content_hash
+        FROM commits_v WHERE artifact_id IS NOT NULL""",
+    "checks_v": """
+        SELECT task_id, CASE WHEN task_id::BIGINT % 5 = 0 THEN 'x' || task_id ELSE sha256(string_agg(d, '' ORDER BY r)) END AS checkpoint_id FROM (
+          SELECT task_id, substr(k, 1, 4) AS r, sha256(string_agg(h, '' ORDER BY k, h)) AS d FROM (
+            SELECT task_id, sha256(artifact_id) AS k, sha256(artifact_id || ':' || content_hash) AS h FROM entries_v) GROUP BY ALL) GROUP BY task_id""",
     "pointers_v": """
         SELECT 'lkg:' || task_id AS name, CASE WHEN task_id = 'src3' THEN 'gone' ELSE checkpoint_id END AS checkpoint_id FROM manifests_v""",
     "log_v": "SELECT event_id + 1 AS seq, event_type || '|' || user_id || '|' || props AS body FROM events",
+    "reljobs_v": """
+        SELECT job_id AS k, task_id, CASE job_id % 41 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'VERIFYING' ELSE status END AS status,
+               CASE WHEN job_id % 12 <> 0 THEN 'r' || job_id END AS result, CASE WHEN job_id % 7 <> 0 THEN sha256('c' || job_id) END AS hash FROM jobs_v""",
+    "reltasks_v": "SELECT task_id, CASE WHEN task_id % 53 = 0 THEN 'MANUAL_REVIEW' ELSE status END AS status FROM tasks_v",
+    "relbreakers_v": """
+        SELECT scope_type, scope_id, state, class FROM breakers_v UNION ALL
+        SELECT CASE WHEN k % 97 = 0 THEN 'JOB' ELSE 'DESIRED' END, k::VARCHAR, (['OPEN', 'HALF_OPEN', 'CLOSED', 'ODD'])[k % 4 + 1], (['open', 'half_open', 'closed', 'corrupt'])[k % 4 + 1]
+        FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 97 = 0 OR k % 101 = 0 UNION ALL
+        SELECT * FROM (VALUES ('GLOBAL', 'global', 'OPEN', 'open'), ('GLOBAL', 'other', 'OPEN', 'open'), ('TASK', 'release', 'HALF_OPEN', 'half_open'))""",
     "work_v": """
-        SELECT i.*, j.status AS job_status, j.task_id, t.status AS task_status, CASE WHEN j.job_id % 12 <> 0 THEN 'a' || (j.job_id % 40) END AS artifact_id,
-               CASE WHEN j.job_id % 12 <> 0 THEN (j.job_id % 40) % 3 <> 0 END AS artifact_ok
+        SELECT i.item, i.want, j.k AS job, j.status AS job_status, j.task_id, j.result, coalesce(j.hash, j.result) AS expected, t.status AS task_status
         FROM (SELECT o_orderkey AS item, CASE WHEN o_orderkey % 50 <> 1 THEN o_orderkey + CASE WHEN o_orderkey % 60 = 7 THEN 10000000 ELSE 0 END END AS want FROM orders WHERE o_orderkey % 10 <> 0) i
-        LEFT JOIN jobs_v j ON j.job_id = i.want LEFT JOIN tasks_v t ON t.task_id = j.task_id""",
+        LEFT JOIN reljobs_v j ON j.k = i.want LEFT JOIN reltasks_v t ON t.task_id = j.task_id""",
+    "flaws_v": """
+        SELECT result, array_to_string(list_filter([CASE WHEN job % 17 = 0 THEN 'staged for another job' END,
+                 CASE WHEN art IS DISTINCT FROM expected THEN 'content hash differs from the job''s' END, CASE WHEN job % 23 = 0 THEN 'not verified' END,
+                 CASE WHEN job % 29 = 0 THEN 'bytes missing' WHEN bytes <> expected THEN 'bytes differ' END,
+                 CASE WHEN job % 37 = 0 OR passed <> expected THEN 'receipt:structural/1' END], lambda x: x IS NOT NULL), '; ') AS flaws
+        FROM (SELECT *, CASE WHEN job % 19 = 0 THEN 'x' ELSE sha256('c' || job) END AS art, CASE WHEN job % 31 = 0 THEN 'y' ELSE sha256('c' || job) END AS bytes,
+                     CASE WHEN job % 47 = 0 THEN 'z' ELSE sha256('c' || job) END AS passed FROM work_v
+              WHERE job_status = 'COMPLETE' AND result IS NOT NULL AND job % 13 <> 0)""",
+    "scopes_v": """
+        SELECT 'GLOBAL' AS scope_type, 'global' AS scope_id UNION SELECT 'TASK', 'release' UNION SELECT 'DESIRED', item::VARCHAR FROM work_v UNION
+        SELECT 'JOB', want::VARCHAR FROM work_v WHERE want IS NOT NULL UNION SELECT 'TASK', task_id::VARCHAR FROM work_v WHERE task_id IS NOT NULL""",
+    "relchecks_v": """
+        SELECT CASE WHEN named THEN sha256(m) ELSE m END AS id, * FROM (VALUES ('m1', true, 'release', 'VERIFIED', true), ('m2', true, 'release', 'VERIFIED', false),
+          ('m3', true, 'release', 'VERIFIED', false), ('m4', true, 'release', 'VERIFIED', false), ('m5', true, 'release', 'CORRUPT', false), ('m6', true, 'release', 'UNVERIFIED', false),
+          ('m7', true, 'elsewhere', 'UNVERIFIED', false), ('m8', false, 'release', 'UNVERIFIED', false)) AS v(m, named, task, status, attested)""",
+    "openattempts_v": """
+        SELECT 't' || o_orderkey AS attempt_id, o_orderkey AS incident_id, (['CREATED', 'RUNNING', 'VERIFYING', 'UNCERTAIN'])[o_orderkey % 7 + 1] AS attempt_state
+        FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 < 4""",
     "blockers_v": """
         SELECT category, identity, arg_min(detail, ord) AS detail FROM (
-          SELECT 0 AS ord, 'DESIRED_WORK_UNSATISFIED' AS category, item::VARCHAR AS identity, 'unmapped' AS detail FROM work_v WHERE want IS NULL UNION ALL
-          SELECT 1, 'CONTRADICTORY_STATE', want::VARCHAR, 'mapped job is missing' FROM work_v WHERE want IS NOT NULL AND job_status IS NULL UNION ALL
-          SELECT 2, 'CONTRADICTORY_STATE', want::VARCHAR, 'task is missing' FROM work_v WHERE job_status IS NOT NULL AND task_status IS NULL UNION ALL
-          SELECT 3, 'DESIRED_WORK_UNSATISFIED', item::VARCHAR, 'job is ' || job_status FROM work_v WHERE job_status <> 'COMPLETE' UNION ALL
-          SELECT 4, 'HUMAN_GATE', want::VARCHAR, 'waits for a human' FROM work_v WHERE task_status = 'PAUSED_FOR_HUMAN' UNION ALL
-          SELECT 5, 'MISSING_ARTIFACT', want::VARCHAR, 'complete without an artifact' FROM work_v WHERE job_status = 'COMPLETE' AND artifact_id IS NULL UNION ALL
-          SELECT 6, 'INVALID_ARTIFACT', artifact_id, 'not verified' FROM work_v WHERE job_status = 'COMPLETE' AND NOT artifact_ok UNION ALL
-          SELECT 7, 'ACTIVE_EXECUTION', job_id::VARCHAR, 'job is ' || status FROM jobs_v WHERE status IN ('CLAIMED', 'RUNNING', 'COMMITTING') UNION ALL
-          SELECT 8, 'UNCERTAIN_EXECUTION', job_id::VARCHAR, 'job is UNCERTAIN' FROM jobs_v WHERE status = 'UNCERTAIN' UNION ALL
-          SELECT 9, 'ACTIVE_RECOVERY', incident_id::VARCHAR, 'incident is open' FROM recovery_v UNION ALL
-          SELECT 10, 'OPEN_BREAKER', 'TASK:' || scope_id, class FROM breakers_v WHERE class IN ('open', 'half_open') UNION ALL
-          SELECT 11, 'CORRUPT_AUTHORITY', 'TASK:' || scope_id, 'breaker cannot be read' FROM breakers_v WHERE class = 'corrupt' UNION ALL
-          SELECT 12, 'INVALID_CHECKPOINT', task_id, 'checkpoint is corrupt' FROM manifests_v WHERE entries % 2 = 1) GROUP BY category, identity""",
+          SELECT 0 AS ord, 'STALE_GENERATION' AS category, 'g-5' AS identity, 'declared state is at version 5' AS detail UNION ALL
+          SELECT 2, 'DESIRED_WORK_UNSATISFIED', item::VARCHAR, 'unmapped' FROM work_v WHERE want IS NULL UNION ALL
+          SELECT 3, 'CONTRADICTORY_STATE', item::VARCHAR, 'mapped job is missing' FROM work_v WHERE want IS NOT NULL AND job IS NULL UNION ALL
+          SELECT 4, 'DESIRED_WORK_UNSATISFIED', job::VARCHAR, 'job is ' || job_status FROM work_v WHERE job_status <> 'COMPLETE' UNION ALL
+          SELECT 5, 'HUMAN_GATE', job::VARCHAR, 'job waits for a human' FROM work_v WHERE job_status = 'BLOCKED' UNION ALL
+          SELECT 6, 'CONTRADICTORY_STATE', job::VARCHAR, 'task is missing' FROM work_v WHERE job IS NOT NULL AND task_status IS NULL UNION ALL
+          SELECT 7, 'HUMAN_GATE', task_id::VARCHAR, 'task is ' || task_status FROM work_v WHERE task_status IN ('PAUSED_FOR_HUMAN', 'MANUAL_REVIEW') UNION ALL
+          SELECT 8, 'MISSING_ARTIFACT', job::VARCHAR, 'complete without an artifact' FROM work_v WHERE job_status = 'COMPLETE' AND (result IS NULL OR job % 13 = 0) UNION ALL
+          SELECT 9, 'INVALID_ARTIFACT', result, flaws FROM flaws_v WHERE flaws <> '' UNION ALL
+          SELECT 10, 'ACTIVE_EXECUTION', k::VARCHAR, 'job is ' || status FROM reljobs_v WHERE status IN ('CLAIMED', 'RUNNING', 'COMMITTING', 'VERIFYING') UNION ALL
+          SELECT 11, 'ACTIVE_EXECUTION', 'spawn:' || worker_id || ':' || proc_id, 'process was never reaped' FROM open_v UNION ALL
+          SELECT 12, 'UNCERTAIN_EXECUTION', k::VARCHAR, 'job is UNCERTAIN' FROM reljobs_v WHERE status = 'UNCERTAIN' UNION ALL
+          SELECT 13, 'ACTIVE_RECOVERY', incident_id::VARCHAR, 'open incident: ' || signature FROM recovery_v UNION ALL
+          SELECT 14, 'ACTIVE_RECOVERY', attempt_id, 'attempt is ' || attempt_state FROM openattempts_v WHERE attempt_state <> 'CREATED' UNION ALL
+          SELECT 15, 'UNCERTAIN_EXECUTION', attempt_id, 'attempt is UNCERTAIN' FROM openattempts_v WHERE attempt_state = 'UNCERTAIN' UNION ALL
+          SELECT 16, 'ACTIVE_RECOVERY', incident_id::VARCHAR, 'escalated, and its policy has not ended' FROM incidents_v JOIN policies_v USING (incident_id) WHERE escalated_to = 'human' AND terminal_state IS NULL UNION ALL
+          SELECT 17, 'ACTIVE_RECOVERY', incident_id::VARCHAR, 'has an outcome, and its policy has not ended' FROM incidents_v JOIN policies_v USING (incident_id) WHERE outcome IS NOT NULL AND terminal_state IS NULL UNION ALL
+          SELECT 18, 'OPEN_BREAKER', scope_type || ':' || scope_id, class FROM relbreakers_v SEMI JOIN scopes_v USING (scope_type, scope_id) WHERE class IN ('open', 'half_open') UNION ALL
+          SELECT 19, 'CORRUPT_AUTHORITY', 'breaker:' || scope_type || ':' || scope_id, 'breaker cannot be read' FROM relbreakers_v SEMI JOIN scopes_v USING (scope_type, scope_id) WHERE class = 'corrupt' UNION ALL
+          SELECT 20, 'CONTRADICTORY_STATE', id, 'checkpoint belongs to another task' FROM relchecks_v WHERE task <> 'release' UNION ALL
+          SELECT 21, 'CONTRADICTORY_STATE', id, 'checkpoint is not named by its manifest' FROM relchecks_v WHERE NOT named UNION ALL
+          SELECT 22, 'INVALID_CHECKPOINT', id, 'checkpoint is corrupt' FROM relchecks_v WHERE status = 'CORRUPT' UNION ALL
+          SELECT 23, 'INVALID_CHECKPOINT', id, 'verified without attestation' FROM relchecks_v WHERE status = 'VERIFIED' AND NOT attested) GROUP BY category, identity""",
 }
 
 #: Windows that a first signal opens: hop from each window's first signal to the next window's.
@@ -303,8 +364,9 @@ _TEXTS = {
           SELECT *, CASE WHEN verdict = 'CONTRADICTORY' THEN 'conflict' WHEN verdict = 'DESIRED_MISSING' THEN CASE WHEN desired_work_id = 14000 THEN 'failed' WHEN desired_work_id % 2 = 0 THEN 'blocked' ELSE 'created' END
             ELSE 'skipped' END AS o FROM diff_v)) WHERE stopped = 0""",
     "desired_job_ids": "SELECT desired_work_id, 'dj-' || substr(sha256('desired:' || desired_work_id), 1, 32) AS new_job_id FROM diff_v WHERE verdict = 'DESIRED_MISSING'",
-    "desired_snapshot": """SELECT sha256(string_agg(h, '' ORDER BY k)) AS snapshot_hash, count(*) AS items FROM (SELECT o_orderkey::VARCHAR AS k,
-        sha256(o_orderkey || ':' || sha256(o_orderpriority) || ':' || (o_orderkey % 10 = 0)::INT || ':' || (o_orderkey % 3 + 1)) AS h FROM orders)""",
+    "desired_snapshot": """SELECT sha256(string_agg(d, '' ORDER BY r)) AS snapshot_hash, sum(n)::BIGINT AS items FROM (
+        SELECT substr(k, 1, 4) AS r, sha256(string_agg(h, '' ORDER BY k, h)) AS d, count(*) AS n FROM (SELECT sha256(o_orderkey::VARCHAR) AS k,
+          sha256(o_orderkey || ':' || sha256(o_orderpriority) || ':' || (o_orderkey % 10 = 0)::INT || ':' || (o_orderkey % 3 + 1)) AS h FROM orders) GROUP BY 1)""",
     "scheduler_eligible": "SELECT job_id, task_id FROM eligible_v",
     "scheduler_admission": """SELECT row_number() OVER (ORDER BY created_at, job_id)::INT AS rank, job_id, task_id, probe_scope FROM (
         SELECT *, row_number() OVER (PARTITION BY probe_scope ORDER BY created_at, job_id) AS rn FROM (
@@ -325,24 +387,40 @@ _TEXTS = {
     "quarantine_effect": "SELECT artifact_id, validation_id FROM receipts_v WHERE validator_version <> 1",
     "verified_artifacts": "SELECT artifact_id, status FROM artifacts_v WHERE status <> 'STAGING' AND artifact_id IN (SELECT artifact_id FROM passed_v)",
     "candidate_artifacts": "SELECT job_id, artifact_id, 'staging' AS how FROM docs_v",
-    "completion_inspection": """SELECT job_id, status, CASE WHEN status = 'COMPLETE' THEN CASE WHEN problems = '' THEN 'COMMITTED' ELSE 'UNCERTAIN' END WHEN problems = '' THEN 'UNCERTAIN' ELSE 'NOT_COMMITTED' END AS completion, problems
-        FROM (SELECT m.job_id, m.status, CASE WHEN m.artifact_id IS NULL THEN 'no_artifact' WHEN a.artifact_id IS NULL THEN 'artifact_missing' ELSE array_to_string(list_filter([
-          CASE WHEN a.status = 'STAGING' THEN 'not_verified' END, CASE WHEN p.artifact_id IS NULL THEN 'no_receipt' END], lambda x: x IS NOT NULL), ',') END AS problems
-        FROM commits_v m LEFT JOIN artifacts_v a ON a.artifact_id = m.artifact_id LEFT JOIN passed_v p ON p.artifact_id = m.artifact_id)""",
+    "structural_check": """SELECT artifact_id, CASE WHEN bytes_hash IS NULL THEN 'bytes_missing' ELSE array_to_string(list_filter([
+          CASE WHEN bytes_hash <> artifact_id THEN 'hash_mismatch' END, CASE WHEN bytes_hash <> artifact_id THEN 'identity_mismatch' END,
+          CASE WHEN given <> byte_len THEN 'size_mismatch' END, CASE WHEN job_id % 13 < 4 THEN 'no_provenance' END], lambda x: x IS NOT NULL), ',') END AS problems
+        FROM (SELECT a.*, b.bytes_hash, b.byte_len, CASE WHEN job_id % 6 <> 1 THEN size + (job_id % 10 = 2)::INT END AS given FROM artifacts_v a LEFT JOIN bytes_v b USING (artifact_id))""",
+    "completion_inspection": """SELECT job_id, status, CASE WHEN status = 'COMPLETE' THEN CASE WHEN problems = '' THEN 'COMMITTED' ELSE 'UNCERTAIN' END WHEN n > 0 THEN 'UNCERTAIN' ELSE 'NOT_COMMITTED' END AS completion,
+          problems, n::BIGINT AS adoptable
+        FROM (SELECT m.job_id, m.status, CASE WHEN m.status = 'COMPLETE' THEN 0 ELSE (m.own IN (SELECT artifact_id FROM intact_v))::INT END AS n,
+          CASE WHEN m.status <> 'COMPLETE' THEN '' WHEN m.artifact_id IS NULL THEN 'no_artifact' ELSE array_to_string(list_filter([
+            CASE WHEN m.given IS NULL THEN 'no_content_hash' END, CASE WHEN a.artifact_id IS NULL THEN 'artifact_missing' END,
+            CASE WHEN a.artifact_id IS NOT NULL AND m.given <> m.artifact_id THEN 'content_hash_differs' END,
+            CASE WHEN a.artifact_id IS NOT NULL THEN CASE WHEN b.bytes_hash IS NULL THEN 'bytes_missing' WHEN b.bytes_hash <> m.artifact_id THEN 'bytes_differ' END END,
+            CASE WHEN a.artifact_id IS NOT NULL AND p.artifact_id IS NULL THEN 'receipt:structural/1' END], lambda x: x IS NOT NULL), ',') END AS problems
+        FROM (SELECT c.*, d.artifact_id AS own, CASE WHEN c.job_id % 9 = 6 THEN NULL WHEN c.job_id % 15 = 3 THEN 'other' ELSE c.artifact_id END AS given FROM commits_v c JOIN docs_v d ON d.job_id = c.job_id) m
+        LEFT JOIN artifacts_v a ON a.artifact_id = m.artifact_id LEFT JOIN bytes_v b ON b.artifact_id = m.artifact_id LEFT JOIN passed1_v p ON p.artifact_id = m.artifact_id)""",
     "commit_adoption": "SELECT d.artifact_id, d.job_id FROM docs_v d JOIN jobs_v j ON j.job_id = d.job_id WHERE j.status = 'UNCERTAIN' AND d.job_id % 4 < j.fencing_token",
     "checkpoint_manifests": "SELECT task_id, checkpoint_id, entries FROM manifests_v",
-    "checkpoint_verify": """SELECT sha256(string_agg(artifact_id, chr(10) ORDER BY artifact_id)) AS checkpoint_id, task_id, count(*) AS entries, count(*) FILTER (WHERE p = 'missing') AS missing,
-        count(*) FILTER (WHERE p = 'not_verified') AS not_verified, count(*) FILTER (WHERE p = 'no_receipt') AS no_receipt, CASE WHEN count(p) = 0 THEN 'VERIFIED' ELSE 'CORRUPT' END AS verification_status
-        FROM (SELECT m.*, CASE WHEN a.artifact_id IS NULL THEN 'missing' WHEN a.status = 'STAGING' THEN 'not_verified' WHEN r.artifact_id IS NULL THEN 'no_receipt' END AS p
-          FROM (SELECT DISTINCT task_id, artifact_id FROM commits_v WHERE artifact_id IS NOT NULL) m LEFT JOIN artifacts_v a ON a.artifact_id = m.artifact_id LEFT JOIN passed_v r ON r.artifact_id = m.artifact_id) GROUP BY task_id""",
+    "checkpoint_verify": """SELECT *, substr(checkpoint_id, 1, 1) <> 'x' AS id_holds, true AS ledger_contiguous,
+          CASE WHEN substr(checkpoint_id, 1, 1) <> 'x' AND missing + not_verified + hash_mismatch + bytes_missing + bytes_mismatch + size_mismatch + no_receipt = 0 THEN 'VERIFIED' ELSE 'CORRUPT' END AS verification_status
+        FROM (SELECT k.checkpoint_id, e.task_id, count(*) AS entries, count(*) FILTER (WHERE a.artifact_id IS NULL) AS missing, count(*) FILTER (WHERE a.status = 'STAGING') AS not_verified,
+          count(*) FILTER (WHERE e.content_hash <> a.artifact_id) AS hash_mismatch, count(*) FILTER (WHERE a.artifact_id IS NOT NULL AND b.bytes_hash IS NULL) AS bytes_missing,
+          count(*) FILTER (WHERE b.bytes_hash <> e.content_hash) AS bytes_mismatch, count(*) FILTER (WHERE b.byte_len <> a.size + (a.job_id % 32 = 9)::INT) AS size_mismatch,
+          count(*) FILTER (WHERE a.artifact_id IS NOT NULL AND (p.artifact_id IS NULL OR e.content_hash <> a.artifact_id)) AS no_receipt
+          FROM entries_v e JOIN checks_v k USING (task_id) LEFT JOIN artifacts_v a ON a.artifact_id = e.artifact_id LEFT JOIN bytes_v b ON b.artifact_id = e.artifact_id
+          LEFT JOIN passed1_v p ON p.artifact_id = e.artifact_id GROUP BY k.checkpoint_id, e.task_id)""",
     "latest_known_good": "SELECT name, p.checkpoint_id FROM pointers_v p JOIN manifests_v m ON m.checkpoint_id = p.checkpoint_id AND entries % 2 = 0",
     "checkpoint_pointers": "SELECT name, p.checkpoint_id, CASE WHEN m.entries % 2 = 0 THEN 'VERIFIED' WHEN m.entries % 2 = 1 THEN 'CORRUPT' END AS verification_status FROM pointers_v p LEFT JOIN manifests_v m ON m.checkpoint_id = p.checkpoint_id",
     "finalization_blockers": "SELECT * FROM blockers_v",
     "blocker_counts": "SELECT category, count(*) AS n FROM blockers_v GROUP BY category",
-    "release_manifest": "SELECT sha256(string_agg(artifact_id || '=' || artifact_id, chr(10) ORDER BY artifact_id)) AS manifest_hash, count(*) AS entries FROM artifacts_v",
+    "release_manifest": """SELECT sha256(string_agg(d, '' ORDER BY r)) AS manifest_hash, sum(n)::BIGINT AS entries FROM (
+        SELECT substr(k, 1, 4) AS r, sha256(string_agg(h, '' ORDER BY k, h)) AS d, count(*) AS n FROM (
+          SELECT sha256(artifact_id) AS k, sha256(artifact_id || '=' || artifact_id) AS h FROM artifacts_v) GROUP BY 1)""",
     "ledger_contiguity": "SELECT coalesce(max(seq), 0) AS tip_seq, count(*) AS rows, coalesce(max(seq), 0) = count(*) AS contiguous FROM log_v",
-    "ledger_chain_verify": """SELECT seq, CASE WHEN (seq - 1) % 2500 = 11 THEN 'prev_hash_mismatch' ELSE 'hash_mismatch' END AS problem FROM log_v
-        WHERE seq % 2500 <> 11 AND ((seq - 1) % 2500 = 11 OR seq % 1000 = 7)""",
+    "ledger_chain_verify": """SELECT seq, CASE WHEN (seq - 1) % 2500 = 11 AND seq % 64 <> 0 THEN 'prev_hash_mismatch' ELSE 'hash_mismatch' END AS problem FROM log_v
+        WHERE seq % 2500 <> 11 AND (((seq - 1) % 2500 = 11 AND seq % 64 <> 0) OR seq % 1000 = 7)""",
     "ledger_segments": """SELECT (seq // 8)::BIGINT AS segment, list_reduce(list(body ORDER BY seq), lambda a, x: sha256(a || ':' || x), repeat('0', 64)) AS tip_hash, count(*) AS rows FROM log_v GROUP BY seq // 8""",
     "pk_duplicates": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "fk_violations": "SELECT o_orderkey AS job_id, o_custkey AS task_id FROM orders WHERE o_custkey NOT IN (SELECT task_id FROM tasks_v)",
@@ -372,6 +450,24 @@ _TEXTS = {
         FROM open_v o JOIN orders ON o_orderkey = o.job_id JOIN revoked_v r ON r.spawn_seq = o.seq
         WHERE o.job_id % 5 <> o.worker_id % 5 OR (seq % 2 = 0 AND seq % 3 <> o.job_id % 3) OR (seq % 2 = 1 AND revoked_seq IS NOT NULL)""",
     "relevant_breakers": "SELECT scope_id, state FROM breakers_v WHERE scope_id IN (SELECT task_id::VARCHAR FROM jobs_v WHERE status = 'FAILED')",
+    "open_attempts": "SELECT attempt_id, incident_id, attempt_state FROM openattempts_v",
+    "desired_items": "SELECT o_orderkey AS desired_work_id, o_custkey AS task_id FROM orders WHERE o_orderkey % 10 <> 0",
+    "desired_items_all": "SELECT o_orderkey % 10 = 0 AS retired, count(*) AS n FROM orders GROUP BY 1",
+    "open_runs": "SELECT o_orderkey AS run_id, epoch_us(o_orderdate) AS started_at FROM orders WHERE o_orderstatus <> 'F'",
+    "escalated_policies": "SELECT incident_id, terminal_state FROM incidents_v LEFT JOIN policies_v USING (incident_id) WHERE escalated_to = 'human'",
+    "job_desired_items": """SELECT j.job_id, m.k AS desired_work_id FROM jobs_v j LEFT JOIN (SELECT o_orderkey AS k, o_orderkey + (o_orderkey % 23 = 7)::INT AS job FROM orders
+        WHERE o_orderkey % 19 <> 4 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) m ON m.job = j.job_id WHERE j.status = 'PENDING'""",
+    "claims_by_expiry": """SELECT row_number() OVER (ORDER BY lease_expires_at, job_id)::INT AS rank, job_id, lease_expires_at FROM jobs_v
+        WHERE status = 'CLAIMED' AND lease_expires_at > {NOW} ORDER BY lease_expires_at, job_id LIMIT 50""",
+    "breakers_in_order": "SELECT row_number() OVER (ORDER BY scope_type, scope_id)::INT AS rank, scope_type, scope_id, state FROM relbreakers_v ORDER BY scope_type, scope_id LIMIT 50",
+    "actor_rules": """SELECT o_orderkey, coalesce(starts_with(a, 'worker:'), false) AS is_worker, coalesce(a IN ('human', 'scheduler', 'system', 'test', 'reconciler'), false) AS may_create,
+        coalesce(a IN ('recovery-controller', 'reconciler', 'system', 'operator', 'test'), false) AS may_reclaim
+        FROM (SELECT o_orderkey, (['human', 'scheduler', 'worker:7', 'reconciler', 'worker', 'recovery-controller', NULL])[o_orderkey % 7 + 1] AS a FROM orders)""",
+    "heartbeat_ingest": """SELECT worker_id, proc_id, seq, hb_seq, CASE WHEN fenced THEN 'fenced' WHEN hb_seq <= max(hb_seq) FILTER (WHERE NOT fenced) OVER (
+          PARTITION BY worker_id, proc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'late' ELSE 'accepted' END AS outcome
+        FROM (SELECT b.*, b.job IS NOT NULL AND NOT coalesce(b.token = j.fencing_token AND b.worker_id = CASE WHEN j.job_id % 2 = 0 THEN j.job_id % 20 ELSE 0 END, false) AS fenced
+          FROM (SELECT seq, CASE WHEN seq % 6 <> 0 AND job_id % 4 = 0 THEN job_id % 20 ELSE worker_id % 20 END AS worker_id, proc_id % 3 AS proc_id, CASE WHEN seq % 6 <> 0 THEN job_id END AS job,
+                       CASE WHEN seq % 11 <> 0 THEN job_id % 3 + 1 END AS token, proc_id + seq % 50 AS hb_seq FROM beats_v) b LEFT JOIN jobs_v j ON j.job_id = b.job)""",
     "sql_query": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey >= 5 GROUP BY c_nationkey",
 }
 
@@ -410,6 +506,24 @@ def _anchored(body: str, only: str, width: int) -> str:
     return _fill((_ANCHORED + body).replace("{views}", views).replace("{only}", only).replace("{width}", str(width)))
 
 
+def _admission_probes() -> str:
+    """Probing jobs are taken one by one in their order; ``taken`` lists the scopes of the probes so far."""
+    views = "".join(f"{v} AS ({_view(v)}), " for v in _needed("eligible_v breakers_v"))
+    return _fill(f"""WITH RECURSIVE {views}
+        judged AS (
+          SELECT e.job_id, e.created_at, list_filter([CASE WHEN b.class = 'half_open' THEN {{'name': 'TASK:' || b.scope_id, 'used': b.used}} END,
+                   CASE WHEN e.job_id % 40 % 3 = 1 THEN {{'name': 'DESIRED:' || (e.job_id % 40), 'used': 0}} END], lambda x: x IS NOT NULL) AS held
+          FROM eligible_v e LEFT JOIN breakers_v b ON b.scope_id = e.task_id::VARCHAR WHERE b.class IS NULL OR b.class NOT IN ('open', 'corrupt')),
+        p AS (SELECT *, row_number() OVER (ORDER BY created_at, job_id) AS i FROM judged WHERE len(held) > 0),
+        step(i, taken, job) AS (
+          SELECT 0::BIGINT, []::VARCHAR[], NULL::BIGINT UNION ALL
+          SELECT i, CASE WHEN ok THEN list_concat(taken, list_transform(held, lambda h: h.name)) ELSE taken END, CASE WHEN ok THEN job_id END FROM (
+            SELECT p.i, p.job_id, p.held, s.taken, list_bool_and(list_transform(p.held, lambda h: h.used + len(list_filter(s.taken, lambda x: x = h.name)) < 2)) AS ok
+            FROM step s JOIN p ON p.i = s.i + 1))
+        SELECT row_number() OVER (ORDER BY created_at, job_id)::INT AS rank, job_id FROM judged
+        WHERE len(held) = 0 OR job_id IN (SELECT job FROM step WHERE job IS NOT NULL) ORDER BY created_at, job_id LIMIT 300""")
+
+
 def _closure() -> str:
     return f"""WITH RECURSIVE e AS ({_edges()}), walk AS (
         SELECT entity, src, dst, 1 AS depth, src || '>' || dst AS path FROM e UNION ALL
@@ -420,6 +534,7 @@ def _closure() -> str:
 
 ORACLES = {name: _with(text) for name, text in _TEXTS.items()} | {
     "state_closure": _closure(),
+    "admission_probes": _admission_probes(),
     "anchored_window_count": _anchored(
         "SELECT scope_type, scope_id, max(start) AS window_started_at, arg_max(n, start) AS failure_count, max(n) AS peak FROM counted GROUP BY scope_type, scope_id",
         "scope_type = 'JOB'", 12 * HOUR,

@@ -334,6 +334,80 @@ def scheduler_admission(spark, d):
     return C.admissions(waiting, V.breakers(spark, d), scopes, 4000, 4400, 300).select("rank", "job_id", "task_id", "probe_scope")
 
 
+def admission_probes(spark, d):
+    """Jobs of several half-open scopes: their task's, and one that they share with other items; two probes a scope."""
+    waiting = C.eligible(V.jobs(spark, d), V.tasks(spark, d), _in_recovery(spark, d))
+    shared = (c("job_id") % 40).cast("string")
+    scopes = waiting.select("job_id", F.explode(F.array(
+        F.struct(F.lit("TASK").alias("scope_type"), c("task_id").cast("string").alias("scope_id")), F.struct(F.lit("DESIRED").alias("scope_type"), shared.alias("scope_id")),
+    )).alias("s")).select("job_id", "s.*")
+    n = c("id")
+    more = spark.range(40).where(n % 3 != 0).select(
+        F.lit("DESIRED").alias("scope_type"), n.cast("string").alias("scope_id"), F.when(n % 3 == 1, "HALF_OPEN").otherwise("CLOSED").alias("state"),
+        F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("half_open_probes_used"),
+    )
+    breakers = V.breakers(spark, d).select("scope_type", "scope_id", "state", "version", "half_open_probes_used").unionByName(more)
+    return C.admissions(waiting, breakers, scopes, 4000, 4400, 300, probes=2).select("rank", "job_id")
+
+
+def open_attempts(spark, d):
+    return R.open_attempts(V.open_attempts(spark, d)).select("attempt_id", "incident_id", "attempt_state")
+
+
+def desired_items(spark, d):
+    return C.listed(V.desired(spark, d), False).select("desired_work_id", "task_id")
+
+
+def desired_items_all(spark, d):
+    return C.listed(V.desired(spark, d), True).groupBy("retired").agg(F.count(F.lit(1)).alias("n"))
+
+
+def open_runs(spark, d):
+    runs = V.table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(
+        c("o_orderkey").alias("run_id"), V.micros("o_orderdate").alias("started_at"), F.when(c("o_orderstatus") == "F", V.micros("o_orderdate") + DAY).alias("completed_at")
+    )
+    return C.open_runs(runs).select("run_id", "started_at")
+
+
+def escalated_policies(spark, d):
+    return R.escalated_with_policy(V.incidents(spark, d), V.policies(spark, d), "human").select("incident_id", "terminal_state")
+
+
+def job_desired_items(spark, d):
+    return C.desired_of(V.jobs(spark, d).where("status = 'PENDING'"), V.mapping(spark, d))
+
+
+def _ranked(rows, order):
+    """The first rows in their order, which is told by a number: at most 50 rows."""
+    return rows.limit(50).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def claims_by_expiry(spark, d):
+    rows = E.claimed_by_prefix(V.jobs(spark, d).withColumn("owner_worker_id", F.concat(F.lit("sched-"), c("owner_worker_id").cast("string"))), "sched-", NOW_ORDERS)
+    return _ranked(rows, ["lease_expires_at", "job_id"]).select("rank", "job_id", "lease_expires_at")
+
+
+def breakers_in_order(spark, d):
+    return _ranked(B.listed(V.release_breakers(spark, d)), ["scope_type", "scope_id"]).select("rank", "scope_type", "scope_id", "state")
+
+
+def actor_rules(spark, d):
+    names = ["human", "scheduler", "worker:7", "reconciler", "worker", "recovery-controller", None]
+    return V.table(spark, d, "orders", "o_orderkey").select("o_orderkey", V.pick(c("o_orderkey"), names).alias("actor")).select(
+        "o_orderkey", P.is_worker_actor(c("actor")).alias("is_worker"), P.may_create_work(c("actor")).alias("may_create"), P.may_reclaim(c("actor")).alias("may_reclaim"),
+    )
+
+
+def heartbeat_ingest(spark, d):
+    k = c("seq")
+    beats = V.ledger(spark, d, "heartbeat").select(
+        "seq", (c("worker_id") % 20).alias("worker_id"), (c("proc_id") % 3).alias("proc_id"), F.when(k % 6 != 0, c("job_id")).alias("job_id"),
+        F.when(k % 11 != 0, c("job_id") % 3 + 1).alias("fencing_token"), (c("proc_id") + k % 50).alias("hb_seq"),
+    )
+    jobs = V.jobs(spark, d).select("job_id", "fencing_token", F.when(c("job_id") % 2 == 0, c("job_id") % 20).otherwise(0).alias("owner_worker_id"))
+    return K.ingested(beats.withColumn("worker_id", F.when(c("job_id") % 4 == 0, c("job_id") % 20).otherwise(c("worker_id"))), jobs)
+
+
 def orphan_dispatch(spark, d):
     claimed = E.jobs_in(V.jobs(spark, d), ["CLAIMED"])
     spawned = V.ledger(spark, d, "worker.proc_spawned").select("worker_id", "job_id")
@@ -426,8 +500,21 @@ def _commits(spark, d):
     )
 
 
+def _known(spark, d):
+    return A.with_evidence(V.artifact_rows(spark, d), A.observed_bytes(V.contents(spark, d)), A.receipts(V.validations(spark, d)))
+
+
+def structural_check(spark, d):
+    rows = V.artifact_rows(spark, d).withColumn("size", F.when(c("job_id") % 6 != 1, c("size") + F.when(c("job_id") % 10 == 2, 1).otherwise(0)))
+    checked = A.structural_check(rows, A.observed_bytes(V.contents(spark, d)))
+    return checked.select("artifact_id", F.array_join("problems", ",").alias("problems"))
+
+
 def completion_inspection(spark, d):
-    return A.completion(_commits(spark, d), V.artifact_rows(spark, d), _passes(spark, d))
+    n = c("job_id")
+    given = F.when(n % 9 == 6, F.lit(None)).when(n % 15 == 3, "other").otherwise(c("artifact_id"))
+    jobs = _commits(spark, d).select("job_id", "status", c("artifact_id").alias("result_artifact_id"), F.when(c("status") == "COMPLETE", given).alias("content_hash"))
+    return A.completion(jobs, _known(spark, d), candidate_artifacts(spark, d).select("job_id", "artifact_id"))
 
 
 def commit_adoption(spark, d):
@@ -435,18 +522,19 @@ def commit_adoption(spark, d):
     return A.adoptable(staged, V.jobs(spark, d)).select("artifact_id", "job_id")
 
 
-def _checked(spark, d):
-    entries = _commits(spark, d).where("artifact_id IS NOT NULL").select("task_id", c("artifact_id").alias("content_hash"))
-    return A.verify_checkpoints(A.manifests(entries), V.artifact_rows(spark, d), _passes(spark, d))
-
-
 def checkpoint_manifests(spark, d):
-    entries = V.staged_documents(spark, d).select("task_id", c("artifact_id").alias("content_hash"))
-    return A.manifests(entries).select("task_id", "checkpoint_id", F.size("entries").cast("long").alias("entries"))
+    entries = V.staged_documents(spark, d).select("task_id", "artifact_id", c("artifact_id").alias("content_hash"))
+    return A.manifests(entries)
 
 
 def checkpoint_verify(spark, d):
-    return _checked(spark, d)
+    """A checkpoint for every 16 documents; every fifth has another name than its manifest's digest."""
+    rows = _commits(spark, d).where("artifact_id IS NOT NULL")
+    claimed = F.when(c("job_id") % 64 == 6, "stale").otherwise(c("artifact_id"))
+    entries = rows.select(F.floor(c("job_id") / 16).cast("string").alias("task_id"), "artifact_id", claimed.alias("content_hash")).distinct()
+    names = A.manifests(entries).select("task_id", F.when(c("task_id").cast("long") % 5 == 0, F.concat(F.lit("x"), c("task_id"))).otherwise(c("checkpoint_id")).alias("checkpoint_id"))
+    known = _known(spark, d).withColumn("size", c("size") + F.when(c("job_id") % 32 == 9, 1).otherwise(0))
+    return A.verify_checkpoints(names, entries.join(names, "task_id").select("checkpoint_id", "artifact_id", "content_hash"), known, I.tip(_log(spark, d)))
 
 
 def _lenient(spark, d):
@@ -466,12 +554,18 @@ def checkpoint_pointers(spark, d):
 
 
 def finalization_blockers(spark, d):
-    n = c("job_id") % 12
-    jobs = V.jobs(spark, d).withColumn("artifact_id", F.when(n != 0, F.concat(F.lit("a"), (c("job_id") % 40).cast("string"))))
-    items = V.desired(spark, d).where(~c("retired")).select("desired_work_id", F.when(c("desired_work_id") % 50 != 1, c("desired_work_id") + F.when(c("desired_work_id") % 60 == 7, 10_000_000).otherwise(0)).alias("job_id"))
-    table = spark.range(40).select(F.concat(F.lit("a"), c("id").cast("string")).alias("artifact_id"), F.when(c("id") % 3 == 0, "STAGING").otherwise("RELEASED").alias("status"))
-    checks = _lenient(spark, d)[0]
-    return A.release_blockers(items, jobs, V.tasks(spark, d), table, V.incidents(spark, d).where("scope = 'recovery'"), V.breakers(spark, d), checks)
+    items = C.listed(V.desired(spark, d), False).select("desired_work_id")
+    k = c("desired_work_id")
+    mapping = items.where(k % 50 != 1).select("desired_work_id", (k + F.when(k % 60 == 7, 10_000_000).otherwise(0)).alias("job_id"))
+    tasks = V.tasks(spark, d).withColumn("status", F.when(c("task_id") % 53 == 0, "MANUAL_REVIEW").otherwise(c("status")))
+    every, policies = V.incidents(spark, d), V.policies(spark, d)
+    return A.release_blockers(A.Evidence(
+        generation="g-5", version=4, task_id="release", head=spark.createDataFrame([(5,)], "version long"), items=items, mapping=mapping,
+        jobs=V.release_jobs(spark, d), tasks=tasks, artifacts=V.release_artifacts(spark, d), spawns=E.unreaped_spawns(*_processes(spark, d)),
+        incidents=R.open_incidents(every, "recovery").withColumn("failure_class", c("signature")), attempts=R.open_attempts(V.open_attempts(spark, d)),
+        escalated=R.escalated_with_policy(every, policies, "human"), unconsumed=R.settled_without_policy_end(every, policies),
+        breakers=V.release_breakers(spark, d), checkpoints=V.release_checkpoints(spark),
+    ))
 
 
 def blocker_counts(spark, d):
@@ -493,8 +587,8 @@ def ledger_contiguity(spark, d):
 
 
 def ledger_chain_verify(spark, d):
-    tampered = I.build_chain(_log(spark, d)).where("seq % 2500 <> 11")
-    return I.chain_failures(tampered.withColumn("body", F.when(c("seq") % 1000 == 7, F.concat("body", F.lit("!"))).otherwise(c("body"))))
+    tampered = I.build_segments(_log(spark, d), 64).where("seq % 2500 <> 11")
+    return I.chain_failures(tampered.withColumn("body", F.when(c("seq") % 1000 == 7, F.concat("body", F.lit("!"))).otherwise(c("body"))), 64)
 
 
 def ledger_segments(spark, d):

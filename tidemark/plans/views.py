@@ -20,6 +20,10 @@ EVENT_KINDS = {
 }
 
 
+#: Budgets of a recovery policy's rungs, readable and not.
+RUNG_TEXTS = ['{"1":2,"2":2}', '{"6":1}', '{"1":-1}', '{"1":true}', "[1]", "nope", None, '{"1":2.5}', '{"1":"2"}', "{}", '{"3":0}', "", '{"5":1,"0":1}']
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
@@ -144,7 +148,76 @@ def artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts(staged_documents(spark, sf_dir)).select(
         "artifact_id", "job_id", "size", F.col("artifact_id").alias("content_hash"),
         F.when(n == 0, "STAGING").when(n == 1, "RELEASED").otherwise("VALIDATED").alias("status"),
+        pick(F.col("job_id"), ["{}", "bad", None, "[1]", *['{"worker": 1}'] * 9]).alias("producer"),
+    )
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes that are staged for each artifact: lost for some, changed for others."""
+    c = F.col
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(c("doc_id").alias("job_id"), F.when(c("doc_id") % 16 == 4, F.concat(text, F.lit("!"))).otherwise(text).alias("content"))
+    return artifact_rows(spark, sf_dir).select("artifact_id", "job_id").where(c("job_id") % 16 != 3).join(docs, "job_id").select("artifact_id", c("content").cast("binary").alias("content"))
+
+
+def open_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attempt of every third order's incident, in every state."""
+    k = F.col("o_orderkey")
+    states = ["CREATED", "RUNNING", "VERIFYING", "UNCERTAIN", "SUCCEEDED", "FAILED", "BLOCKED"]
+    return table(spark, sf_dir, "orders", "o_orderkey").where(k % 3 == 0).select(
+        F.concat(F.lit("t"), k.cast("string")).alias("attempt_id"), k.alias("incident_id"), pick(k, states).alias("attempt_state")
+    )
+
+
+def release_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with the result that they name; some are blocked or being verified."""
+    c = F.col
+    k = c("job_id")
+    named = F.when(k % 12 != 0, F.concat(F.lit("r"), k.cast("string")))
+    return jobs(spark, sf_dir).select(
+        "job_id", "task_id", F.when(k % 41 == 0, "BLOCKED").when(k % 41 == 1, "VERIFYING").otherwise(c("status")).alias("status"),
+        named.alias("result_artifact_id"), F.when(k % 7 != 0, F.sha2(F.concat(F.lit("c"), k.cast("string")), 256)).alias("content_hash"),
+    )
+
+
+def release_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The artifacts that jobs name, with what is known of their bytes and receipts; each flaw is in some."""
+    k = F.col("o_orderkey")
+    own = F.sha2(F.concat(F.lit("c"), k.cast("string")), 256)
+    return table(spark, sf_dir, "orders", "o_orderkey").where((k % 12 != 0) & (k % 13 != 0)).select(
+        F.concat(F.lit("r"), k.cast("string")).alias("artifact_id"), (k + F.when(k % 17 == 0, 1).otherwise(0)).alias("job_id"),
+        F.when(k % 19 == 0, "x").otherwise(own).alias("content_hash"), F.when(k % 23 == 0, "STAGING").otherwise("RELEASED").alias("status"),
+        F.when(k % 29 == 0, F.lit(None)).when(k % 31 == 0, "y").otherwise(own).alias("bytes_hash"),
+        F.when(k % 37 != 0, F.create_map(F.lit("structural/1"), F.when(k % 47 == 0, "z").otherwise(own))).alias("passed"),
+    )
+
+
+def release_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakers of tasks, jobs, declared items and of everything."""
+    k = F.col("o_orderkey")
+    columns = ["scope_type", "scope_id", "state", "version", "half_open_probes_used"]
+    more = table(spark, sf_dir, "orders", "o_orderkey").where((k % 97 == 0) | (k % 101 == 0)).select(
+        F.when(k % 97 == 0, "JOB").otherwise("DESIRED").alias("scope_type"), k.cast("string").alias("scope_id"),
+        pick(k, ["OPEN", "HALF_OPEN", "CLOSED", "ODD"]).alias("state"), F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("half_open_probes_used"),
     )
+    whole = spark.createDataFrame([("GLOBAL", "global", "OPEN", 1, 0), ("GLOBAL", "other", "OPEN", 1, 0), ("TASK", "release", "HALF_OPEN", 1, 0)], "scope_type string, scope_id string, state string, version long, half_open_probes_used long")
+    return breakers(spark, sf_dir).select(*columns).unionByName(more).unionByName(whole)
+
+
+#: Release checkpoints: manifest, whether it names the row, task, state, whether and how it is attested.
+RELEASE_CHECKPOINTS = [
+    ("m1", True, "release", "VERIFIED", "own"), ("m2", True, "release", "VERIFIED", "none"), ("m3", True, "release", "VERIFIED", "foreign"), ("m4", True, "release", "VERIFIED", "no json"),
+    ("m5", True, "release", "CORRUPT", "none"), ("m6", True, "release", "UNVERIFIED", "none"), ("m7", True, "elsewhere", "UNVERIFIED", "none"), ("m8", False, "release", "UNVERIFIED", "none"),
+]
+
+
+def release_checkpoints(spark: SparkSession) -> DataFrame:
+    c = F.col
+    rows = spark.createDataFrame(RELEASE_CHECKPOINTS, "canonical_manifest string, named boolean, task_id string, verification_status string, how string")
+    rows = rows.withColumn("checkpoint_id", F.when(c("named"), F.sha2("canonical_manifest", 256)).otherwise(c("canonical_manifest")))
+    receipt = lambda ident: F.to_json(F.struct(F.lit(True).alias("release"), ident.alias("checkpoint_id")))
+    how = F.when(c("how") == "own", receipt(c("checkpoint_id"))).when(c("how") == "foreign", receipt(F.lit("m"))).when(c("how") == "no json", "?")
+    return rows.select("checkpoint_id", "task_id", "canonical_manifest", "verification_status", how.alias("receipt"))
 
 
 def breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +250,17 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("incident_id"), (k % 6).cast("int").alias("current_rung"), (k % 10).alias("version"),
         F.lit(7).cast("long").alias("incident_budget"), (F.lit(7) - k % 8).alias("remaining_budget"), (k % 8 + F.when(k % 31 == 0, 1).otherwise(0)).alias("attempt_count"),
         (k % 3).alias("consumed_attempt_number"), (k % 3 - F.when(k % 29 == 0, 1).otherwise(0)).alias("result_consumed_attempt_number"),
-        (k % 4).alias("zero_progress_count"), F.when(k % 9 == 0, "RECOVERY_COMPLETE").alias("terminal_state"),
+        (k % 4).alias("zero_progress_count"), F.when(k % 9 == 0, "RECOVERY_COMPLETE").when(k % 43 == 1, "FINISHED").alias("terminal_state"),
+        pick(k, RUNG_TEXTS).alias("per_rung_budgets"), pick(k, ["[]", "x", None, "", *['{"1": 1}'] * 7]).alias("per_rung_attempts"),
+        F.when(k % 37 == 0, "").when(k % 37 != 1, "v1").alias("policy_version"),
     )
 
 
+def pick(k: Column, texts: list[str | None]) -> Column:
+    """The text at place ``k`` modulo their number."""
+    return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), F.pmod(k, F.lit(len(texts))).cast("int"))
+
+
 def desired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as declared items; every tenth is retired."""
     c = F.col
