@@ -237,10 +237,10 @@ def test_keys_and_radius_meet_their_recall():
             extra = len(pool) - n
             prints = []
             for some in (pool[: n], np.concatenate([pool[extra:]])):
-                lanes = [some if k == 0 else near_copies.remix(some, k) for k in range(near_copies.LANES)]
-                prints.append(([simhash.majority(x) for x in lanes], [y for x in lanes for y in (x.min(), x.max())]))
+                made = near_copies.set_print(some, near_copies.Scheme())
+                prints.append((made[:4], made[4:12]))
             missed += not any(x == y for x, y in zip(prints[0][1], prints[1][1], strict=True))
-            far += sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[0][0], prints[1][0], strict=True)) > near_copies.RADIUS
+            far += sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(prints[0][0], prints[1][0], strict=True)) > near_copies.Scheme().radius
         assert missed <= 1 and far <= 1
 
 
@@ -397,6 +397,13 @@ def test_spans_and_scripts(spark):
     assert language.learn(spark.createDataFrame([], "text string, lang string")) is None
 
 
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = spark.createDataFrame([("a b", "x"), ("c d", "y"), ("e", "z")], "text string, lang string")
+    with pytest.raises(ValueError):
+        language.learn(rows)
+
+
 def test_signatures_by_brute_force():
     text = "The quick fox and the lazy dog, but a very slow cat"
     own = [w.lower() for w in re.findall(r"\w+", text)]
@@ -409,6 +416,63 @@ def test_signatures_by_brute_force():
     assert spotsigs.likeness(a, b) == 0.5 and spotsigs.likeness(a, b, 0.8) == 0.0
 
 
+def plain_signatures(text):
+    """Chains of an anchor and the two content words after it, as words; with no anchor every word anchors."""
+    own = [w.lower() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)]
+    common = set(spotsigs.ANCHORS.split())
+
+    def chains(heads, content):
+        out = set()
+        for i in heads:
+            after = [own[j] for j in content if j > i][: spotsigs.CHAIN]
+            if len(after) == spotsigs.CHAIN:
+                out.add((own[i], *after))
+        return out
+
+    every = range(len(own))
+    out = chains([i for i in every if own[i] in common], [i for i in every if own[i] not in common]) or chains(every, every)
+    return out or ({tuple(own)} if own else set())
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(400)] + spotsigs.ANCHORS.split() * 4
+    texts = ["", " ", "zebra", "zebra", "zebra yak", "the fox and a dog"]
+    for _ in range(60):
+        own = rng.choices(vocabulary, k=rng.randint(40, 300))
+        texts += [" ".join(edited(rng, own, vocabulary, rng.choice([0, 1, 2, 4, len(own) // 25]))) for _ in range(rng.randint(1, 8))]
+    sets = [plain_signatures(t) for t in texts]
+    # The kernel's sets are those of the plain form: the same sizes and the same equalities.
+    own = spotsigs.signatures([t.encode() for t in texts])
+    assert [len(s) for s in own] == [len(s) for s in sets]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    above, links, skipped = list(range(len(texts))), 0, 0
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            assert spotsigs.likeness(own[i], own[j]) == pytest.approx(jaccard(a, b))
+            apart = abs(spotsigs.near_partition(len(a)) - spotsigs.near_partition(len(b))) > 1
+            skipped += apart
+            assert not (apart and jaccard(a, b) >= 0.8)
+            assert spotsigs.likeness(own[i], own[j], 0.8) == (pytest.approx(jaccard(a, b)) if jaccard(a, b) >= 0.8 else 0.0)
+            if jaccard(a, b) >= 0.8:
+                links += 1
+                x, y = root(i), root(j)
+                above[max(x, y)] = min(x, y)
+    assert links > 150 and skipped > 5000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in spotsigs.similar_texts(docs).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    pairs_kept = sum(got[i] == got[j] for i in range(len(texts)) for j in range(i) if want[i] == want[j])
+    assert pairs_kept >= 0.99 * sum(want[i] == want[j] for i in range(len(texts)) for j in range(i))
+    assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+
+
 def test_rates_are_met(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"))
     n = {r["source"]: r["count"] for r in mixing.mix(docs, weights={"rare": 3.0, "hot": 1.0}).groupBy("source").count().collect()}

@@ -10,22 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint_root, delete_path, scratch_path
+from tidemark.llm.common import checkpoint_root, delete_path, scratch_path, shuffle_width
 
 #: Steps before giving up; large-star/small-star needs a logarithmic number of them.
 MAX_ROUNDS = 60
+#: Edges that one file of a step table is meant to hold: few edges make few files and tasks.
+FILE_EDGES = 20_000
 
 
 class _Tables:
     """Writes step tables and removes those that the next step no longer reads."""
 
     def __init__(self, spark):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.files = spark, [], shuffle_width(spark)
         checkpoint_root(spark)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, "star")
-        df.write.parquet(path)
+        df.coalesce(self.files).write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    tables.files = min(tables.files, 1 + current.count() // FILE_EDGES)
     for _ in range(MAX_ROUNDS):
         # A forest of stars: no smaller end of an edge is the larger end of another, and each
         # larger end has one edge.

@@ -16,6 +16,8 @@ chained before the labels are traced back.
 Defined results
 ---------------
 * null text, or no letter: ``und`` with score 0
+* letters of unknown scripts only (as beyond U+FFFF): the alphabetically first language, score 1 / languages
+* more than ``LANGUAGES`` labels: an error, for the table would not be bounded
 * no labelled document: ``und`` everywhere
 * null id: not held out and not learned from
 * ties between languages: the alphabetically first
@@ -45,6 +47,8 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.02
 #: Words of a segment.
 SEGMENT = 128
+#: Languages that one model tells apart at most; its table holds GRAMS floats for each.
+LANGUAGES = 64
 UNKNOWN = "und"
 
 #: Scripts by their ranges of code points, in the order of their numbers; 0 is no letter.
@@ -266,7 +270,9 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([name] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "gram", "n"])
 
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary"), F.col(lang_col).cast("string"))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("binary"), F.col(lang_col).cast("string").alias("lang"))
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(counts.column("lang").to_pylist()))
     if not languages:
@@ -283,8 +289,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     kinds = [pa.string(), pa.float64(), *[spans] * with_spans]
     names = ["lang", "score", *["spans"] * with_spans]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES bounds its size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             found: list[tuple] = []
             for a, b in groups(batch.column(1)):

@@ -8,9 +8,9 @@ in proportion to the input, for unrelated texts share none:
    Texts at similarity s agree on a key with probability s, so a pair at 0.8 shares none of
    eight with a probability of 0.2 ** 8 or less, whatever the size of the corpus.  Every block is
    compared by bit planes with a wide radius; only a spanning forest of its *candidate* links is kept.
-2. *Large blocks.*  A block of more than ``block`` rows is thinned: rows within ``TIGHT`` bits of a row held
+2. *Large blocks.*  A block of more than ``block`` rows is thinned: rows within ``tight`` bits of a row held
    are linked to it and let go, and from then on rows are compared with the rows held by the
-   radius ``SPREAD``, which covers every row that a row let go can link to.  A block that does not become
+   radius ``spread``, which covers every row that a row let go can link to.  A block that does not become
    small this way holds texts that share a passage and little else; nothing of it is let go, it
    is divided by the other keys.
 3. *Groups.*  Components of the candidate links hold every link whole.  Their texts come together once, and all
@@ -34,7 +34,8 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +46,49 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LAST_ID, ship, shuffle_width, staged
 from tidemark.llm.components import components
 from tidemark.llm.simhash import BLOCK, _compare, forests, majority, shingle_hashes, within_radius
+from tidemark.llm.textbytes import groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
-LANES = 4
-#: Keys of a text: the least and the greatest hash of each lane.
-KEYS = 2 * LANES
-#: Bits of 256 that links may differ in: 39 on average at a similarity of 0.8, with a deviation of 5.7.
-RADIUS = 68
-#: Rows of a large block this near to a row held are let go (a similarity of 0.7 at least).  What such a row
-#: links to is at 0.5 or above to the row held: 69 bits on average, with a deviation of 7.
-TIGHT, SPREAD = 40, 104
 #: Keys that a block's rows share at most before it is no longer divided.
 DEPTH = 4
-#: Rows and shingles of one chunk of a large group.
+#: Rows and grams of one chunk of a large group.
 CHUNK_ROWS, CHUNK_GRAMS = 1024, 4 << 20
 
 _U64 = np.uint64
-_F = [f"f{k}" for k in range(LANES)]
-_K = [f"k{k}" for k in range(KEYS)]
+
+
+def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """The set of shingle hashes of each text, sorted."""
+    return [np.unique(shingle_hashes(t, size)) for t in texts]
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """What texts are compared by, and the distances that go with it.
+
+    A text has two keys and 64 fingerprint bits for each lane.  With ``length_partition`` texts meet only within a
+    partition of set sizes and between neighbours.
+    """
+
+    #: Sorted sets of 64-bit hashes of texts.
+    sets: Callable[[list], list[np.ndarray]] = shingle_sets
+    lanes: int = 4
+    #: Bits that links may differ in: 39 of 256 on average at a similarity of 0.8, with a deviation of 5.7.
+    radius: int = 68
+    #: Rows of a large block this near to a row held are let go (a similarity of 0.7 at least).  What such a row
+    #: links to is at 0.5 or above to the row held: 69 bits on average, with a deviation of 7.
+    tight: int = 40
+    spread: int = 104
+    length_partition: Callable[[int], int] | None = None
+
+    @property
+    def prints(self) -> list[str]:
+        return [f"f{k}" for k in range(self.lanes)]
+
+    @property
+    def keys(self) -> list[str]:
+        return [f"k{k}" for k in range(2 * self.lanes)]
 
 
 def remix(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -75,17 +100,17 @@ def remix(hashes: np.ndarray, lane: int) -> np.ndarray:
         return x ^ (x >> _U64(31))
 
 
-def text_print(text: bytes | None, shingle: int = SHINGLE) -> tuple[list[int], list[int], int, int, int]:
-    """SimHash, keys, the two hashes that name the shingle set, and its size."""
-    grams = np.unique(shingle_hashes(text, shingle))
+def set_print(grams: np.ndarray, scheme: Scheme) -> list[int]:
+    """SimHash, keys, the two hashes that name the set, its size and its partition."""
     prints, keys = [], []
-    for lane in range(LANES):
+    for lane in range(scheme.lanes):
         hashes = grams if lane == 0 else remix(grams, lane)
         prints.append(majority(hashes))
         ends = np.array([hashes.min(), hashes.max()] if len(hashes) else [0, 0], _U64)
         keys += ends.view(np.int64).tolist()
     name = xxhash.xxh3_128_intdigest(grams.tobytes()).to_bytes(16, "little")
-    return prints, keys, *np.frombuffer(name, "<i8").tolist(), len(grams)
+    part = scheme.length_partition(len(grams)) if scheme.length_partition else 0
+    return [*prints, *keys, *np.frombuffer(name, "<i8").tolist(), len(grams), part]
 
 
 # ---------------------------------------------------------------- blocks
@@ -117,11 +142,11 @@ class _Blocks:
     With ``last`` blocks are not divided any more, whatever their size.
     """
 
-    def __init__(self, block: int, last: bool):
-        self.block, self.last = block, last
+    def __init__(self, scheme: Scheme, block: int, last: bool):
+        self.scheme, self.block, self.last = scheme, block, last
         self.group: tuple[int, int] | None = None
         self.state = "small"
-        self.fp, self.node = np.empty((0, LANES), _U64), np.empty(0, np.int64)
+        self.fp, self.node = np.empty((0, scheme.lanes), _U64), np.empty(0, np.int64)
         self.links: list[np.ndarray] = []
         self.rest: list[tuple[tuple[int, int], np.ndarray]] = []
         self.dense: list[tuple[int, int]] = []
@@ -131,10 +156,9 @@ class _Blocks:
         if len(pairs):
             self.links.append(node[pairs])
 
-    @staticmethod
-    def _thin(fp: np.ndarray) -> np.ndarray:
-        """Rows that stay when those within TIGHT bits of an earlier one go."""
-        near = within_radius(fp, TIGHT)
+    def _thin(self, fp: np.ndarray) -> np.ndarray:
+        """Rows that stay when those within ``tight`` bits of an earlier one go."""
+        near = within_radius(fp, self.scheme.tight)
         covered, kept = np.zeros(near.shape[1], _U64), []
         for i in range(len(near)):
             if not covered[i // 64] >> _U64(i % 64) & _U64(1):
@@ -143,7 +167,7 @@ class _Blocks:
         return np.array(kept, np.int64)
 
     def _overflow(self) -> None:
-        self._link(self.fp, self.node, np.array([len(self.fp)]), RADIUS)
+        self._link(self.fp, self.node, np.array([len(self.fp)]), self.scheme.radius)
         kept = self._thin(self.fp)
         if len(kept) <= self.block // 2 or self.last:
             self.state, self.fp, self.node = "dense", self.fp[kept], self.node[kept]
@@ -152,7 +176,7 @@ class _Blocks:
 
     def _meet(self, fp: np.ndarray, node: np.ndarray) -> None:
         """New rows of a dense block against the rows held."""
-        wide = near_rows(self.fp, fp, SPREAD)
+        wide = near_rows(self.fp, fp, self.scheme.spread)
         label = np.arange(len(self.fp))  # rows held that one new row has joined
         for i in np.flatnonzero(wide.any(axis=1)):
             held = np.flatnonzero(wide[i])
@@ -160,11 +184,12 @@ class _Blocks:
             self.links.append(np.column_stack([np.full(len(others), node[i]), self.node[others]]))
             if len(others) > 1:
                 label[np.isin(label, label[others])] = label[others[0]]
-        new = np.flatnonzero(~near_rows(self.fp, fp[wide.any(axis=1)], TIGHT).any(axis=1))
-        new = np.sort(np.concatenate([np.flatnonzero(wide.any(axis=1))[new], np.flatnonzero(~wide.any(axis=1))]))
+        met = np.flatnonzero(wide.any(axis=1))
+        gone = met[near_rows(self.fp, fp[met], self.scheme.tight).any(axis=1)]
+        new = np.setdiff1d(np.arange(len(fp)), gone)
         if len(new):
             fp, node = np.ascontiguousarray(fp[new]), node[new]
-            self._link(fp, node, np.array([len(fp)]), SPREAD)
+            self._link(fp, node, np.array([len(fp)]), self.scheme.spread)
             kept = self._thin(fp)
             self.fp, self.node = np.concatenate([self.fp, fp[kept]]), np.concatenate([self.node, node[kept]])
             if len(self.fp) > self.block // 2 and not self.last:
@@ -190,7 +215,7 @@ class _Blocks:
         if self.state == "dense":
             self.dense.append(self.group)
         elif len(self.fp) > 1:
-            self._link(np.ascontiguousarray(self.fp), self.node, np.array([len(self.fp)]), RADIUS)
+            self._link(np.ascontiguousarray(self.fp), self.node, np.array([len(self.fp)]), self.scheme.radius)
         self.group, self.state, self.fp, self.node = None, "small", self.fp[:0], self.node[:0]
 
     def _piece(self, group: tuple[int, int], fp: np.ndarray, node: np.ndarray) -> None:
@@ -209,7 +234,7 @@ class _Blocks:
         some = np.flatnonzero(whole & (ends - starts > 1))
         if len(some):
             index = np.concatenate([np.arange(starts[i], ends[i]) for i in some])
-            self._link(fp[index], node[index], (ends - starts)[some], RADIUS)
+            self._link(fp[index], node[index], (ends - starts)[some], self.scheme.radius)
 
     def drain(self) -> pa.RecordBatch:
         """Links (0, a, b), rows to be divided (1, node, -, path, key), dense blocks (2, -, -, path, key)."""
@@ -223,21 +248,28 @@ class _Blocks:
         return pa.record_batch([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)], ["kind", "a", "b", "path", "key"])
 
 
-def candidate_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(a, b)``: forests of the candidate links within the blocks of ``nodes (node, f0.., k0..)``.
+def candidate_links(nodes: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: forests of the candidate links within the blocks of ``nodes (node, part, f0.., k0..)``.
 
     Rows are shuffled once by (path, key), a path being the keys that a block's rows share, and a task meets
     them in order.  Rows of blocks to be divided go on with each further key.
     """
     spark = nodes.sparkSession
+    columns = ["node", "part", *scheme.prints]
 
     def keys(paths: list[tuple[int, ...]], first: int = 0) -> Column:
-        key = lambda p: F.col(_K[p[0]]) if len(p) == 1 else F.xxhash64(*[F.col(_K[k]) for k in p])
-        return F.array(*[F.struct(F.lit(first + i).cast("long").alias("path"), key(p).alias("key")) for i, p in enumerate(paths)])
+        def place(i: int, p: tuple[int, ...], *more: Column) -> Column:
+            own = [F.col(scheme.keys[k]) for k in p]
+            key = own[0] if len(p) == 1 and not more else F.xxhash64(*own, *more)
+            return F.struct(F.lit(first + i).cast("long").alias("path"), key.alias("key"))
+
+        if scheme.length_partition is None:
+            return F.array(*[place(i, p) for i, p in enumerate(paths)])
+        return F.array(*[place(i, p, F.col("part") + step) for i, p in enumerate(paths) for step in (0, 1)])
 
     def compared(rows: DataFrame, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks = _Blocks(block, last)
+            blocks = _Blocks(scheme, block, last)
             for batch in batches:
                 if batch.num_rows:
                     path, key, node, *fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -246,13 +278,14 @@ def candidate_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
             blocks.close()
             yield blocks.drain()
 
-        ordered = rows.select("p.path", "p.key", "node", *_F).repartition(shuffle_width(spark), "path", "key").sortWithinPartitions("path", "key")
+        ordered = rows.select("p.path", "p.key", "node", *scheme.prints).repartition(shuffle_width(spark), "path", "key").sortWithinPartitions("path", "key")
         return staged(ordered.mapInArrow(run, "kind long, a long, b long, path long, key long"), "blocks")
 
-    paths: list[tuple[int, ...]] = [(k,) for k in range(KEYS)]
-    rows, found = nodes.select("node", *_F, F.explode(keys(paths)).alias("p")), None
+    n_keys = len(scheme.keys)
+    paths: list[tuple[int, ...]] = [(k,) for k in range(n_keys)]
+    rows, found = nodes.select(*columns, F.explode(keys(paths)).alias("p")), None
     while True:
-        made = compared(rows, len(paths[0]) >= DEPTH)
+        made = compared(rows, len(paths[0]) >= min(DEPTH, n_keys))
         links = made.where("kind = 0").select("a", "b")
         found = links if found is None else found.unionByName(links)
         dense = made.where("kind = 2").select("path", "key")
@@ -263,11 +296,11 @@ def candidate_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         after: list[tuple[int, ...]] = []
         choice = None
         for p in used:
-            grown = [(*paths[p], k) for k in range(KEYS) if k not in paths[p]]
+            grown = [(*paths[p], k) for k in range(n_keys) if k not in paths[p]]
             chosen = keys(grown, len(after))
             choice = F.when(F.col("path") == p, chosen) if choice is None else choice.when(F.col("path") == p, chosen)
             after += grown
-        rows, paths = rest.join(nodes, "node").select("node", *_F, F.explode(choice).alias("p")), after
+        rows, paths = rest.join(nodes, "node").select(*columns, F.explode(choice).alias("p")), after
 
 
 # ---------------------------------------------------------------- the check by shingle sets
@@ -297,7 +330,7 @@ class _Sets:
         return others[both >= similarity * (self.size[i] + self.size[others] - both)]
 
 
-def checked_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, mine: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+def checked_links(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, mine: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect rows which no other link given connects: a spanning forest of all links within the radius.
 
     With ``mine`` only the rows at those places are taken as queries, against all; rows of one ``label``
@@ -307,9 +340,9 @@ def checked_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, min
     table, out = _Sets(sets), []
     queries = np.arange(len(fp)) if mine is None else mine
     if len(fp) > 16:
-        near = near_rows(fp, fp[queries], RADIUS)
+        near = near_rows(fp, fp[queries], radius)
     else:
-        near = np.bitwise_count(fp[queries][:, None] ^ fp[None]).sum(axis=2) <= RADIUS
+        near = np.bitwise_count(fp[queries][:, None] ^ fp[None]).sum(axis=2) <= radius
     for i, row in zip(queries, near, strict=True):
         if mine is None:
             row[: i + 1] = False
@@ -320,9 +353,10 @@ def checked_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, min
     return out
 
 
-def _checked(rows: DataFrame, shingle: int, similarity: float, sweep: bool = False) -> DataFrame:
+def _checked(rows: DataFrame, scheme: Scheme, similarity: float, sweep: bool = False) -> DataFrame:
     """``(a, b)`` for ``rows (cell.., node, f0.., body)``, all rows of a cell in one task; with ``sweep`` also mine, label."""
-    cell = [c for c in rows.columns if c not in {"node", *_F, "body", "mine", "label"}]
+    prints, lanes = scheme.prints, scheme.lanes
+    cell = [c for c in rows.columns if c not in {"node", *prints, "body", "mine", "label"}]
     more = ["mine", "label"] * sweep
 
     def solve(held: list[tuple]) -> np.ndarray:
@@ -331,13 +365,13 @@ def _checked(rows: DataFrame, shingle: int, similarity: float, sweep: bool = Fal
             if row[0] not in seen or (sweep and row[-2]):
                 seen[row[0]] = row
         rows = list(seen.values())
-        fp = np.array([r[1 : 1 + LANES] for r in rows], np.int64).view(_U64)
-        sets = [np.unique(shingle_hashes(r[1 + LANES], shingle)) for r in rows]
+        fp = np.array([r[1 : 1 + lanes] for r in rows], np.int64).view(_U64)
+        sets = scheme.sets([r[1 + lanes] for r in rows])
         if sweep:
             _, label = np.unique([r[-1] for r in rows], return_inverse=True)
-            pairs = checked_links(fp, sets, similarity, np.flatnonzero([r[-2] for r in rows]), label.reshape(-1))
+            pairs = checked_links(fp, sets, scheme.radius, similarity, np.flatnonzero([r[-2] for r in rows]), label.reshape(-1))
         else:
-            pairs = checked_links(fp, sets, similarity)
+            pairs = checked_links(fp, sets, scheme.radius, similarity)
         nodes = np.array([r[0] for r in rows], np.int64)
         return nodes[np.array(pairs, np.int64).reshape(-1, 2)]
 
@@ -360,7 +394,7 @@ def _checked(rows: DataFrame, shingle: int, similarity: float, sweep: bool = Fal
             yield links()
 
     spark = rows.sparkSession
-    ordered = rows.select(*cell, "node", *_F, "body", *more).repartition(shuffle_width(spark), *cell).sortWithinPartitions(*cell)
+    ordered = rows.select(*cell, "node", *prints, "body", *more).repartition(shuffle_width(spark), *cell).sortWithinPartitions(*cell)
     return staged(ordered.mapInArrow(run, "a long, b long"), "checked")
 
 
@@ -372,7 +406,7 @@ def _dealt(chunks: Column, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "node"), chunks)
 
 
-def _joined_up(rows: DataFrame, links: DataFrame, shingle: int, similarity: float, chunk_rows: int) -> DataFrame:
+def _joined_up(rows: DataFrame, links: DataFrame, scheme: Scheme, similarity: float, chunk_rows: int) -> DataFrame:
     """The links between the chunks of large groups; ``rows (group, node, n, f0.., body)`` of those groups, ``links`` within chunks."""
     size = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"))
 
@@ -393,7 +427,7 @@ def _joined_up(rows: DataFrame, links: DataFrame, shingle: int, similarity: floa
             break
         before, salt = n, salt + 1
         some = heads.join(open_groups.withColumn("chunks", _chunks(F.col("rows"), F.col("grams"), chunk_rows)).select("group", "chunks"), "group")
-        links = links.unionByName(_checked(some.withColumn("chunk", _dealt(F.col("chunks"), salt)).select("group", "chunk", "node", *_F, "body"), shingle, similarity))
+        links = links.unionByName(_checked(some.withColumn("chunk", _dealt(F.col("chunks"), salt)).select("group", "chunk", "node", *scheme.prints, "body"), scheme, similarity))
 
     # Every row outside the main component of its group against all rows of the group.
     main = size(named, "group", "label").groupBy("group").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"))
@@ -404,8 +438,8 @@ def _joined_up(rows: DataFrame, links: DataFrame, shingle: int, similarity: floa
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = cells.where("label <> main").withColumn("w", _dealt(F.col("wide"))).withColumn("d", span("deep")).withColumn("mine", F.lit(True))
     others = cells.withColumn("d", _dealt(F.col("deep"))).withColumn("w", span("wide")).withColumn("mine", F.lit(False))
-    columns = ["group", "w", "d", "node", *_F, "body", "mine", "label"]
-    return links.unionByName(_checked(asked.select(*columns).unionByName(others.select(*columns)), shingle, similarity, sweep=True))
+    columns = ["group", "w", "d", "node", *scheme.prints, "body", "mine", "label"]
+    return links.unionByName(_checked(asked.select(*columns).unionByName(others.select(*columns)), scheme, similarity, sweep=True))
 
 
 # ---------------------------------------------------------------- the operator
@@ -421,42 +455,45 @@ def near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = SHINGLE,
+    scheme: Scheme | None = None,
     similarity: float = SIMILARITY,
     block: int = BLOCK,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``(id, t1, t2, component_id)`` of every row: groups of texts linked at the similarity or above.
 
-    ``t1``, ``t2`` are hashes of the row's text.  Equal shingle sets are one node from the start.
+    ``t1``, ``t2`` are hashes of the row's text.  Equal sets are one node from the start.
     """
+    scheme = scheme or Scheme()
+    prints, keys = scheme.prints, scheme.keys
+    made_columns = [*prints, *keys, "s1", "s2", "n", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [text_print(t, shingle) for t in batch.column(3).to_pylist()]
-            columns = [[m[0][k] for m in made] for k in range(LANES)] + [[m[1][k] for m in made] for k in range(KEYS)]
-            columns += [[m[k] for m in made] for k in (2, 3, 4)]
-            yield pa.record_batch([*batch.columns[:3], *[pa.array(c, pa.int64()) for c in columns]], ["id", "t1", "t2", *_F, *_K, "s1", "s2", "n"])
+            for a, b in groups(batch.column(3)):
+                rows = [set_print(s, scheme) for s in scheme.sets(batch.column(3)[a:b].to_pylist())]
+                made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.record_batch([*[c[a:b] for c in batch.columns[:3]], *made], ["id", "t1", "t2", *made_columns])
 
     ship(docs.sparkSession)
     rank, t1, t2 = _rows(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     rows = docs.select(rank.alias("id"), t1.alias("t1"), t2.alias("t2"), body)
-    prints = staged(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "t1", "t2", *_F, *_K, "s1", "s2", "n"])), "prints")
-    one = prints.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2")).alias("rep"), *[F.min(c).alias(c) for c in (*_F, *_K, "n")])
+    told = staged(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "t1", "t2", *made_columns])), "prints")
+    one = told.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2")).alias("rep"), *[F.min(c).alias(c) for c in (*prints, *keys, "n", "part")])
     nodes = staged(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    near = staged(components(candidate_links(nodes, block)), "near").withColumnRenamed("component", "group")
-    members = near.join(nodes, "node").select("group", "node", "n", *_F, F.col("rep.id").alias("id"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"))
+    near = staged(components(candidate_links(nodes, scheme, block)), "near").withColumnRenamed("component", "group")
+    members = near.join(nodes, "node").select("group", "node", "n", *prints, F.col("rep.id").alias("id"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"))
     chunks = members.groupBy("group").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_rows).alias("chunks"))
     members = staged(members.join(chunks, "group"), "members")
-    texts = rows.join(members, ["id", "t1", "t2"]).select("group", "chunks", "node", "n", *_F, "body")
+    texts = rows.join(members, ["id", "t1", "t2"]).select("group", "chunks", "node", "n", *prints, "body")
     large = members.where("chunks > 1").limit(1).count()
     if large:  # they are read again
         texts = staged(texts, "texts")
-    links = _checked(texts.withColumn("chunk", _dealt(F.col("chunks"))).select("group", "chunk", "node", *_F, "body"), shingle, similarity)
+    links = _checked(texts.withColumn("chunk", _dealt(F.col("chunks"))).select("group", "chunk", "node", *prints, "body"), scheme, similarity)
     if large:
-        links = _joined_up(texts.where("chunks > 1").drop("chunks").dropDuplicates(["node"]), links, shingle, similarity, chunk_rows)
+        links = _joined_up(texts.where("chunks > 1").drop("chunks").dropDuplicates(["node"]), links, scheme, similarity, chunk_rows)
 
     reach = staged(components(links), "reach")
     named = staged(
@@ -465,7 +502,7 @@ def near_copies(
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = staged(named.join(least, "label").select("s1", "s2", "component_id"), "components")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)
-    return prints.join(named, ["s1", "s2"]).select(known("id"), "t1", "t2", known("component_id"))
+    return told.join(named, ["s1", "s2"]).select(known("id"), "t1", "t2", known("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
