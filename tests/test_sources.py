@@ -7,7 +7,8 @@ from tidemark.functions.canonical import canonical_json, canonical_text, link_ha
 from tidemark.functions.scalar import readable_json, sha256_hex, tagged_id
 from tidemark.operators.integrity import orphan_files
 from tidemark.sources.catalog import Store
-from tidemark.sources.staging import append, read, read_graphs, staged_files
+from tidemark.operators.integrity import build_chain, chain_failures, tip
+from tidemark.sources.staging import append, append_events, blobs, event_body, read, read_blob, read_graphs, staged_files, write_blobs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +61,28 @@ def test_canonical(spark):
     assert [r[0] for r in df.orderBy("i").select(readable_json(F.col("v"))).collect()] == [True, False, False]
     one = spark.range(1).select(sha256_hex(F.lit("a:b")), tagged_id("p-", "t:", F.lit("1"))).first()
     assert one[0] == link_hash("a", "b") and one[1].startswith("p-") and len(one[1]) == 34
+
+
+def test_blobs(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"two"),), (bytearray(b"one"),), (None,)], "content binary")
+    write_blobs(rows, root)
+    write_blobs(spark.createDataFrame([(bytearray(b"two"),), (bytearray(b""),)], "content binary"), root)
+    held = {r["content_hash"]: (bytes(r["content"]), r["size"]) for r in blobs(spark, root).collect()}
+    assert blobs(spark, root).count() == 3 and {v for v in held.values()} == {(b"one", 3), (b"two", 3), (b"", 0)}
+    assert all(read_blob(spark, root, h) == content for h, (content, _) in held.items())
+    with pytest.raises(KeyError):
+        read_blob(spark, root, "0" * 64)
+
+
+def test_appended_events_are_chained(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "event_type string, payload string, actor string, ts long"
+    append_events(spark.createDataFrame([("a", "{}", "x", 3), ("b", None, "x", 1), ("c", "{}", "y", 2)], schema).repartition(3), root, ["ts"])
+    append_events(spark.createDataFrame([], schema), root, ["ts"])
+    append_events(spark.createDataFrame([("d", "{}", "x", 9), ("e", "{}", "x", 8)], schema), root, ["ts"])
+    log = read(spark, root, "ledger").withColumn("body", event_body())
+    assert [r["event_type"] for r in log.orderBy("seq").collect()] == list("bcaed")
+    assert chain_failures(log).count() == 0 and tip(log).first()["contiguous"] and tip(log).first()["tip_seq"] == 5
+    assert build_chain(log.select("seq", "body")).where("seq = 5").first()["hash"] == tip(log).first()["tip_hash"]
+    assert chain_failures(log.withColumn("body", F.when(F.col("seq") == 2, "x").otherwise(F.col("body")))).count() == 1

@@ -182,6 +182,7 @@ def verify_checkpoints(checkpoints: DataFrame, entries: DataFrame, known: DataFr
     digest, and the log without a gap.
     """
     c = F.col
+    entries = entries.select("checkpoint_id", "artifact_id", "content_hash").distinct()  # a manifest is a set
     rows = known.select("artifact_id", c("status").alias("_status"), F.coalesce("content_hash", "artifact_id").alias("_hash"), c("size").alias("_size"), "bytes_hash", "byte_len", "passed")
     judged = entries.join(rows, "artifact_id", "left")
     exists, held = c("_status").isNotNull(), c("bytes_hash").isNotNull()

@@ -267,6 +267,16 @@ def boot_dispositions(open_spawns: DataFrame, workers: DataFrame, jobs: DataFram
     )
 
 
+def live_claims(beats: DataFrame, stale_after: int, now: int) -> DataFrame:
+    """``(worker_id, last_beat, alive)``: the claim beat that each worker's last row leaves, and whether it is fresh.
+
+    ``beats (worker_id, seq, ts, kind)``; a withdrawal or clearing leaves none.
+    """
+    last = latest_per_key(beats.select("worker_id", "seq", "ts", "kind"), ["worker_id"], ["seq"])
+    beat = F.when(F.col("kind") == "beat", F.col("ts"))
+    return last.select("worker_id", beat.alias("last_beat"), P.beat_live(beat, stale_after, now).alias("alive"))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

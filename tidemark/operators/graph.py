@@ -6,34 +6,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The states that each state may be followed by.
-GRAPHS: dict[str, dict[str, str]] = {
+GRAPHS: dict[str, dict[str, list[str]]] = {
     "task": {
-        "PROPOSED": "AUTHORIZED REJECTED", "AUTHORIZED": "PLANNED PAUSED_FOR_HUMAN", "PLANNED": "EXECUTING",
-        "EXECUTING": "VERIFYING PAUSED_FOR_HUMAN FAILED CANCELLED", "VERIFYING": "FINALIZED PAUSED_FOR_HUMAN",
-        "BLOCKED": "EXECUTING", "PAUSED_FOR_HUMAN": "EXECUTING CANCELLED",
-        "REJECTED": "", "FAILED": "", "CANCELLED": "", "FINALIZED": "",
+        "PROPOSED": ["AUTHORIZED", "REJECTED"],
+        "AUTHORIZED": ["PLANNED", "PAUSED_FOR_HUMAN"],
+        "PLANNED": ["EXECUTING"],
+        "EXECUTING": ["VERIFYING", "PAUSED_FOR_HUMAN", "FAILED", "CANCELLED"],
+        "VERIFYING": ["FINALIZED", "PAUSED_FOR_HUMAN"],
+        "BLOCKED": ["EXECUTING"],
+        "PAUSED_FOR_HUMAN": ["EXECUTING", "CANCELLED"],
+        "REJECTED": [],
+        "FAILED": [],
+        "CANCELLED": [],
+        "FINALIZED": [],
     },
     "job": {
-        "PENDING": "CLAIMED", "CLAIMED": "RUNNING PENDING FAILED", "RUNNING": "COMMITTING PENDING UNCERTAIN FAILED",
-        "COMMITTING": "COMPLETE UNCERTAIN FAILED", "UNCERTAIN": "COMPLETE PENDING QUARANTINED",
-        "FAILED": "PENDING QUARANTINED BLOCKED", "QUARANTINED": "PENDING", "BLOCKED": "PENDING", "COMPLETE": "",
+        "PENDING": ["CLAIMED"],
+        "CLAIMED": ["RUNNING", "PENDING", "FAILED"],
+        "RUNNING": ["COMMITTING", "PENDING", "UNCERTAIN", "FAILED"],
+        "COMMITTING": ["COMPLETE", "UNCERTAIN", "FAILED"],
+        "UNCERTAIN": ["COMPLETE", "PENDING", "QUARANTINED"],
+        "FAILED": ["PENDING", "QUARANTINED", "BLOCKED"],
+        "QUARANTINED": ["PENDING"],
+        "BLOCKED": ["PENDING"],
+        "COMPLETE": [],
     },
     "worker": {
-        "PROVISIONING": "IDLE DEAD", "IDLE": "ASSIGNED DRAINING", "ASSIGNED": "RUNNING SUSPECT",
-        "RUNNING": "IDLE DRAINING SUSPECT", "SUSPECT": "RUNNING DEAD", "DRAINING": "RETIRED", "DEAD": "", "RETIRED": "",
+        "PROVISIONING": ["IDLE", "DEAD"],
+        "IDLE": ["ASSIGNED", "DRAINING"],
+        "ASSIGNED": ["RUNNING", "SUSPECT"],
+        "RUNNING": ["IDLE", "DRAINING", "SUSPECT"],
+        "SUSPECT": ["RUNNING", "DEAD"],
+        "DRAINING": ["RETIRED"],
+        "DEAD": [],
+        "RETIRED": [],
     },
     "artifact": {
-        "STAGING": "VALIDATED QUARANTINED", "VALIDATED": "RELEASED QUARANTINED", "RELEASED": "QUARANTINED", "QUARANTINED": "",
+        "STAGING": ["VALIDATED", "QUARANTINED"],
+        "VALIDATED": ["RELEASED", "QUARANTINED"],
+        "RELEASED": ["QUARANTINED"],
+        "QUARANTINED": [],
+    },
+    "approval": {
+        "PENDING": ["APPROVED", "DENIED", "EXPIRED"],
+        "APPROVED": [],
+        "DENIED": [],
+        "EXPIRED": [],
+    },
+    "checkpoint": {
+        "UNVERIFIED": ["VERIFYING"],
+        "VERIFYING": ["VERIFIED", "CORRUPT"],
+        "VERIFIED": [],
+        "CORRUPT": [],
+    },
+    "breaker": {
+        "CLOSED": ["OPEN"],
+        "OPEN": ["HALF_OPEN"],
+        "HALF_OPEN": ["CLOSED", "OPEN"],
     },
-    "approval": {"PENDING": "APPROVED DENIED EXPIRED", "APPROVED": "", "DENIED": "", "EXPIRED": ""},
-    "checkpoint": {"UNVERIFIED": "VERIFYING", "VERIFYING": "VERIFIED CORRUPT", "VERIFIED": "", "CORRUPT": ""},
-    "breaker": {"CLOSED": "OPEN", "OPEN": "HALF_OPEN", "HALF_OPEN": "CLOSED OPEN"},
 }
 
 
 def edges(spark: SparkSession) -> DataFrame:
     """``(entity, src, dst)``: a few dozen rows of constants."""
-    rows = [(e, a, b) for e, graph in GRAPHS.items() for a, after in graph.items() for b in after.split()]
+    rows = [(e, a, b) for e, graph in GRAPHS.items() for a, after in graph.items() for b in after]
     return spark.createDataFrame(rows, "entity string, src string, dst string")
 
 

@@ -160,6 +160,20 @@ VIEWS = {
         GROUP BY signal_id, scope_type, scope_id, failure_kind""",
     "signals60_v": """
         SELECT scope_type, scope_id, min(ts) AS t FROM signals_all_v WHERE NOT windowed OR ts >= {NOW_E} - 60 * {DAY} - 1000000 GROUP BY signal_id, scope_type, scope_id""",
+    "behaviours_v": """
+        SELECT * FROM (VALUES ('success_immediate', 'claimed', false, 0, 0, 1), ('success_immediate', 'heartbeat', false, 1, 0, 1), ('success_immediate', 'progress', false, 1, 0, 2),
+          ('success_immediate', 'committed', false, 1, 0, 3), ('success_delayed', 'claimed', false, 0, 0, 1), ('success_delayed', 'heartbeat', true, 1, 2, 1),
+          ('success_delayed', 'progress', true, 1, 2, 2), ('success_delayed', 'committed', false, 1, 2, 1), ('controlled_failure', 'claimed', false, 0, 0, 1),
+          ('controlled_failure', 'heartbeat', true, 1, 2, 1), ('controlled_failure', 'progress', true, 1, 2, 2), ('controlled_failure', 'failed', false, 1, 2, 1),
+          ('heartbeat_loop', 'claimed', false, 0, 0, 1), ('heartbeat_loop', 'heartbeat', true, 1, 1, 1), ('heartbeat_loop', 'released', false, 1, 1, 1),
+          ('hang', 'claimed', false, 0, 0, 1), ('hang', 'heartbeat', true, 1, 1, 1), ('wedged', 'claimed', false, 0, 0, 1), ('wedged', 'heartbeat', false, 0, 0, 2),
+          ('wedged_ignore_sigterm', 'claimed', false, 0, 0, 1), ('wedged_ignore_sigterm', 'heartbeat', false, 0, 0, 2), ('wedged_ignore_sigterm', 'sigterm_ignored', false, 2, 0, 1),
+          ('wedged_spawn_child', 'claimed', false, 0, 0, 1), ('wedged_spawn_child', 'heartbeat', false, 0, 0, 2), ('wedged_spawn_child', 'child_spawned', false, 0, 0, 3),
+          ('crash', 'claimed', false, 0, 0, 1), ('crash', 'heartbeat', false, 0, 0, 2), ('crash', 'exited', false, 2, 0, 1), ('crash_after_stage', 'claimed', false, 0, 0, 1),
+          ('crash_after_stage', 'heartbeat', false, 0, 0, 2), ('crash_after_stage', 'staged', false, 2, 0, 1), ('crash_after_stage', 'exited', false, 2, 0, 2),
+          ('sigkill_self', 'claimed', false, 0, 0, 1), ('sigkill_self', 'heartbeat', false, 0, 0, 2), ('sigkill_self', 'killed', false, 2, 0, 1),
+          ('expire_then_commit', 'claimed', false, 0, 0, 1), ('expire_then_commit', 'heartbeat', false, 0, 0, 2), ('expire_then_commit', 'lease_expired', false, 2, 0, 1),
+          ('expire_then_commit', 'commit_rejected', false, 2, 0, 2)) AS v(kind, event, reps, lead, width, place)""",
     "docs_v": """
         SELECT sha256(coalesce(text, '')) AS artifact_id, doc_id AS job_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, source AS task_id, doc_id % 50 AS staged_at FROM documents""",
     "artifacts_v": """
@@ -174,7 +188,7 @@ VIEWS = {
     "passed1_v": "SELECT DISTINCT artifact_id FROM receipts_v WHERE validator_version = 1",
     "bytes_v": """
         SELECT artifact_id, sha256(t) AS bytes_hash, octet_length(encode(t)) AS byte_len FROM (
-          SELECT a.artifact_id, coalesce(d.text, '') || CASE WHEN a.job_id % 16 = 4 THEN '!' ELSE '' END AS t
+          SELECT a.artifact_id, coalesce(d.text, '') || CASE WHEN a.job_id % 16 = 5 THEN '!' ELSE '' END AS t
           FROM artifacts_v a JOIN documents d ON d.doc_id = a.job_id WHERE a.job_id % 16 <> 3)""",
     "intact_v": """
         SELECT a.artifact_id FROM artifacts_v a JOIN bytes_v b ON b.artifact_id = a.artifact_id AND b.bytes_hash = a.artifact_id JOIN passed1_v p ON p.artifact_id = a.artifact_id
@@ -187,7 +201,7 @@ VIEWS = {
           SELECT task_id, substr(k, 1, 4) AS r, sha256(string_agg(h, '' ORDER BY k, h)) AS d, count(*) AS n FROM (
             SELECT DISTINCT task_id, sha256(artifact_id) AS k, sha256(artifact_id || ':' || artifact_id) AS h FROM docs_v) GROUP BY ALL) GROUP BY task_id""",
     "entries_v": """
-        SELECT DISTINCT (job_id // 16)::VARCHAR AS task_id, artifact_id, CASE WHEN job_id % 64 = 6 THEN 'stale' ELSE artifact_id END AS content_hash
+        SELECT DISTINCT CASE WHEN job_id % 2 = 1 THEN job_id + 1000000 ELSE job_id // 16 END::VARCHAR AS task_id, artifact_id, CASE WHEN job_id % 64 = 6 THEN 'stale' ELSE artifact_id END AS content_hash
         FROM commits_v WHERE artifact_id IS NOT NULL""",
     "checks_v": """
         SELECT task_id, CASE WHEN task_id::BIGINT % 5 = 0 THEN 'x' || task_id ELSE sha256(string_agg(d, '' ORDER BY r)) END AS checkpoint_id FROM (
@@ -274,7 +288,7 @@ _STATES = "SELECT * FROM (VALUES {rows}) AS g(entity, src, dst)"
 def _edges() -> str:
     from tidemark.operators.graph import GRAPHS
 
-    rows = [f"('{e}', '{a}', '{b}')" for e, graph in GRAPHS.items() for a, after in graph.items() for b in after.split()]
+    rows = [f"('{e}', '{a}', '{b}')" for e, graph in GRAPHS.items() for a, after in graph.items() for b in after]
     return _STATES.format(rows=", ".join(rows))
 
 
@@ -468,6 +482,12 @@ _TEXTS = {
         FROM (SELECT b.*, b.job IS NOT NULL AND NOT coalesce(b.token = j.fencing_token AND b.worker_id = CASE WHEN j.job_id % 2 = 0 THEN j.job_id % 20 ELSE 0 END, false) AS fenced
           FROM (SELECT seq, CASE WHEN seq % 6 <> 0 AND job_id % 4 = 0 THEN job_id % 20 ELSE worker_id % 20 END AS worker_id, proc_id % 3 AS proc_id, CASE WHEN seq % 6 <> 0 THEN job_id END AS job,
                        CASE WHEN seq % 11 <> 0 THEN job_id % 3 + 1 END AS token, proc_id + seq % 50 AS hb_seq FROM beats_v) b LEFT JOIN jobs_v j ON j.job_id = b.job)""",
+    "claim_beats": """SELECT worker_id, CASE WHEN kind = 'beat' THEN ts END AS last_beat, kind = 'beat' AND {NOW_E} - ts <= {DAY} AS alive FROM (
+        SELECT worker_id, ts, CASE WHEN seq % 9 = 0 THEN 'withdraw' WHEN seq % 31 = 0 THEN 'clear' ELSE 'beat' END AS kind FROM beats_v QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY seq DESC) = 1)""",
+    "behaviour_events": """SELECT kind, event, sum(CASE WHEN reps THEN done ELSE 1 END)::BIGINT AS n, max(CASE WHEN reps THEN lead + (done - 1) * width + place ELSE lead + done * width + place END)::INT AS last FROM (
+          SELECT b.*, CASE kind WHEN 'controlled_failure' THEN (k % 4 + 1) // 2 + 1 ELSE k % 4 + 1 END AS done
+          FROM (SELECT o_orderkey AS k, (['success_immediate', 'success_delayed', 'controlled_failure', 'heartbeat_loop', 'hang', 'wedged', 'wedged_ignore_sigterm', 'wedged_spawn_child', 'crash',
+                  'crash_after_stage', 'sigkill_self', 'expire_then_commit'])[o_orderkey % 12 + 1] AS kind FROM orders) o JOIN behaviours_v b USING (kind)) GROUP BY kind, event""",
     "sql_query": "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey >= 5 GROUP BY c_nationkey",
 }
 

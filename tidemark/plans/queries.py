@@ -17,6 +17,7 @@ from tidemark.operators import keyed as K
 from tidemark.operators import recovery as R
 from tidemark.operators import reconcile as C
 from tidemark.operators.validators import Registry, all_required
+from tidemark.operators.workload import BEHAVIOURS, behaviour_log
 from tidemark.plans import views as V
 from tidemark.plans.views import DAY, NOW_EVENTS, NOW_ORDERS
 
@@ -408,6 +409,17 @@ def heartbeat_ingest(spark, d):
     return K.ingested(beats.withColumn("worker_id", F.when(c("job_id") % 4 == 0, c("job_id") % 20).otherwise(c("worker_id"))), jobs)
 
 
+def claim_beats(spark, d):
+    kind = F.when(c("seq") % 9 == 0, "withdraw").when(c("seq") % 31 == 0, "clear").otherwise("beat")
+    return E.live_claims(V.ledger(spark, d, "heartbeat").select("worker_id", "seq", "ts", kind.alias("kind")), DAY, NOW_EVENTS)
+
+
+def behaviour_events(spark, d):
+    k = c("o_orderkey")
+    specs = V.table(spark, d, "orders", "o_orderkey").select(k.alias("job_id"), V.pick(k, list(BEHAVIOURS)).alias("kind"), (k % 4 + 1).cast("int").alias("steps"))
+    return behaviour_log(spark, specs).groupBy("kind", "event").agg(F.count(F.lit(1)).alias("n"), F.max("n").cast("int").alias("last"))
+
+
 def orphan_dispatch(spark, d):
     claimed = E.jobs_in(V.jobs(spark, d), ["CLAIMED"])
     spawned = V.ledger(spark, d, "worker.proc_spawned").select("worker_id", "job_id")
@@ -528,10 +540,10 @@ def checkpoint_manifests(spark, d):
 
 
 def checkpoint_verify(spark, d):
-    """A checkpoint for every 16 documents; every fifth has another name than its manifest's digest."""
+    """A checkpoint for each odd document and one for every eight even ones; every fifth has another name than its manifest's digest."""
     rows = _commits(spark, d).where("artifact_id IS NOT NULL")
     claimed = F.when(c("job_id") % 64 == 6, "stale").otherwise(c("artifact_id"))
-    entries = rows.select(F.floor(c("job_id") / 16).cast("string").alias("task_id"), "artifact_id", claimed.alias("content_hash")).distinct()
+    entries = rows.select(F.when(c("job_id") % 2 == 1, c("job_id") + 1_000_000).otherwise(F.floor(c("job_id") / 16)).cast("string").alias("task_id"), "artifact_id", claimed.alias("content_hash")).distinct()
     names = A.manifests(entries).select("task_id", F.when(c("task_id").cast("long") % 5 == 0, F.concat(F.lit("x"), c("task_id"))).otherwise(c("checkpoint_id")).alias("checkpoint_id"))
     known = _known(spark, d).withColumn("size", c("size") + F.when(c("job_id") % 32 == 9, 1).otherwise(0))
     return A.verify_checkpoints(names, entries.join(names, "task_id").select("checkpoint_id", "artifact_id", "content_hash"), known, I.tip(_log(spark, d)))

@@ -156,7 +156,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes that are staged for each artifact: lost for some, changed for others."""
     c = F.col
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(c("doc_id").alias("job_id"), F.when(c("doc_id") % 16 == 4, F.concat(text, F.lit("!"))).otherwise(text).alias("content"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(c("doc_id").alias("job_id"), F.when(c("doc_id") % 16 == 5, F.concat(text, F.lit("!"))).otherwise(text).alias("content"))
     return artifact_rows(spark, sf_dir).select("artifact_id", "job_id").where(c("job_id") % 16 != 3).join(docs, "job_id").select("artifact_id", c("content").cast("binary").alias("content"))
 
 
