@@ -6,6 +6,7 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -81,6 +82,37 @@ def test_batches_don_t_matter(spark, batches):
     assert {r["doc_id"]: r["_kept"] for r in out.collect()} == want
 
 
+def test_an_index_meets_later_batches(spark, tmp_path):
+    rng = random.Random(14)
+    lines = [f"line number {i} of the text" for i in range(25)]
+    rows = [(i, "\n".join(rng.choices(lines, k=6))) for i in range(60)]
+    schema, root = "doc_id long, text string", str(tmp_path / "index")
+    want = {r["doc_id"]: r["_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()}
+    got = {}
+    for part in (rows[:20], rows[20:30], [], rows[30:]):
+        runs = line_dedup.LineRuns.open(spark, root, buckets=3)
+        got |= {r["doc_id"]: r["_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(part, schema), batches=2, index=runs).collect()}
+        runs.forget_names()
+    assert got == want and line_dedup.LineRuns.open(spark, root).index().count() == len({x for _, t in rows for x in t.split("\n")})
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, buckets=2, fanout=9)
+    for batch in range(2):
+        runs.ingest(spark.range(batch * 10, batch * 10 + 20).select(F.col("id").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(batch).cast("long").alias("first")))
+    with line_dedup.setting(spark, line_dedup.SORTED_SCANS, "true"):
+        a, b = (spark.table(name) for name, _ in runs.levels[0])
+        plan = a.hint("merge").join(b.withColumnRenamed("first", "_first"), ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.fanout = 2
+    runs._compact(0)
+    assert [len(level) for level in runs.levels] == [0, 1]
+    path = runs.levels[1][0][1].removeprefix("file:")
+    assert len(list(Path(path).glob("part-*"))) == 2  # one file a bucket
+    assert {r["h1"]: r["first"] for r in runs.index().collect()} == {i: i // 20 for i in range(30)}
+    runs.forget_names()
+
+
 # ---------------------------------------------------------------- quality
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no folder, as in tests on one machine; removed at exit.
+#: Used only where no folder is named and the master is local, as in tests; removed at exit.
 FALLBACK_DIR = f"/tmp/checkpoints/tidemark-{os.getpid()}"
 
 #: Scratch paths that this process made.
@@ -30,9 +32,11 @@ LAST_ID = 9223372036854775807
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; sets one of its own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, one of its own if all runs in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = FALLBACK_DIR
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -64,6 +68,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the plans made meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch path of this process; results that were not written yet are lost."""
     while _PATHS:

@@ -4,8 +4,9 @@ An index of line keys is kept as *runs*: bucketed tables of ``(h1, h2, first)``,
 within each bucket, where ``first`` is the smallest document id that holds the key.  Batches of
 documents arrive in the order of their ids.  The keys of a batch are anti-joined with every run
 by a merge join (equal bucketing on both sides, so no run is shuffled again); what is left is
-new and becomes a run of level 0.  When a level holds ``fanout`` runs they are merged into one
-run of the next level, so a key is rewritten a logarithmic number of times.
+new and becomes a run of level 0.  When a level holds ``fanout`` runs they are merged, bucket by
+bucket and without a shuffle, into one run of the next level, so a key is rewritten a logarithmic
+number of times.  An index kept at a ``root`` meets the batches of later calls.
 
 A line is dropped if the run index says that a smaller id holds its key.
 
@@ -25,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, SPACE_CHARS, ascii_lower, carried, delete_path, let, scratch_path, shuffle_width, staged
+from tidemark.llm.common import LAST_ID, SPACE_CHARS, ascii_lower, carried, delete_path, let, path_exists, scratch_path, setting, shuffle_width, staged
 
 #: Keys with fewer code points are never dropped.
 MIN_KEY = 10
@@ -40,16 +41,48 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+#: Lets a scan of a run with one file a bucket say that it is sorted, so that joins don't sort it again.
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """The levelled index: ``levels[i]`` lists the tables of level ``i``, oldest first."""
+    """The levelled index: ``levels[i]`` lists the tables of level ``i``, oldest first.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    With ``root`` the runs are kept there, and ``LineRuns.open`` finds them again in another session.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT, root: str | None = None):
+        self.spark, self.fanout, self.root = spark, fanout, root
         self.buckets = buckets or shuffle_width(spark)
         self.levels: list[list[tuple[str, str]]] = [[]]
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, buckets: int | None = None, fanout: int = FANOUT) -> LineRuns:
+        """The index that was kept at ``root``, or an empty one if there is none."""
+        runs = cls(spark, buckets, fanout, root)
+        if not path_exists(spark, f"{root}/levels"):
+            return runs
+        rows = spark.read.parquet(f"{root}/levels").orderBy("level", "place").collect()  # a few names a level
+        for r in rows:
+            runs.buckets = r["buckets"]
+            while len(runs.levels) <= r["level"]:
+                runs.levels.append([])
+            if r["name"]:
+                spark.sql(
+                    f"CREATE TABLE IF NOT EXISTS {r['name']} (h1 BIGINT, h2 BIGINT, first BIGINT) USING parquet "
+                    f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {r['buckets']} BUCKETS LOCATION '{r['path']}'"
+                )
+                runs.levels[r["level"]].append((r["name"], r["path"]))
+        return runs
+
+    def keep(self) -> None:
+        """Write down which runs there are; needs a ``root``."""
+        rows = [(i, k, name, path, self.buckets) for i, level in enumerate(self.levels) for k, (name, path) in enumerate(level or [("", "")])]
+        self.spark.createDataFrame(rows, "level int, place int, name string, path string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/levels")
+
     def _write(self, keys: DataFrame) -> tuple[str, str]:
-        name, path = f"line_run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}" if self.root else scratch_path(self.spark, "run")
         (
             keys.write.bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
@@ -61,19 +94,22 @@ class LineRuns:
 
     def ingest(self, keys: DataFrame) -> None:
         """Add a batch of ``(h1, h2, first)`` with distinct hashes; known keys fall out."""
-        for level in self.levels:
-            for name, _ in level:
-                keys = keys.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._write(keys.repartition(self.buckets, "h1", "h2")))
-        self._compact(0)
+        with setting(self.spark, SORTED_SCANS, "true"):
+            for level in self.levels:
+                for name, _ in level:
+                    keys = keys.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+            self.levels[0].append(self._write(keys.repartition(self.buckets, "h1", "h2")))
+            self._compact(0)
 
     def _compact(self, i: int) -> None:
+        """Merge the runs of a full level, bucket by bucket: their keys differ, so a full merge join interleaves them."""
         while i < len(self.levels) and len(self.levels[i]) >= self.fanout:
             old, self.levels[i] = self.levels[i], []
             merged = self.spark.table(old[0][0])
             for name, _ in old[1:]:
-                merged = merged.unionByName(self.spark.table(name))
-            run = self._write(merged.repartition(self.buckets, "h1", "h2"))
+                other = self.spark.table(name).withColumnRenamed("first", "_first")
+                merged = merged.hint("merge").join(other, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("first", "_first").alias("first"))
+            run = self._write(merged)
             for name, path in old:
                 self.spark.sql(f"DROP TABLE {name}")
                 delete_path(self.spark, path)
@@ -119,8 +155,13 @@ def dedup_lines(
     min_key: int = MIN_KEY,
     batches: int = BATCHES,
     fanout: int = FANOUT,
+    index: LineRuns | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` plus ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text left)."""
+    """All columns of ``docs`` plus ``_n_lines``, ``_n_dropped`` and ``_kept`` (the text left).
+
+    Without ``index`` the documents are all there are.  With one they are a further batch: lines that it knows from
+    documents of smaller ids go too, their own are added to it, and it is kept.
+    """
     spark = docs.sparkSession
     rows = docs.select(
         F.struct("*").alias("_row"),
@@ -133,11 +174,14 @@ def dedup_lines(
     ledger = staged(
         _line_ledger(rows, min_key).withColumn("batch", _batch_of(F.col("_rank"), edges)), "lines", ["batch"]
     )
-    runs = LineRuns(spark, fanout=fanout)
+    runs = index or LineRuns(spark, fanout=fanout)
     for i in range(len(edges) + 1):
         batch = ledger.where(F.col("batch") == i).groupBy("h1", "h2").agg(F.min("_rank").alias("first"))
         runs.ingest(batch)
-    runs.forget_names()
+    if runs.root:
+        runs.keep()
+    if index is None:
+        runs.forget_names()
 
     known = runs.index()
     drops = (
