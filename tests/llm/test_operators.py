@@ -516,6 +516,13 @@ def test_rates_are_met(spark):
     assert keys == sorted(keys)
 
 
+def test_many_sources(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 400).cast("string"))).alias("source"))
+    few = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == few
+
+
 def test_placing_balances():
     rng = np.random.default_rng(3)
     sizes = rng.pareto(1.5, 4000) + 1

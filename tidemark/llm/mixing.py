@@ -30,6 +30,9 @@ SEED = 17
 MOST_RATE = 16.0
 #: Terms of the distribution that an inversion looks at: above MOST_RATE + 12 deviations.
 TERMS = 96
+#: Sources up to this number are broadcast, at about 900 bytes each; more are met by a merge join, whose hot
+#: partitions adaptive execution splits.
+BROADCAST_SOURCES = 10_000
 #: Hexadecimal digits of the hash that make the uniform number: 52 bits.
 HEX_DIGITS = 13
 
@@ -85,6 +88,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` replicated to the weights, in globally shuffled order, plus ``copy``, ``rate``, ``shuffle_key``."""
     table = staged(rates(docs, source_col, weights, total), "rates")
+    table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table.hint("merge")
     name = F.coalesce(F.col("_row")[id_col].cast("string"), F.lit("null"))
 
     def times(c: Column) -> Column:
