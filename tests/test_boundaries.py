@@ -180,10 +180,11 @@ def test_migrate(spark):
 
 def test_blockers_first_detail_wins(spark):
     one = spark.createDataFrame([("1",)], "x string")
-    got = A.blockers([A.rule(one, "HUMAN_GATE", F.col("x"), "first"), A.rule(one, "HUMAN_GATE", F.col("x"), "second")]).collect()
+    yes = F.lit(True)
+    got = A.blockers([A.ruled(one, [(yes, "HUMAN_GATE", F.col("x"), "second")], 1), A.ruled(one, [(yes, "HUMAN_GATE", F.col("x"), "first")])]).collect()
     assert [tuple(r) for r in got] == [("HUMAN_GATE", "1", "first")]
     with pytest.raises(ValueError):
-        A.rule(one, "NO_SUCH", F.col("x"), "")
+        A.ruled(one, [(yes, "NO_SUCH", F.col("x"), "")])
 
 
 def test_receipts_rules(spark):

@@ -231,19 +231,26 @@ CATEGORIES = (
 )
 
 
-def rule(df: DataFrame, category: str, identity: Column, detail: Column | str) -> DataFrame:
-    if category not in CATEGORIES:
-        raise ValueError(f"unknown blocker category {category!r}")
-    text = detail if isinstance(detail, Column) else F.lit(detail)
-    return df.select(F.lit(category).alias("category"), identity.cast("string").alias("identity"), text.alias("detail"))
-
-
-def blockers(rules: list[DataFrame]) -> DataFrame:
-    """The union of rules, one row for each (category, identity): the first rule's detail wins."""
-    out = None
-    for i, r in enumerate(rules):
-        part = r.withColumn("ord", F.lit(i))
-        out = part if out is None else out.unionByName(part)
+Rule = tuple[Column, str, Column, "Column | str"]  # condition, category, identity, detail
+
+
+def ruled(df: DataFrame, rules: list[Rule], first: int = 0) -> DataFrame:
+    """``(category, identity, detail, ord)``: what the rules say of each row, in one pass; ``first`` numbers the first rule."""
+    said = []
+    for i, (holds, category, identity, detail) in enumerate(rules):
+        if category not in CATEGORIES:
+            raise ValueError(f"unknown blocker category {category!r}")
+        text = detail if isinstance(detail, Column) else F.lit(detail)
+        found = F.struct(F.lit(category).alias("category"), identity.cast("string").alias("identity"), text.alias("detail"), F.lit(first + i).alias("ord"))
+        said.append(F.when(F.coalesce(holds, F.lit(False)), found))
+    return df.select(F.explode(F.array_compact(F.array(*said))).alias("b")).select("b.*")
+
+
+def blockers(found: list[DataFrame]) -> DataFrame:
+    """The union of what rules said, one row for each (category, identity): the first rule's detail wins."""
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
     return out.groupBy("category", "identity").agg(F.min_by("detail", F.struct("ord", "detail")).alias("detail"))
 
 
@@ -272,9 +279,10 @@ class Evidence:
 
 def relevant_scopes(e: Evidence, work: DataFrame) -> DataFrame:
     """Scopes whose breakers matter: the global one, the release's task, and the items, their jobs and tasks."""
-    scope = lambda df, kind, ident: df.where(F.col(ident).isNotNull()).select(F.lit(kind).alias("scope_type"), F.col(ident).cast("string").alias("scope_id"))
+    scope = lambda kind, ident: F.when(F.col(ident).isNotNull(), F.struct(F.lit(kind).alias("scope_type"), F.col(ident).cast("string").alias("scope_id")))
     fixed = e.head.sparkSession.createDataFrame([("GLOBAL", "global"), ("TASK", str(e.task_id))], "scope_type string, scope_id string")
-    return fixed.unionByName(scope(work, "DESIRED", "desired_work_id")).unionByName(scope(work, "JOB", "job_id")).unionByName(scope(work, "TASK", "task_id")).distinct()
+    own = F.array_compact(F.array(scope("DESIRED", "desired_work_id"), scope("JOB", "job_id"), scope("TASK", "task_id")))
+    return fixed.unionByName(work.select(F.explode(own).alias("s")).select("s.*")).distinct()
 
 
 def release_blockers(e: Evidence) -> DataFrame:
@@ -289,7 +297,6 @@ def release_blockers(e: Evidence) -> DataFrame:
     mapped = e.items.select("desired_work_id").join(e.mapping.select("desired_work_id", "job_id"), "desired_work_id", "left")
     work = mapped.join(job, "job_id", "left").join(task, "task_id", "left").join(art, "result_artifact_id", "left")
     has = lambda name: F.coalesce(c(name), F.lit(False))
-    found = work.where(has("has_job"))
     done = c("job_status") == "COMPLETE"
     says = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     expected = F.coalesce("job_hash", "result_artifact_id")
@@ -300,38 +307,48 @@ def release_blockers(e: Evidence) -> DataFrame:
         F.when(c("bytes_hash").isNull(), "bytes missing").when(c("bytes_hash") != expected, "bytes differ"),
         *lacking_receipts(c("passed"), expected, e.required),
     )
-    judged = found.where(done & has("has_art")).withColumn("flaws", flaws)
+    known = has("has_job")
     cls = P.breaker_class(c("state"), c("version"), c("half_open_probes_used"))
     near = relevant(e.breakers, relevant_scopes(e, work)).withColumn("class", cls).withColumn("scope", F.concat_ws(":", "scope_type", "scope_id"))
     receipt = F.from_json("receipt", "release boolean, checkpoint_id string")
     attested = has("r.release") & F.coalesce(c("r.checkpoint_id") == c("checkpoint_id"), F.lit(False))
-    checks = e.checkpoints.withColumn("r", receipt)
-    count = e.items.agg(F.count(F.lit(1)).alias("n"))
+    empty = e.items.agg(F.count(F.lit(1)).alias("n"))
+    text = lambda name: F.coalesce(c(name).cast("string"), F.lit("-"))
     return blockers([
-        rule(e.head.where(~c("version").eqNullSafe(F.lit(e.version))), "STALE_GENERATION", F.lit(e.generation), says("declared state is at version ", c("version"))),
-        rule(count.where("n = 0"), "DESIRED_WORK_UNSATISFIED", F.lit(e.generation), "nothing to release"),
-        rule(work.where(c("job_id").isNull()), "DESIRED_WORK_UNSATISFIED", c("desired_work_id"), "unmapped"),
-        rule(work.where(c("job_id").isNotNull() & ~has("has_job")), "CONTRADICTORY_STATE", c("desired_work_id"), "mapped job is missing"),
-        rule(found.where(~done), "DESIRED_WORK_UNSATISFIED", c("job_id"), says("job is ", c("job_status"))),
-        rule(found.where(c("job_status") == "BLOCKED"), "HUMAN_GATE", c("job_id"), "job waits for a human"),
-        rule(found.where(~has("has_task")), "CONTRADICTORY_STATE", c("job_id"), "task is missing"),
-        rule(found.where(c("task_status").isin(*WAITING_TASKS)), "HUMAN_GATE", c("task_id"), says("task is ", c("task_status"))),
-        rule(found.where(done & ~has("has_art")), "MISSING_ARTIFACT", c("job_id"), "complete without an artifact"),
-        rule(judged.where(F.size("flaws") > 0), "INVALID_ARTIFACT", c("result_artifact_id"), F.array_join("flaws", "; ")),
-        rule(e.jobs.where(c("status").isin(*P.ACTIVE, "VERIFYING")), "ACTIVE_EXECUTION", c("job_id"), says("job is ", c("status"))),
-        rule(e.spawns, "ACTIVE_EXECUTION", says("spawn:", F.coalesce(c("worker_id").cast("string"), F.lit("-")), ":", F.coalesce(c("proc_id").cast("string"), F.lit("-"))), "process was never reaped"),
-        rule(e.jobs.where(c("status") == "UNCERTAIN"), "UNCERTAIN_EXECUTION", c("job_id"), "job is UNCERTAIN"),
-        rule(e.incidents, "ACTIVE_RECOVERY", c("incident_id"), says("open incident: ", F.coalesce("failure_class", F.lit("-")))),
-        rule(e.attempts.where(c("attempt_state").isin("RUNNING", "VERIFYING", "UNCERTAIN")), "ACTIVE_RECOVERY", c("attempt_id"), says("attempt is ", c("attempt_state"))),
-        rule(e.attempts.where(c("attempt_state") == "UNCERTAIN"), "UNCERTAIN_EXECUTION", c("attempt_id"), "attempt is UNCERTAIN"),
-        rule(e.escalated.where(c("terminal_state").isNull()), "ACTIVE_RECOVERY", c("incident_id"), "escalated, and its policy has not ended"),
-        rule(e.unconsumed, "ACTIVE_RECOVERY", c("incident_id"), "has an outcome, and its policy has not ended"),
-        rule(near.where(c("class").isin("open", "half_open")), "OPEN_BREAKER", c("scope"), c("class")),
-        rule(near.where(c("class") == "corrupt"), "CORRUPT_AUTHORITY", says("breaker:", c("scope")), "breaker cannot be read"),
-        rule(checks.where(~c("task_id").eqNullSafe(F.lit(e.task_id))), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint belongs to another task"),
-        rule(checks.where(F.sha2(F.coalesce("canonical_manifest", F.lit("")), 256) != c("checkpoint_id")), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint is not named by its manifest"),
-        rule(checks.where(c("verification_status") == "CORRUPT"), "INVALID_CHECKPOINT", c("checkpoint_id"), "checkpoint is corrupt"),
-        rule(checks.where((c("verification_status") == "VERIFIED") & ~attested), "INVALID_CHECKPOINT", c("checkpoint_id"), "verified without attestation"),
+        ruled(e.head, [(~c("version").eqNullSafe(F.lit(e.version)), "STALE_GENERATION", F.lit(e.generation), says("declared state is at version ", c("version")))]),
+        ruled(empty, [(c("n") == 0, "DESIRED_WORK_UNSATISFIED", F.lit(e.generation), "nothing to release")], 1),
+        ruled(work.withColumn("flaws", F.when(known & done & has("has_art"), flaws)), [
+            (c("job_id").isNull(), "DESIRED_WORK_UNSATISFIED", c("desired_work_id"), "unmapped"),
+            (c("job_id").isNotNull() & ~known, "CONTRADICTORY_STATE", c("desired_work_id"), "mapped job is missing"),
+            (known & ~done, "DESIRED_WORK_UNSATISFIED", c("job_id"), says("job is ", c("job_status"))),
+            (known & (c("job_status") == "BLOCKED"), "HUMAN_GATE", c("job_id"), "job waits for a human"),
+            (known & ~has("has_task"), "CONTRADICTORY_STATE", c("job_id"), "task is missing"),
+            (known & c("task_status").isin(*WAITING_TASKS), "HUMAN_GATE", c("task_id"), says("task is ", c("task_status"))),
+            (known & done & ~has("has_art"), "MISSING_ARTIFACT", c("job_id"), "complete without an artifact"),
+            (F.size("flaws") > 0, "INVALID_ARTIFACT", c("result_artifact_id"), F.array_join("flaws", "; ")),
+        ], 2),
+        ruled(e.jobs, [
+            (c("status").isin(*P.ACTIVE, "VERIFYING"), "ACTIVE_EXECUTION", c("job_id"), says("job is ", c("status"))),
+            (c("status") == "UNCERTAIN", "UNCERTAIN_EXECUTION", c("job_id"), "job is UNCERTAIN"),
+        ], 10),
+        ruled(e.spawns, [(F.lit(True), "ACTIVE_EXECUTION", says("spawn:", text("worker_id"), ":", text("proc_id")), "process was never reaped")], 12),
+        ruled(e.incidents, [(F.lit(True), "ACTIVE_RECOVERY", c("incident_id"), says("open incident: ", text("failure_class")))], 13),
+        ruled(e.attempts, [
+            (c("attempt_state").isin("RUNNING", "VERIFYING", "UNCERTAIN"), "ACTIVE_RECOVERY", c("attempt_id"), says("attempt is ", c("attempt_state"))),
+            (c("attempt_state") == "UNCERTAIN", "UNCERTAIN_EXECUTION", c("attempt_id"), "attempt is UNCERTAIN"),
+        ], 14),
+        ruled(e.escalated, [(c("terminal_state").isNull(), "ACTIVE_RECOVERY", c("incident_id"), "escalated, and its policy has not ended")], 16),
+        ruled(e.unconsumed, [(F.lit(True), "ACTIVE_RECOVERY", c("incident_id"), "has an outcome, and its policy has not ended")], 17),
+        ruled(near, [
+            (c("class").isin("open", "half_open"), "OPEN_BREAKER", c("scope"), c("class")),
+            (c("class") == "corrupt", "CORRUPT_AUTHORITY", says("breaker:", c("scope")), "breaker cannot be read"),
+        ], 18),
+        ruled(e.checkpoints.withColumn("r", receipt), [
+            (~c("task_id").eqNullSafe(F.lit(e.task_id)), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint belongs to another task"),
+            (F.sha2(F.coalesce("canonical_manifest", F.lit("")), 256) != c("checkpoint_id"), "CONTRADICTORY_STATE", c("checkpoint_id"), "checkpoint is not named by its manifest"),
+            (c("verification_status") == "CORRUPT", "INVALID_CHECKPOINT", c("checkpoint_id"), "checkpoint is corrupt"),
+            ((c("verification_status") == "VERIFIED") & ~attested, "INVALID_CHECKPOINT", c("checkpoint_id"), "verified without attestation"),
+        ], 20),
     ])
 
 
