@@ -276,10 +276,11 @@ def test_keys_and_radius_meet_their_recall():
         assert missed <= 1 and far <= 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [0, 1000])
+def test_components(spark, local_edges):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (None, 5)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
-    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long"), local_edges).collect()}
     above = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
 
     def root(i):

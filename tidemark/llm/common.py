@@ -61,6 +61,25 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The place in the list of scratch paths, for ``settled``."""
+    return len(_PATHS)
+
+
+def settled(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``staged``, and then remove what only led to it: scratch paths made since the mark, and their shuffle files.
+
+    Spark removes shuffle files once the driver's garbage collector finds their plans gone, so it is called.
+    """
+    out = staged(df, label)
+    spark = df.sparkSession
+    for path in _PATHS[since:-1]:
+        delete_path(spark, path)
+    del _PATHS[since:-1]
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
@@ -155,6 +174,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="tidemark-")  # read by this driver alone, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = f"{folder}/tidemark.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):

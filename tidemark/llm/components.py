@@ -1,21 +1,28 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (combined before the shuffle) and a join back to the edges; both
+Up to ``LOCAL_EDGES`` edges, which are counted, one task holds them all and finds the same components in memory.
+Beyond that every step is a grouped minimum (combined before the shuffle) and a join back to the edges; both
 sides of that join are plain tables in the shared folder, so hot nodes can be split.  Nothing
 but a change flag reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint_root, delete_path, scratch_path, shuffle_width
+from tidemark.llm.common import checkpoint_root, delete_path, scratch_path, shuffle_width, ship
 
 #: Steps before giving up; large-star/small-star needs a logarithmic number of them.
 MAX_ROUNDS = 60
 #: Edges that one file of a step table is meant to hold: few edges make few files and tasks.
 FILE_EDGES = 20_000
+#: Edges that one task may hold: 16 bytes each, and about ten times that at work.
+LOCAL_EDGES = 250_000
 
 
 class _Tables:
@@ -54,7 +61,37 @@ def _star(edges: DataFrame, large: bool, tables: _Tables) -> DataFrame:
     return tables.put(out.where(F.col("a") != F.col("b")).distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    above = np.arange(len(nodes))
+    while True:
+        low = np.minimum(above[x], above[y])
+        before = above.copy()
+        for end in (x, y):  # hook the roots, and then the ends themselves, to the smallest seen
+            np.minimum.at(above, above[end], low)
+            np.minimum.at(above, end, low)
+        while (above != above[above]).any():
+            above = above[above]
+        if (above == before).all():
+            return nodes, nodes[above]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of a counted, small number of edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            found = smallest_reached(*map(np.concatenate, zip(*parts, strict=True)))
+            yield pa.record_batch([pa.array(c) for c in found], ["node", "component"])
+
+    ship(edges.sparkSession)
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a long, b long)``.
 
     The component is its smallest node.  Null ends and loops are ignored; direction and
@@ -66,7 +103,10 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    tables.files = min(tables.files, 1 + current.count() // FILE_EDGES)
+    n = current.count()
+    if n <= local_edges:
+        return _in_one_task(current)
+    tables.files = min(tables.files, 1 + n // FILE_EDGES)
     for _ in range(MAX_ROUNDS):
         # A forest of stars: no smaller end of an edge is the larger end of another, and each
         # larger end has one edge.

@@ -12,7 +12,8 @@ in proportion to the input, for unrelated texts share none:
    are linked to it and let go, and from then on rows are compared with the rows held by the
    radius ``spread``, which covers every row that a row let go can link to.  A block that does not become
    small this way holds texts that share a passage and little else; nothing of it is let go, it
-   is divided by the other keys.
+   is divided by the other keys.  Of pairs at 0.8 a division loses those that share no further key: 0.2 ** 7, and
+   then 0.2 ** 6 and 0.2 ** 5.
 3. *Groups.*  Components of the candidate links hold every link whole.  Their texts come together once, and all
    pairs within the radius that are not yet connected are checked by their shingle sets.
 4. *Large groups* are dealt over chunks of bounded size and checked within them; then the representatives of
@@ -43,14 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST_ID, ship, shuffle_width, staged
+from tidemark.llm.common import LAST_ID, mark, settled, ship, shuffle_width, staged
 from tidemark.llm.components import components
 from tidemark.llm.simhash import BLOCK, _compare, forests, majority, shingle_hashes, within_radius
 from tidemark.llm.textbytes import groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Keys that a block's rows share at most before it is no longer divided.
+#: Keys that a block's rows share at most, and half of all at most, before it is no longer divided.
 DEPTH = 4
 #: Rows and grams of one chunk of a large group.
 CHUNK_ROWS, CHUNK_GRAMS = 1024, 4 << 20
@@ -139,7 +140,7 @@ class _Blocks:
 
     All rows of a block that is larger than ``block`` are given out again, so that it can be divided; if
     it turned out to be dense (thinning keeps it small) a note says that this is not needed.
-    With ``last`` blocks are not divided any more, whatever their size.
+    With ``last`` blocks are not divided any more: one that is not dense is held whole.
     """
 
     def __init__(self, scheme: Scheme, block: int, last: bool):
@@ -169,37 +170,42 @@ class _Blocks:
     def _overflow(self) -> None:
         self._link(self.fp, self.node, np.array([len(self.fp)]), self.scheme.radius)
         kept = self._thin(self.fp)
-        if len(kept) <= self.block // 2 or self.last:
+        if len(kept) <= self.block // 2:
             self.state, self.fp, self.node = "dense", self.fp[kept], self.node[kept]
+        elif self.last:
+            self.state = "held"
         else:
             self.state, self.fp, self.node = "sparse", self.fp[:0], self.node[:0]
 
     def _meet(self, fp: np.ndarray, node: np.ndarray) -> None:
-        """New rows of a dense block against the rows held."""
-        wide = near_rows(self.fp, fp, self.scheme.spread)
+        """New rows of a large block against the rows held, which in a dense block stand for those let go."""
+        dense = self.state == "dense"
+        radius = self.scheme.spread if dense else self.scheme.radius
+        near = near_rows(self.fp, fp, radius)
+        met = np.flatnonzero(near.any(axis=1))
         label = np.arange(len(self.fp))  # rows held that one new row has joined
-        for i in np.flatnonzero(wide.any(axis=1)):
-            held = np.flatnonzero(wide[i])
+        for i in met:
+            held = np.flatnonzero(near[i])
             others = held[np.unique(label[held], return_index=True)[1]]
             self.links.append(np.column_stack([np.full(len(others), node[i]), self.node[others]]))
             if len(others) > 1:
                 label[np.isin(label, label[others])] = label[others[0]]
-        met = np.flatnonzero(wide.any(axis=1))
-        gone = met[near_rows(self.fp, fp[met], self.scheme.tight).any(axis=1)]
-        new = np.setdiff1d(np.arange(len(fp)), gone)
-        if len(new):
+        if dense:
+            gone = met[near_rows(self.fp, fp[met], self.scheme.tight).any(axis=1)]
+            new = np.setdiff1d(np.arange(len(fp)), gone)
             fp, node = np.ascontiguousarray(fp[new]), node[new]
-            self._link(fp, node, np.array([len(fp)]), self.scheme.spread)
-            kept = self._thin(fp)
+        if len(fp):
+            self._link(fp, node, np.array([len(fp)]), radius)
+            kept = self._thin(fp) if dense else slice(None)
             self.fp, self.node = np.concatenate([self.fp, fp[kept]]), np.concatenate([self.node, node[kept]])
-            if len(self.fp) > self.block // 2 and not self.last:
-                self.state, self.fp, self.node = "sparse", self.fp[:0], self.node[:0]
+        if dense and len(self.fp) > self.block // 2 and not self.last:
+            self.state, self.fp, self.node = "sparse", self.fp[:0], self.node[:0]
 
     def _add(self, fp: np.ndarray, node: np.ndarray) -> None:
         if self.state != "small":
             self.rest.append((self.group, node))
         while len(fp) and self.state != "sparse":
-            if self.state == "dense":
+            if self.state != "small":
                 self._meet(fp[: self.block], node[: self.block])
                 fp, node = fp[self.block :], node[self.block :]
                 continue
@@ -212,7 +218,7 @@ class _Blocks:
             fp, node = fp[room:], node[room:]
 
     def close(self) -> None:
-        if self.state == "dense":
+        if self.state in ("dense", "held"):
             self.dense.append(self.group)
         elif len(self.fp) > 1:
             self._link(np.ascontiguousarray(self.fp), self.node, np.array([len(self.fp)]), self.scheme.radius)
@@ -285,7 +291,7 @@ def candidate_links(nodes: DataFrame, scheme: Scheme, block: int = BLOCK) -> Dat
     paths: list[tuple[int, ...]] = [(k,) for k in range(n_keys)]
     rows, found = nodes.select(*columns, F.explode(keys(paths)).alias("p")), None
     while True:
-        made = compared(rows, len(paths[0]) >= min(DEPTH, n_keys))
+        made = compared(rows, len(paths[0]) >= min(DEPTH, n_keys // 2))
         links = made.where("kind = 0").select("a", "b")
         found = links if found is None else found.unionByName(links)
         dense = made.where("kind = 2").select("path", "key")
@@ -476,6 +482,7 @@ def near_copies(
                 yield pa.record_batch([*[c[a:b] for c in batch.columns[:3]], *made], ["id", "t1", "t2", *made_columns])
 
     ship(docs.sparkSession)
+    since = mark()
     rank, t1, t2 = _rows(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     rows = docs.select(rank.alias("id"), t1.alias("t1"), t2.alias("t2"), body)
@@ -502,7 +509,7 @@ def near_copies(
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = staged(named.join(least, "label").select("s1", "s2", "component_id"), "components")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)
-    return told.join(named, ["s1", "s2"]).select(known("id"), "t1", "t2", known("component_id"))
+    return settled(told.join(named, ["s1", "s2"]).select(known("id"), "t1", "t2", known("component_id")), "copies", since)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
