@@ -72,8 +72,10 @@ class Scheme:
     partition of set sizes and between neighbours.
     """
 
-    #: Sorted sets of 64-bit hashes of texts.
+    #: Sorted sets of 64-bit hashes of texts, or of what ``packed`` makes of them.
     sets: Callable[[list], list[np.ndarray]] = shingle_sets
+    #: Texts as bytes that are smaller than the text and tell the set; they are kept, and texts need no second look.
+    packed: Callable[[list], list[bytes]] | None = None
     lanes: int = 4
     #: Bits that links may differ in: 39 of 256 on average at a similarity of 0.8, with a deviation of 5.7.
     radius: int = 68
@@ -477,16 +479,22 @@ def near_copies(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in groups(batch.column(3)):
-                rows = [set_print(s, scheme) for s in scheme.sets(batch.column(3)[a:b].to_pylist())]
+                bodies = batch.column(3)[a:b].to_pylist()
+                kept = []
+                if scheme.packed:
+                    bodies = scheme.packed(bodies)
+                    kept = [pa.array(bodies, pa.binary())]
+                rows = [set_print(s, scheme) for s in scheme.sets(bodies)]
                 made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.record_batch([*[c[a:b] for c in batch.columns[:3]], *made], ["id", "t1", "t2", *made_columns])
+                yield pa.record_batch([*[c[a:b] for c in batch.columns[:3]], *made, *kept], ["id", "t1", "t2", *made_columns, *["body"] * len(kept)])
 
     ship(docs.sparkSession)
     since = mark()
     rank, t1, t2 = _rows(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     rows = docs.select(rank.alias("id"), t1.alias("t1"), t2.alias("t2"), body)
-    told = staged(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "t1", "t2", *made_columns])), "prints")
+    schema = ", ".join(f"{c} long" for c in ["id", "t1", "t2", *made_columns]) + (", body binary" if scheme.packed else "")
+    told = staged(rows.mapInArrow(run, schema), "prints")
     one = told.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2")).alias("rep"), *[F.min(c).alias(c) for c in (*prints, *keys, "n", "part")])
     nodes = staged(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -494,7 +502,8 @@ def near_copies(
     members = near.join(nodes, "node").select("group", "node", "n", *prints, F.col("rep.id").alias("id"), F.col("rep.t1").alias("t1"), F.col("rep.t2").alias("t2"))
     chunks = members.groupBy("group").agg(_chunks(F.count(F.lit(1)), F.sum("n"), chunk_rows).alias("chunks"))
     members = staged(members.join(chunks, "group"), "members")
-    texts = rows.join(members, ["id", "t1", "t2"]).select("group", "chunks", "node", "n", *prints, "body")
+    bodies = told.select("id", "t1", "t2", "body") if scheme.packed else rows
+    texts = bodies.join(members, ["id", "t1", "t2"]).select("group", "chunks", "node", "n", *prints, "body")
     large = members.where("chunks > 1").limit(1).count()
     if large:  # they are read again
         texts = staged(texts, "texts")

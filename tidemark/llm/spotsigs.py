@@ -169,14 +169,19 @@ def near_partition(size: int) -> int:
     return length_partition(size, NEAR)
 
 
-def hashed_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """The signature set of each text as sorted, well mixed 64-bit hashes."""
+def packed_sets(texts: list[bytes | None]) -> list[bytes]:
+    """The signature set of each text, four bytes a signature."""
+    return [s.tobytes() for s in signatures([t or b"" for t in texts])]
+
+
+def hashed_sets(packed: list[bytes]) -> list[np.ndarray]:
+    """Packed signature sets as sorted, well mixed 64-bit hashes."""
     with np.errstate(over="ignore"):
-        return [np.sort(_mix(s.astype(np.uint64) * _BASE + _M1)) for s in signatures([t or b"" for t in texts])]
+        return [np.sort(_mix(np.frombuffer(p, "<u4").astype(np.uint64) * _BASE + _M1)) for p in packed]
 
 
 #: 128 bits: links at 0.8 differ in 19 of them on average, with a deviation of 4; unrelated texts in 64, with one of 5.7.
-SCHEME = Scheme(hashed_sets, lanes=2, radius=42, tight=20, spread=54, length_partition=near_partition)
+SCHEME = Scheme(hashed_sets, packed_sets, lanes=2, radius=42, tight=20, spread=54, length_partition=near_partition)
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = NEAR) -> DataFrame:
