@@ -203,7 +203,19 @@ def test_op6(spark, odd, tmp_path, data):
         spans = base_spans(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s.startswith(k) for s in spans) for k in ("email", "ip", "card", "phone")]
-        assert set(spans) <= set(r["spans"].split(","))
+        every = [s for column in ("spans", "secrets") for s in r[column].split(",") if s]
+        assert set(spans) <= set(every) and r["n_spans"] == len(every)
+        kinds = [s.partition(":")[0] for s in every]
+        assert kinds == sorted(kinds, key=["email", "ip", "card", "phone", "secret"].index)
+
+
+def test_op6_finds_planted_secrets(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = texts_of(folder)
+    planted = {d: {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")} for d, t in texts.items()}
+    assert sum(map(bool, planted.values())) >= 10
+    for r in QUERIES["op6_pii"](spark, folder).collect():
+        assert {tuple(map(int, s.split(":")[1:])) for s in r["secrets"].split(",") if s} == planted[r["doc_id"]]
 
 
 @pytest.mark.parametrize("data", ["small", "odd"])

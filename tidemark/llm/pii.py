@@ -377,12 +377,16 @@ def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; ``secrets`` are the added spans of keys and tokens, ``n_spans`` counts all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_personal_data(docs)
+    secret = KINDS.index("secret")
+    found = find_personal_data(docs).select("id", "base", F.array_sort(F.concat("base", "added")).alias("every"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"),
-        *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k != "secret"],
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if i != secret],
         F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
-        span_text(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        span_text(F.filter("every", lambda s: s["kind"] != secret)).alias("spans"),
+        span_text(F.filter("every", lambda s: s["kind"] == secret)).alias("secrets"),
+        F.size("every").cast("long").alias("n_spans"),
     )
