@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import assert_same
 from tidemark.functions import predicates as P
 from tidemark.functions import scalar as S
 from tidemark.operators import artifacts as A
@@ -16,6 +17,8 @@ from tidemark.operators import integrity as I
 from tidemark.operators import keyed as K
 from tidemark.operators import recovery as R
 from tidemark.operators import reconcile as C
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import QUERIES
 
 NOW = 1_000_000
 
@@ -222,3 +225,14 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "job_id long, task_id long, status string, owner_worker_id long, fencing_token long, lease_acquired_at long, lease_expires_at long, created_at long")
     assert E.expired_leases(empty, NOW).count() == 0 and E.capacity(empty, 5).first()["free"] == 5
     assert E.jobs_in(empty, []).count() == 0 and E.pending(empty, 0).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[], [4], range(50), range(70), range(90), range(110), range(1010), [None, 3, None, 1], [None, *range(89)]], ids=len)
+def test_sample_size_and_null_ids_as_in_sql(spark, tmp_path, ids):
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(QUERIES["seeded_sample"](spark, str(tmp_path)), ORACLES["seeded_sample"], tmp_path)
+
+
+@pytest.mark.parametrize(("n", "rate", "k"), [(10, 0.05, 1), (30, 0.05, 2), (50, 0.29, 15), (5, 1.0, 5), (5, 3.0, 5), (9, 0.05, 1)])
+def test_sample_size_rounds_halves_up(spark, n, rate, k):
+    assert S.seeded_sample(spark.range(n), "id", rate, "s").count() == k

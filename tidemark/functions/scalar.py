@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,11 @@ def latest_of(*times: Column) -> Column:
 
 
 def seeded_sample(df: DataFrame, id_col: str, rate: float, seed: str, least: int = 1) -> DataFrame:
-    """A repeatable sample: the rows of the smallest hashes of (seed, id), ``max(least, round(n * rate))`` of them."""
+    """A repeatable sample: the rows of the smallest hashes of (seed, id), ``max(least, n * rate)`` of them.
+
+    The product is taken in decimals and its halves are rounded up, as in SQL; rows without an id come last.
+    """
     n = df.count()
-    k = min(n, max(least, round(n * rate))) if n else 0
+    k = min(n, max(least, int((n * Decimal(str(rate))).to_integral_value(ROUND_HALF_UP))))
     key = sha256_hex(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    return df.withColumn("sample_key", key).orderBy("sample_key", id_col).limit(k)
+    return df.withColumn("sample_key", key).orderBy(F.asc_nulls_last("sample_key"), F.asc_nulls_last(id_col)).limit(k)
